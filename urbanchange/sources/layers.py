@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -26,19 +25,14 @@ def read_geojson(
     ``lines`` reads one feature per line, which splits at any size; a plain feature
     collection is one JSON document per file. A multi-polygon gives one row per part.
     """
-    geometry = T.StructType(
-        [T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())]
-    )
-    props = T.StructType(
-        [T.StructField(n, T._parse_datatype_string(t)) for n, t in properties.items()]
-    )
-    feature = T.StructType(
-        [T.StructField("geometry", geometry), T.StructField("properties", props)]
+    props = ",".join(f"`{n}`:{t}" for n, t in properties.items())
+    feature = (
+        f"geometry:struct<type:string,coordinates:string>,properties:struct<{props}>"
     )
     if lines:
-        rows = spark.read.schema(feature).json(path)
+        rows = spark.read.schema(feature.replace(":struct", " struct")).json(path)
     else:
-        collection = T.StructType([T.StructField("features", T.ArrayType(feature))])
+        collection = f"features array<struct<{feature}>>"
         rows = (
             spark.read.schema(collection)
             .option("multiLine", True)
