@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urbanchange.functions.skew import HOT_ROWS, salted_join, small_side
 
@@ -47,8 +48,9 @@ def running_counts(
     ``counts`` has one row per (groups, value).
     """
     groups = list(groups)
-    keyed = counts.withColumn("_key", sort_key(F.col(value)))
-    keyed = keyed.select(
+    whole_number = isinstance(counts.schema[value].dataType, T.IntegralType)
+    key = F.col(value).cast("long") if whole_number else sort_key(F.col(value))
+    keyed = counts.withColumn("_key", key).select(
         *counts.columns,
         F.shiftright("_key", _COARSE).alias("_p1"),
         F.shiftright("_key", _FINE).alias("_p2"),

@@ -200,10 +200,11 @@ def segment(
     found = materialize(label_components(base, by, full=True, tile=tile))
     heads = (
         found.where(cell_id() == F.col("root"))
-        .select(*by, F.col("root").cast("double").alias("_v"), F.lit(1).cast("long").alias("n"))
+        .select(*by, F.col("root"), F.lit(1).cast("long").alias("n"))
+    )
+    numbers = running_counts(heads, by, "root").select(
+        *by, "root", (F.col("before") + 1).alias("label")
     )
-    numbers = running_counts(heads, by, "_v").select(
-        *by, F.col("_v").cast("long").alias("root"), (F.col("before") + 1).alias("label"))
     labelled = salted_join(found.where(F.col("size") >= min_size), numbers, [*by, "root"])
     return base.join(labelled.select(*keys, "label"), keys, "left").select(
         *keys, F.coalesce("label", F.lit(0)).cast("long").alias("label")

@@ -59,21 +59,20 @@ def otsu_from_histogram(hist: DataFrame, by: Sequence[str] = ("band",)) -> DataF
     ties exact. A constant group gets its own value.
     """
     by = list(by)
+    return _otsu_bins(hist, by).select(
+        *by,
+        F.when(F.col("lo") == F.col("hi"), F.col("lo"))
+        .otherwise(_centre(F.col("bin")))
+        .alias("threshold"),
+    )
+
+
+def _otsu_bins(hist: DataFrame, by: list[str]) -> DataFrame:
     rest = F.col("wt") - F.col("w")
     gap = F.col("s") / F.col("w") - (F.col("st") - F.col("s")) / F.nullif(rest, F.lit(0))
     score = F.col("w") * rest * gap * gap
     best = F.max_by("bin", F.struct(F.coalesce(score, F.lit(-1.0)), -F.col("bin")))
-    return (
-        _cumulative(hist, by)
-        .groupBy(*by, "lo", "hi")
-        .agg(best.alias("bin"))
-        .select(
-            *by,
-            F.when(F.col("lo") == F.col("hi"), F.col("lo"))
-            .otherwise(_centre(F.col("bin")))
-            .alias("threshold"),
-        )
-    )
+    return _cumulative(hist, by).groupBy(*by, "lo", "hi").agg(best.alias("bin"))
 
 
 def multi_otsu_from_histogram(hist: DataFrame, by: Sequence[str] = ("band",)) -> DataFrame:
@@ -89,7 +88,12 @@ def multi_otsu_from_histogram(hist: DataFrame, by: Sequence[str] = ("band",)) ->
     arrays = (
         hist.groupBy(*by, "lo", "hi")
         .agg(counts.alias("_m"), F.count(F.lit(1)).alias("filled"))
-        .withColumn("_c", F.transform(bins, lambda b: F.coalesce(F.get(F.array(F.try_element_at("_m", b)), F.lit(0)), F.lit(0).cast("long"))))
+        .withColumn(
+            "_c",
+            F.transform(
+                bins, lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0).cast("long"))
+            ),
+        )
     )
     zero = F.lit(0).cast("long")
 
@@ -167,19 +171,31 @@ def above(df: DataFrame, thresholds: DataFrame, by: Sequence[str] = ("band",)) -
     )
 
 
+def histogram_8bit(df: DataFrame, by: Sequence[str] = ("band",)) -> DataFrame:
+    """Counts of the 256 levels of a map with values in [0, 1]."""
+    level = F.least(F.floor(F.abs("value") * 255.0), F.lit(255)).cast("int")
+    return (
+        df.where(F.col("value").isNotNull())
+        .groupBy(*by, level.alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def otsu_8bit(df: DataFrame, by: Sequence[str] = ("band",), scale: float = 1.0) -> DataFrame:
+    """Otsu level of the 8-bit map, brought back to [0, 1] and scaled."""
+    limits = {"lo": F.lit(0.0), "hi": F.lit(255.0)}
+    levels = _otsu_bins(histogram_8bit(df, by).withColumns(limits), list(by))
+    return levels.select(*by, (F.col("bin") * F.lit(scale) / 255.0).alias("threshold"))
+
+
 def triangle(df: DataFrame, by: Sequence[str] = ("band",), scale: float = 0.5) -> DataFrame:
     """Triangle threshold of an 8-bit map with values in [0, 1], times ``scale``.
 
     The level farthest from the line between the histogram's peak and the end of its
-    longer tail; on a tie the level nearest to the tail's end of the scan.
+    longer tail, one level further out; on a tie the level nearest to the tail's end.
     """
     by = list(by)
-    level = F.least(F.floor(F.abs("value") * 255.0), F.lit(255)).cast("int")
-    hist = (
-        df.where(F.col("value").isNotNull())
-        .groupBy(*by, level.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    hist = histogram_8bit(df, by)
     ends = hist.groupBy(*by).agg(
         F.min("bin").alias("_min"),
         F.max("bin").alias("_max"),
@@ -204,14 +220,12 @@ def triangle(df: DataFrame, by: Sequence[str] = ("band",), scale: float = 0.5) -
     scan = ends.select("*", F.explode(F.sequence("_from", "_to")).alias("_at"))
     known = levels.select(*by, at.alias("_at"), "n")
     counted = scan.join(known, [*by, "_at"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    distance = F.col("_peak") * F.col("_at") + (F.col("_from") - F.col("_to")) * F.col("n")
-    best = F.max_by("_at", F.struct(distance.alias("d"), -F.col("_at")))
-    picked = (
-        counted.where((F.col("_at") > F.col("_from")) | (F.col("_from") == F.col("_to")))
-        .groupBy(*by, "_flip")
-        .agg(best.alias("_best"))
+    distance = F.when(F.col("_at") == F.col("_from"), F.lit(0).cast("long")).otherwise(
+        F.col("_peak") * F.col("_at") + (F.col("_from") - F.col("_to")) * F.col("n")
     )
-    index = F.greatest(F.col("_best") - 1, F.lit(0))
+    best = F.max_by("_at", F.struct(distance.alias("d"), -F.col("_at")))
+    picked = counted.groupBy(*by, "_flip").agg(best.alias("_best"))
+    index = F.col("_best") - 1
     return picked.select(
         *by,
         (F.when(F.col("_flip"), 255 - index).otherwise(index) * F.lit(scale) / 255.0).alias(
