@@ -44,7 +44,9 @@ def join_stats(
     side = small_side(stats)
     if side is None:
         return salted_join(left, stats, keys, how)
-    return left.join(side, list(keys), how) if keys else left.crossJoin(side)
+    if not keys:  # one row of global aggregates, or none when there was nothing to aggregate
+        return left.join(side, F.lit(True), "left")
+    return left.join(side, list(keys), how)
 
 
 def join_lookup(
