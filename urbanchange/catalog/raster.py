@@ -159,18 +159,18 @@ def mosaic_last(spark, sf):
 
 def mosaic_avg(spark, sf):
     out = mosaic.mosaic(masks.mask_clouds(observations(spark, sf)), PIXEL)
-    return rounded(out, "value", digits=4)
+    return rounded(out, "value", digits=6)
 
 
 def clip_merge_year(spark, sf):
     tiles = masks.mask_clouds(observations(spark, sf)).where("period = 1")
     out = mosaic.clip_and_merge(tiles, zones(spark, sf, "b"), grid(spark, sf))
-    return rounded(out, "value", digits=4)
+    return rounded(out, "value", digits=6)
 
 
 def masked_diff(spark, sf):
     out = masks.masked_difference(pairs(spark, sf))
-    return rounded(out, "diff", digits=4)
+    return rounded(out, "diff", digits=6)
 
 
 def missing_mask(spark, sf):
@@ -213,7 +213,7 @@ def resample_bilinear(spark, sf):
         (g.height, g.width),
         (g.height * 2, g.width * 2),
     )
-    return rounded(out, "value", digits=4)
+    return rounded(out, "value", digits=7)
 
 
 def reproject_vertices(spark, sf):
@@ -232,13 +232,13 @@ def band_stats(spark, sf):
         materialize(full_composites(spark, sf)), ["period", "band"]
     )
     names = [c for c in out.columns if c not in ("period", "band")]
-    return rounded(out, *names, digits=4)
+    return rounded(out, *names, digits=6)
 
 
 def zonal_stats(spark, sf):
     band = full_composites(spark, sf).where("period = 1 and band = 3")
     out = raster_stats.zonal_statistics(zones(spark, sf), band, grid(spark, sf))
-    return rounded(out, "min", "mean", "max", "median", digits=4)
+    return rounded(out, "min", "mean", "max", "median", digits=6)
 
 
 QUERIES = {
@@ -367,12 +367,12 @@ ORACLE = {
             order by (clear is null), tile desc, obs_id desc, clear desc) rn from o_clear)
         where rn = 1""",
     "mosaic_avg": """
-        select period, band, row_, col_, round(avg(clear),4) "value" from o_clear
+        select period, band, row_, col_, round(avg(clear),6) "value" from o_clear
         group by period, band, row_, col_""",
     "clip_merge_year": f"""
-        select band, row_, col_, round(avg(clear),4) "value" from o_clear
+        select band, row_, col_, round(avg(clear),6) "value" from o_clear
         where period = 1 and not ({_IN_A}) group by band, row_, col_""",
-    "masked_diff": "select band, row_, col_, v1, v2, round(v2-v1,4) diff from o_pairs",
+    "masked_diff": "select band, row_, col_, v1, v2, round(v2-v1,6) diff from o_pairs",
     "missing_mask": """
         select row_, col_, case when "value" is null then 1 else 0 end missing
         from o_full where period=1 and band=1""",
@@ -391,37 +391,37 @@ ORACLE = {
         select band, row_, col_, round((d - min(d) over w) / (max(d) over w - min(d) over w), 6) "value"
         from (select band, row_, col_, abs(v2-v1) d from o_pairs) window w as (partition by band)""",
     "resample_bilinear": """
-        select band, t_row row_, t_col col_, round(sum("value" * wr * wc), 4) "value" from (
+        select band, t_row row_, t_col col_, round(sum("value" * wr * wc), 7) "value" from (
           select p.band, r.t t_row, c.t t_col, r.w wr, c.w wc,
             case when p.v1 is null or p.v2 is null then 0 else p.v2 end "value"
           from o_pairs p
           join (select t, cast(s as int) s, sum(w) w from (
-              select t, floor(at) s, 1 - (at - floor(at)) w from o_axis_r
-              union all select t, least(floor(at)+1, n-1), at - floor(at) from o_axis_r)
+              select t, floor(pos) s, 1 - (pos - floor(pos)) w from o_axis_r
+              union all select t, least(floor(pos)+1, n-1), pos - floor(pos) from o_axis_r)
             group by t, s) r on r.s = p.row_
           join (select t, cast(s as int) s, sum(w) w from (
-              select t, floor(at) s, 1 - (at - floor(at)) w from o_axis_c
-              union all select t, least(floor(at)+1, n-1), at - floor(at) from o_axis_c)
+              select t, floor(pos) s, 1 - (pos - floor(pos)) w from o_axis_c
+              union all select t, least(floor(pos)+1, n-1), pos - floor(pos) from o_axis_c)
             group by t, s) c on c.s = p.col_)
         group by band, t_row, t_col""",
     "band_stats": """
-        select period, band, round(avg("value"),4) mean, round(quantile_cont("value",0.5),4) median,
-          round(min("value"),4) "min", round(max("value"),4) "max",
-          round(stddev_pop("value"),4) std, round(quantile_cont("value",0.25),4) p25,
-          round(quantile_cont("value",0.75),4) p75,
-          round(100e0*(count(*)-count("value"))/count(*),4) null_pct
+        select period, band, round(avg("value"),6) mean, round(quantile_cont("value",0.5),6) median,
+          round(min("value"),6) "min", round(max("value"),6) "max",
+          round(stddev_pop("value"),6) std, round(quantile_cont("value",0.25),6) p25,
+          round(quantile_cont("value",0.75),6) p75,
+          round(100e0*(count(*)-count("value"))/count(*),6) null_pct
         from o_full group by period, band""",
     "zonal_stats": """
-        select z.code, count("value") "count", round(min("value"),4) "min",
-          round(avg("value"),4) mean, round(max("value"),4) "max",
-          round(quantile_cont("value",0.5),4) median
+        select z.code, count("value") "count", round(min("value"),6) "min",
+          round(avg("value"),6) mean, round(max("value"),6) "max",
+          round(quantile_cont("value",0.5),6) median
         from fx_zones z left join o_cover c on c.code = z.code
           left join (select * from o_full where period=1 and band=3) f
             on f.row_ = c.row_ and f.col_ = c.col_ group by z.code""",
 }
 STATEMENTS["o_axis_r"] = """
-    select t, n, least(greatest((t+0.5e0)*0.5e0-0.5e0, 0), n-1) at
+    select t, n, least(greatest((t+0.5e0)*0.5e0-0.5e0, 0), n-1) pos
     from (select unnest(range(0, 2*n)) t, n from (select max(row_)+1 n from fx_cells))"""
 STATEMENTS["o_axis_c"] = """
-    select t, n, least(greatest((t+0.5e0)*0.5e0-0.5e0, 0), n-1) at
+    select t, n, least(greatest((t+0.5e0)*0.5e0-0.5e0, 0), n-1) pos
     from (select unnest(range(0, 2*n)) t, n from (select max(col_)+1 n from fx_cells))"""
