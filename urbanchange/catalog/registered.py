@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from urbanchange.catalog import change, geometry, raster, score
+from urbanchange.catalog import change, geometry, model, raster, score
 from urbanchange.catalog.fixtures import FX, with_clause
 
-_MODULES = (raster, geometry, change, score)
+_MODULES = (raster, geometry, change, score, model)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 _STATEMENTS = dict(FX)
