@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 10_000  # rows a broadcast side may have
@@ -17,15 +17,15 @@ SALTS = 256
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the session's shared folder."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not _checkpoint_dir(spark):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="urbanchange-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
-def _checkpoint_dir(spark: SparkSession) -> str | None:
-    return spark.sparkContext.getCheckpointDir()
-
-
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
     """``df`` as a broadcast side, computed once, or None when it exceeds ``max_rows``.
 

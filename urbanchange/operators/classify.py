@@ -250,26 +250,31 @@ def train_and_evaluate(
     """Tune every classifier, then score the winner by repeated cross-validation."""
     results = []
     for spec in config.specs or default_specs():
-        tuned, _ = grid_search(
-            df,
-            predictors,
-            spec,
-            key,
-            folds=config.grid_cv_folds,
-            scoring=config.grid_scoring,
-            seed=config.seed,
-        )
+        only = spec.candidates()
+        if len(only) == 1:  # nothing to choose from
+            best = only[0]
+        else:
+            tuned, _ = grid_search(
+                df,
+                predictors,
+                spec,
+                key,
+                folds=config.grid_cv_folds,
+                scoring=config.grid_scoring,
+                seed=config.seed,
+            )
+            best = tuned.best_params
         scored = repeated_cv(
             df,
             predictors,
             spec,
-            tuned.best_params,
+            best,
             key,
             folds=config.repeated_cv_splits,
             repeats=config.repeated_cv_repeats,
             seed=config.seed,
         )
-        results.append(scored.withColumn("best_params", F.lit(str(tuned.best_params))))
+        results.append(scored.withColumn("best_params", F.lit(str(best))))
     return reduce(DataFrame.unionByName, results)
 
 

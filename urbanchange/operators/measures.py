@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from urbanchange.config import MEASURES
 from urbanchange.functions.columns import row_sum
-from urbanchange.functions.skew import join_lookup
+from urbanchange.functions.skew import join_lookup, materialize
 
 KEY = "lsoa_code"
 
@@ -128,27 +129,32 @@ def wide_column_recoded(
 def assemble(series: dict[str, DataFrame]) -> DataFrame:
     """Full outer join of named ``[lsoa_code, value]`` series into one wide table.
 
-    Duplicate codes multiply, as in a chain of outer joins. Rows without a code are left
-    out. All joins share the key, so each series is shuffled once.
+    With unique codes the join is one grouped pass over the stacked series. Duplicate codes
+    multiply, so when the grouped pass counts any, a chain of outer joins is run instead.
+    Rows without a code are left out.
     """
     wanted = [f"t{t}_{m}" for m in MEASURES for t in (1, 2)]
-    order = [c for c in wanted if c in series] + [c for c in series if c not in wanted]
-    out = None
-    for name in order:
-        one = (
-            series[name]
-            .where(F.col(KEY).isNotNull())
-            .select(KEY, F.col("value").cast("double").alias(name))
-        )
-        out = one if out is None else out.join(one, KEY, "full")
-    return out
+    names = [c for c in wanted if c in series] + [c for c in series if c not in wanted]
+    parts = {
+        n: series[n]
+        .where(F.col(KEY).isNotNull())
+        .select(KEY, F.col("value").cast("double").alias(n))
+        for n in names
+    }
+    stacked = reduce(
+        DataFrame.unionByName,
+        [p.select(KEY, F.lit(n).alias("_m"), F.col(n).alias("_v")) for n, p in parts.items()],
+    )
 
+    def own(n: str):
+        return F.col("_m") == n
 
-def assemble_unique(series: DataFrame) -> DataFrame:
-    """The same for one long table (lsoa_code, measure, value) with unique keys: one shuffle."""
-    names = [f"t{t}_{m}" for m in MEASURES for t in (1, 2)]
-    return (
-        series.where(F.col(KEY).isNotNull())
-        .groupBy(KEY)
-        .agg(*[F.max(F.when(F.col("measure") == n, F.col("value"))).alias(n) for n in names])
+    grouped = materialize(
+        stacked.groupBy(KEY).agg(
+            *[F.max(F.when(own(n), F.col("_v"))).alias(n) for n in names],
+            F.greatest(*[F.count_if(own(n)) for n in names], F.lit(0)).alias("_most"),
+        )
     )
+    if grouped.where("_most > 1").isEmpty():
+        return grouped.drop("_most")
+    return reduce(lambda left, right: left.join(right, KEY, "full"), parts.values())

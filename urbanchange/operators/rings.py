@@ -8,59 +8,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also when used per array element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _next(ring: Column, i: Column) -> Column:
     return F.get(ring, (i + 1) % F.size(ring))
 
 
 def signed_area(ring: Column) -> Column:
     """Shoelace area of one ring, positive when counter-clockwise; open or closed."""
-    origin_x, origin_y = F.get(ring, F.lit(0))["x"], F.get(ring, F.lit(0))["y"]
 
-    def term(p: Column, i: Column) -> Column:
-        q = _next(ring, i)
-        return (p["x"] - origin_x) * (q["y"] - origin_y) - (q["x"] - origin_x) * (
-            p["y"] - origin_y
-        )
+    def area(r: Column) -> Column:
+        def term(p: Column, i: Column) -> Column:
+            o, q = F.get(r, F.lit(0)), _next(r, i)
+            return (p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"])
+
+        return F.aggregate(F.transform(r, term), F.lit(0.0), lambda acc, t: acc + t) / 2.0
 
-    total = F.aggregate(F.transform(ring, term), F.lit(0.0), lambda acc, t: acc + t)
-    return total / 2.0
+    return _let(ring, area)
 
 
 def _repair(ring: Column) -> Column:
     """Drop null and repeated vertices and close the ring."""
+
+    def close(r: Column) -> Column:
+        first = F.get(r, F.lit(0))
+        open_ = (F.size(r) > 1) & (first != F.get(r, F.size(r) - 1))
+        return F.when(open_, F.concat(r, F.array(first))).otherwise(r)
+
+    def thin(r: Column) -> Column:
+        return F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, F.greatest(i - 1, F.lit(0)))))
+
     points = F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    kept = F.filter(
-        points,
-        lambda p, i: (i == 0) | (p != F.get(points, F.greatest(i - 1, F.lit(0)))),
-    )
-    first, last = F.get(kept, F.lit(0)), F.get(kept, F.size(kept) - 1)
-    return F.when((F.size(kept) > 1) & (first != last), F.concat(kept, F.array(first))).otherwise(
-        kept
-    )
+    return _let(_let(points, thin), close)
 
 
 def clean_rings(df: DataFrame) -> DataFrame:
     """Close rings, drop repeated vertices and empty rings, turn shells CCW and holes CW.
 
-    The first ring of a polygon is its shell. Polygons left without a ring are dropped.
+    The first ring of a polygon is its shell; without a shell the polygon is dropped.
     Self-intersecting rings are not rebuilt.
     """
-    repaired = F.transform("rings", _repair)
-    solid = F.filter(repaired, lambda r: (F.size(r) >= 4) & (F.abs(signed_area(r)) > 0))
 
-    def turned(ring: Column, i: Column) -> Column:
-        area = signed_area(ring)
-        wrong = F.when(i == 0, area < 0).otherwise(area > 0)
-        return F.when(wrong, F.reverse(ring)).otherwise(ring)
+    def measured(ring: Column) -> Column:
+        return _let(
+            _repair(ring), lambda r: F.struct(r.alias("ring"), signed_area(r).alias("area"))
+        )
 
-    shell_ok = (F.size(F.get(repaired, F.lit(0))) >= 4) & (
-        F.abs(signed_area(F.get(repaired, F.lit(0)))) > 0
-    )
-    return (
-        df.where(F.size("rings") > 0)
-        .where(shell_ok)
-        .withColumn("rings", F.transform(solid, turned))
-    )
+    def solid(r: Column) -> Column:
+        return (F.size(r["ring"]) >= 4) & (r["area"] != 0)
+
+    def turned(r: Column, i: Column) -> Column:
+        wrong = F.when(i == 0, r["area"] < 0).otherwise(r["area"] > 0)
+        return F.when(wrong, F.reverse(r["ring"])).otherwise(r["ring"])
+
+    def polygon(rings: Column) -> Column:
+        kept = F.transform(F.filter(rings, solid), turned)
+        return F.when(solid(F.get(rings, F.lit(0))), kept)
+
+    cleaned = _let(F.transform("rings", measured), polygon)
+    return df.withColumn("rings", cleaned).where(F.size("rings") > 0)
 
 
 def edges(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -41,56 +42,61 @@ class PowerTransformModel:
 class PowerTransform:
     """Yeo-Johnson with maximum-likelihood parameter per column, then standardisation.
 
-    Every pass tries one grid of parameters for all columns in a single aggregation. The
-    grid moves outward while the best value lies on its edge and is refined tenfold twice.
+    Every pass tries one grid of parameters for all columns in a single aggregation. While
+    the best value lies on the edge the grid is moved there and widened tenfold; then it is
+    narrowed tenfold around the best value until the step is ``precision``.
     """
 
-    def __init__(self, columns: Sequence[str], points: int = 41):
+    def __init__(self, columns: Sequence[str], points: int = 41, precision: float = 1e-3):
         self.columns = tuple(columns)
         self.points = points
+        self.precision = precision
 
     def fit(self, df: DataFrame) -> PowerTransformModel:
-        centres = {c: 0.0 for c in self.columns}
+        half = self.points // 2
+        centres = dict.fromkeys(self.columns, 0.0)
         width = 2.0
-        refined = 0
-        for _ in range(12):
+        for _ in range(20):
             best = self._search(df, centres, width)
-            half = width / (self.points // 2)
-            on_edge = any(abs(abs(best[c] - centres[c]) - width) < half / 2 for c in best)
+            step = width / half
+            on_edge = any(abs(abs(best[c] - centres[c]) - width) < step / 2 for c in best)
             centres = best
             if on_edge:
-                continue
-            if refined == 2:
+                width *= 10.0
+            elif step <= self.precision * 1.5:
                 break
-            refined += 1
-            width = 2.0 * half
+            else:
+                width = 2.0 * step
         return self._moments(df, centres)
 
-    def _search(
-        self, df: DataFrame, centres: dict[str, float], width: float
-    ) -> dict[str, float]:
+    def _search(self, df: DataFrame, centres: dict[str, float], width: float) -> dict[str, float]:
         half = self.points // 2
         steps = [width * (i - half) / half for i in range(self.points)]
         aggregates = []
         for j, c in enumerate(self.columns):
             x = F.col(c).cast("double")
-            y = yeo_johnson(x, F.lit(centres[c]) + F.col("_step"))
             aggregates += [
                 F.count(x).alias(f"n{j}"),
-                F.var_pop(y).alias(f"v{j}"),
+                F.var_pop(yeo_johnson(x, F.col(f"_try.l{j}"))).alias(f"v{j}"),
                 F.var_pop(x).alias(f"x{j}"),
                 F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"s{j}"),
             ]
+        # As text, one literal: building it column by column costs more than the query.
+        tries = ",".join(
+            f"named_struct('step',{s!r}D,"
+            + ",".join(f"'l{j}',{centres[c] + s!r}D" for j, c in enumerate(self.columns))
+            + ")"
+            for s in steps
+        )
         rows = (
             df.select(*self.columns)
-            .withColumn("_step", F.explode(F.array(*[F.lit(s) for s in steps])))
-            .groupBy("_step")
+            .withColumn("_try", F.explode(F.expr(f"array({tries})")))
+            .groupBy("_try")
             .agg(*aggregates)
-            .orderBy(F.abs("_step"), "_step")
+            .select("_try.step", *[f"{k}{j}" for j in range(len(self.columns)) for k in "nvxs"])
             .collect()
         )
-        import math
-
+        rows.sort(key=lambda r: (abs(r["step"]), r["step"]))
         best = {}
         for j, c in enumerate(self.columns):
             top, top_ll = centres[c], -math.inf
@@ -102,7 +108,7 @@ class PowerTransform:
                     break
                 if not n or not var or math.isnan(var) or math.isinf(var):
                     continue
-                lam = centres[c] + r["_step"]
+                lam = centres[c] + r["step"]
                 ll = -n / 2.0 * math.log(var) + (lam - 1.0) * r[f"s{j}"]
                 if ll > top_ll:
                     top, top_ll = lam, ll
