@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanchange.functions.skew import HOT_ROWS, salted_join, small_side
+from urbanchange.functions.skew import HOT_KEYS, HOT_ROWS, salted_join, small_side
 
 _COARSE = 42
 _FINE = 21
@@ -112,16 +112,16 @@ def with_percentile_ranks(
     long = rows.select(
         row, "_copies", F.explode(F.filter(cells, lambda c: c["v"].isNotNull())).alias("_cell")
     ).select("_row", "_copies", "_cell.measure", "_cell.v")
-    ranks = running_counts(
-        value_counts(long, ["measure"], "v", F.col("_copies")), ["measure"], "v"
-    ).select(
+    counts = value_counts(long, ["measure"], "v", F.col("_copies"))
+    hot = counts.where(F.col("n") > hot_rows).orderBy(F.desc("n"), "measure", "v").limit(HOT_KEYS)
+    ranks = running_counts(counts, ["measure"], "v").select(
         "measure",
         "v",
         (
             (F.col("before") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total") * F.lit(100.0)
         ).alias("pct"),
     )
-    placed = salted_join(long, ranks, ["measure", "v"], hot_rows=hot_rows)
+    placed = salted_join(long, ranks, ["measure", "v"], hot=hot)
     wide = placed.groupBy("_row", "_copies").agg(
         *[
             F.max(F.when(F.col("measure") == i, F.col("pct"))).alias(f"_pct{i}")

@@ -26,6 +26,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cluster groups for a Python function over all shuffle partitions.
+
+    The number is given, so that adaptive execution, which sees few bytes, does not squeeze
+    Python-bound groups into few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
     """``df`` as a broadcast side, computed once, or None when it exceeds ``max_rows``.
 
@@ -81,15 +91,18 @@ def salted_join(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which the rows of hot ``left`` keys are spread over ``salts`` tasks.
 
     Only hot keys are salted, and only their ``right`` rows are repeated. The salt is a
     hash of the whole row, so a retried task sends every row to the same place again.
-    ``how`` is inner, left, left_semi or left_anti.
+    ``how`` is inner, left, left_semi or left_anti. ``hot`` can give the hot keys when they
+    are known already; at most ``HOT_KEYS`` rows.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(left, keys, hot_rows).withColumn("_hot", F.lit(True)))
+    found = hot_keys(left, keys, hot_rows) if hot is None else hot.select(*keys)
+    hot = F.broadcast(found.limit(HOT_KEYS).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
     salted_left = left.join(hot, keys, "left").select(
         *left.columns, F.when(F.col("_hot"), spread).otherwise(0).alias("_salt")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanchange.functions.ordering import running_counts
-from urbanchange.functions.skew import materialize, salted_join
+from urbanchange.functions.skew import materialize, salted_join, spread
 
 TILE = 512
 WIDTH_BITS = 31  # a cell's id is row * 2**31 + column: row-major, for any image size
@@ -63,7 +63,8 @@ def _local(ones: DataFrame, by: list[str], tile: int, full: bool) -> DataFrame:
             "_tc": F.floor(F.col("col_") / tile).cast("int"),
         }
     )
-    return tiled.groupBy(*by, "_tr", "_tc").applyInPandas(label, schema)
+    groups = [*by, "_tr", "_tc"]
+    return spread(tiled, groups).groupBy(*groups).applyInPandas(label, schema)
 
 
 def _links(local: DataFrame, by: list[str], tile: int, full: bool) -> DataFrame:
@@ -91,50 +92,54 @@ def _links(local: DataFrame, by: list[str], tile: int, full: bool) -> DataFrame:
 
 
 def _merge(links: DataFrame, by: list[str], hot_rows: int) -> DataFrame:
-    """Smallest id of each node's component, by min-propagation with pointer jumping."""
+    """Smallest id of each node's component, by min-propagation with pointer jumping.
+
+    Every round lowers a node to the smallest root among its neighbours, lowers the node's
+    old root likewise, and then jumps to the root's root, so chains shrink by half.
+    """
     both = links.unionByName(links.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.distinct())
-    roots = materialize(both.groupBy(*by, "a").agg(F.least(F.col("a"), F.min("b")).alias("root")))
+    crowded = both.count() > hot_rows  # otherwise no key can be hot
+
+    def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        if crowded:
+            return salted_join(left, right, [*by, key], hot_rows=hot_rows)
+        return left.join(right, [*by, key])
+
+    roots = both.groupBy(*by, "a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
+    roots = materialize(roots)
     while True:
         near = (
-            salted_join(
-                both.withColumnRenamed("b", "_b"),
-                roots.select(*by, F.col("a").alias("_b"), "root"),
-                [*by, "_b"],
-                hot_rows=hot_rows,
-            )
+            lookup(both, roots.select(*by, F.col("a").alias("b"), "root"), "b")
             .groupBy(*by, "a")
             .agg(F.min("root").alias("_near"))
         )
-        # The root's own root, and pushing the nearest root onto the old one, shorten
-        # chains by half each round.
-        hooks = (
-            roots.join(near, [*by, "a"])
-            .where("_near < root")
-            .groupBy(*by, F.col("root").alias("a"))
-            .agg(F.min("_near").alias("_hook"))
+        seen = roots.join(near, [*by, "a"]).select(
+            *by, "a", "root", F.least("root", "_near").alias("_low")
         )
-        lowered = (
-            roots.join(near, [*by, "a"])
-            .join(hooks, [*by, "a"], "left")
-            .select(
-                *by,
-                "a",
-                F.least("root", "_near", F.coalesce("_hook", "root")).alias("next"),
-                F.col("root").alias("old"),
-            )
+        pushed = seen.select(
+            *by,
+            F.explode(
+                F.array(
+                    F.struct(F.col("a"), F.col("_low"), F.col("root").alias("old")),
+                    F.struct(
+                        F.col("root").alias("a"), F.col("_low"), F.lit(None).cast("long").alias("old")
+                    ),
+                )
+            ).alias("_e"),
+        ).select(*by, "_e.*")
+        lowered = materialize(
+            pushed.groupBy(*by, "a").agg(F.min("_low").alias("next"), F.max("old").alias("old"))
         )
-        lowered = materialize(lowered)
-        jumped = salted_join(
-            lowered.select(*by, "a", F.col("next").alias("_at"), "old"),
-            lowered.select(*by, F.col("a").alias("_at"), F.col("next").alias("_to")),
-            [*by, "_at"],
-            hot_rows=hot_rows,
+        jumps = lowered.select(*by, F.col("a").alias("next"), F.col("next").alias("_to"))
+        new = materialize(
+            lookup(lowered, jumps, "next").select(
+                *by, "a", F.least("next", "_to").alias("root"), "old"
+            )
         )
-        new = materialize(jumped.select(*by, "a", F.least("_at", "_to").alias("root"), "old"))
-        changed = new.where("root <> old").limit(1).count()
+        settled = new.where("root <> old").isEmpty()
         roots = new.drop("old")
-        if not changed:
+        if settled:
             return roots
 
 

@@ -13,8 +13,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanchange.functions.skew import HOT_ROWS, materialize, salted_join
-from urbanchange.operators.rings import clean_rings, edges, with_bounds
+from urbanchange.functions.skew import HOT_ROWS, salted_join
+from urbanchange.operators.rings import clean_rings, edges, polygon_area, with_bounds
+
+
+_BOX = ("min_x", "min_y", "max_x", "max_y")
+
+
+def _checked(keys: Sequence[str]) -> list[str]:
+    clash = set(keys) & {"cx", "cy", "strip", *_BOX}
+    if clash:
+        raise ValueError(f"reserved key names {sorted(clash)}")
+    return list(keys)
 
 
 def _strips(df: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
@@ -77,10 +87,10 @@ def candidate_pairs(
     the cell of the lower left corner of the common box. Crowded cells are salted.
     """
     left = _cells(a, size).select(
-        *b_keys_safe(a_keys), "cx", "cy", *[F.col(f"{c}").alias(f"a_{c}") for c in _BOX]
+        *_checked(a_keys), "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in _BOX]
     )
     right = _cells(b, size).select(
-        *b_keys_safe(b_keys), "cx", "cy", *[F.col(f"{c}").alias(f"b_{c}") for c in _BOX]
+        *_checked(b_keys), "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in _BOX]
     )
     low_x, low_y = F.greatest("a_min_x", "b_min_x"), F.greatest("a_min_y", "b_min_y")
     high_x, high_y = F.least("a_max_x", "b_max_x"), F.least("a_max_y", "b_max_y")
@@ -98,16 +108,6 @@ def candidate_pairs(
     )
 
 
-_BOX = ("min_x", "min_y", "max_x", "max_y")
-
-
-def b_keys_safe(keys: Sequence[str]) -> list[str]:
-    clash = set(keys) & {"cx", "cy", "strip", *_BOX}
-    if clash:
-        raise ValueError(f"reserved key names {sorted(clash)}")
-    return list(keys)
-
-
 def default_cell_size(zones: DataFrame) -> float:
     """Twice the mean side of the zones' bounding boxes."""
     side = (F.col("max_x") - F.col("min_x") + F.col("max_y") - F.col("min_y")) / 2.0
@@ -127,26 +127,24 @@ def intersection_areas(
     cell = default_cell_size(a) if size is None else size
     a, b = clean_rings(a), clean_rings(b)
     pairs = candidate_pairs(with_bounds(a), with_bounds(b), a_keys, b_keys, cell, hot_rows)
-    pairs = materialize(
-        pairs.withColumn(
-            "strip",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col("_low_x") / cell),
-                    F.greatest(
-                        F.ceil(F.col("_high_x") / cell) - 1, F.floor(F.col("_low_x") / cell)
-                    ),
-                )
-            ),
-        ).drop("_low_x", "_high_x")
-    )
+    pairs = pairs.withColumn(
+        "strip",
+        F.explode(
+            F.sequence(
+                F.floor(F.col("_low_x") / cell),
+                F.greatest(
+                    F.ceil(F.col("_high_x") / cell) - 1, F.floor(F.col("_low_x") / cell)
+                ),
+            )
+        ),
+    ).drop("_low_x", "_high_x")
     ends = ("s", "m", "xl", "xr", "yl")
     ea = _strips(a, a_keys, cell)
     eb = _strips(b, b_keys, cell)
     ea = ea.select(*a_keys, "strip", *[F.col(c).alias(f"a_{c}") for c in ends])
     eb = eb.select(*b_keys, "strip", *[F.col(c).alias(f"b_{c}") for c in ends])
-    met = salted_join(pairs, ea, [*a_keys, "strip"], hot_rows=hot_rows)
-    met = salted_join(met, eb, [*b_keys, "strip"], hot_rows=hot_rows)
+    # Inner joins followed by a regrouping: adaptive execution splits skewed partitions here.
+    met = pairs.join(ea, [*a_keys, "strip"]).join(eb, [*b_keys, "strip"])
     lo, hi = F.greatest("a_xl", "b_xl"), F.least("a_xr", "b_xr")
     met = met.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo < _hi")
 
@@ -184,8 +182,6 @@ def planning_coverage(
     Overlapping features of one layer count more than once, so 100 can be exceeded. A zone
     without area gives 0.
     """
-    from urbanchange.operators.rings import polygon_area
-
     areas = intersection_areas(zones, planning, ["code"], ["layer", "feature_id"], size)
     per_layer = areas.groupBy("code").agg(
         *[F.sum(F.when(F.col("layer") == layer, F.col("area"))).alias(layer) for layer in layers]

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanchange.config import Grid
+from urbanchange.functions.skew import materialize, spread
 from urbanchange.operators.masks import minmax01
 
+GROUP_PIXELS = 65_536  # pixels handed to one call of the scoring group, unless one window is larger
+
 
 def _origins(pos: str, n: int, size: int, stride: int):
     """Patch numbers along one axis that contain the position; only whole windows."""
@@ -118,21 +121,34 @@ def score_patches(
 ) -> DataFrame:
     """Run ``scorer(p1, p2) -> map`` on every pair of windows and stitch the maps.
 
-    ``pairs`` has v1, v2 for every cell. One window (size squared pixels) is one group;
-    the scored maps are averaged where windows overlap and scaled to [0, 1] per image.
+    ``pairs`` has v1, v2 for every cell. A group for the scorer is one window, or several
+    small ones of an image up to ``GROUP_PIXELS``; the scored maps are averaged where
+    windows overlap and scaled to [0, 1] per image.
     """
     by = list(by)
-    cut = patch_pixels(pairs.select(*by, "row_", "col_", "v1", "v2"), grid, size, stride)
-    cut = cut.select(*by, "pi", "pj", "pr", "pc", "v1", "v2")
+    step = size // 2 if stride is None else stride
+    across = max((grid.width - size) // step + 1, 1)
+    per_group = max(1, GROUP_PIXELS // (size * size))
+    cut = patch_pixels(pairs.select(*by, "row_", "col_", "v1", "v2"), grid, size, step).select(
+        *by,
+        F.floor((F.col("pi") * across + F.col("pj")) / per_group).alias("_group"),
+        "pi",
+        "pj",
+        "pr",
+        "pc",
+        "v1",
+        "v2",
+    )
     schema = cut.select(*by, "pi", "pj", "pr", "pc").schema.add("value", "double")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pr", "pc"], ignore_index=True)
-        p1 = pdf["v1"].to_numpy(dtype=float).reshape(size, size)
-        p2 = pdf["v2"].to_numpy(dtype=float).reshape(size, size)
-        scored = _resize(np.asarray(scorer(p1, p2), dtype=float), size)
-        return pdf[[*by, "pi", "pj", "pr", "pc"]].assign(value=scored.ravel())
-
-    scored = cut.groupBy(*by, "pi", "pj").applyInPandas(run, schema)
-    stitched = reconstruct(scored, pairs.select(*by, "row_", "col_"), size, stride, by)
-    return minmax01(stitched, "value", by)
+        pdf = pdf.sort_values(["pi", "pj", "pr", "pc"], ignore_index=True)
+        p1 = pdf["v1"].to_numpy(dtype=float).reshape(-1, size, size)
+        p2 = pdf["v2"].to_numpy(dtype=float).reshape(-1, size, size)
+        maps = [_resize(np.asarray(scorer(a, b), dtype=float), size) for a, b in zip(p1, p2)]
+        return pdf[[*by, "pi", "pj", "pr", "pc"]].assign(value=np.concatenate(maps).ravel())
+
+    groups = [*by, "_group"]
+    scored = spread(cut, groups).groupBy(*groups).applyInPandas(run, schema)
+    stitched = reconstruct(scored, pairs.select(*by, "row_", "col_"), size, step, by)
+    return minmax01(materialize(stitched), "value", by)

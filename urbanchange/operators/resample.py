@@ -4,9 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_WEIGHTS = 1_000_000  # weight rows of one axis up to which it is broadcast
+
+
+def _axis(spark: SparkSession, source: int, target: int, name: str) -> DataFrame:
+    """Weights of one axis: target index, source index, weight; two rows per target index."""
+    at = F.least(
+        F.greatest((F.col("id") + 0.5) * F.lit(source / target) - 0.5, F.lit(0.0)),
+        F.lit(float(source - 1)),
+    )
+    low = F.floor("_at")
+    sides = F.array(
+        F.struct(low.alias("s"), (1.0 - (F.col("_at") - low)).alias("w")),
+        F.struct(F.least(low + 1, F.lit(source - 1)).alias("s"), (F.col("_at") - low).alias("w")),
+    )
+    weights = (
+        spark.range(target)
+        .withColumn("_at", at)
+        .select(F.col("id").cast("int").alias(f"t_{name}"), F.explode(sides).alias("_e"))
+        .where("_e.w > 0")
+        .select(
+            f"t_{name}",
+            F.col("_e.s").cast("int").alias(f"{name}_"),
+            F.col("_e.w").alias(f"w_{name}"),
+        )
+    )
+    return F.broadcast(weights) if 2 * target <= BROADCAST_WEIGHTS else weights
+
 
 def resample_bilinear(
     pixels: DataFrame,
@@ -16,39 +43,15 @@ def resample_bilinear(
 ) -> DataFrame:
     """Resize every image to ``target`` (height, width), half-pixel centres, clamped edges.
 
-    Each source pixel sends its weighted value to the target cells whose four neighbours
-    include it, so the work is one explode and one map-side combined sum.
+    Rows and columns are weighted one after the other through weight tables whose size is
+    known from the arguments, so the pixels themselves are shuffled only to be summed.
     """
-    (sh, sw), (th, tw) = source, target
-
-    def axis(n_source: int, n_target: int, pos: str, out: str):
-        """Target indices that the source index touches, each with its weight."""
-        scale = n_source / n_target
-        first = F.greatest(F.floor((F.col(pos) - 0.5) / scale - 0.5) - 1, F.lit(0))
-        last = F.least(F.ceil((F.col(pos) + 1.5) / scale - 0.5) + 1, F.lit(n_target - 1))
-
-        def weighted(t):
-            at = F.least(
-                F.greatest((t + 0.5) * F.lit(scale) - 0.5, F.lit(0.0)), F.lit(float(n_source - 1))
-            )
-            low = F.floor(at)
-            frac = at - low
-            high = F.least(low + 1, F.lit(n_source - 1))
-            weight = F.when(F.col(pos) == low, 1.0 - frac).otherwise(0.0) + F.when(
-                F.col(pos) == high, frac
-            ).otherwise(0.0)
-            return F.struct(t.cast("int").alias(out), weight.alias("w"))
-
-        return F.filter(
-            F.transform(F.sequence(first, F.greatest(last, first)), weighted),
-            lambda e: (e["w"] > 0) & (e[out] < n_target),
-        )
-
+    spark = pixels.sparkSession
+    rows = _axis(spark, source[0], target[0], "row")
+    cols = _axis(spark, source[1], target[1], "col")
     return (
-        pixels.select(
-            *keys, "col_", "value", F.explode(axis(sh, th, "row_", "row_")).alias("_r")
-        )
-        .select(*keys, "value", "_r", F.explode(axis(sw, tw, "col_", "col_")).alias("_c"))
-        .groupBy(*keys, F.col("_r.row_").alias("row_"), F.col("_c.col_").alias("col_"))
-        .agg(F.sum(F.col("value") * F.col("_r.w") * F.col("_c.w")).alias("value"))
+        pixels.join(rows, "row_")
+        .join(cols, "col_")
+        .groupBy(*keys, F.col("t_row").alias("row_"), F.col("t_col").alias("col_"))
+        .agg(F.sum(F.col("value") * F.col("w_row") * F.col("w_col")).alias("value"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from urbanchange.functions.skew import join_stats, materialize
+from urbanchange.functions.skew import join_stats, materialize, spread
 from urbanchange.operators.components import remove_small, segment
 
 BINS = 256
@@ -245,7 +245,7 @@ def _blur_lines(df: DataFrame, by: list[str], line: str, along: str, sigma: floa
         padded = np.pad(pdf["value"].to_numpy(dtype=float), radius, mode="edge")
         return pdf.assign(value=np.convolve(padded, taps, mode="valid"))
 
-    return df.groupBy(*by, line).applyInPandas(blur, df.schema)
+    return spread(df, [*by, line]).groupBy(*by, line).applyInPandas(blur, df.schema)
 
 
 def gaussian(df: DataFrame, sigma: float, by: Sequence[str] = ("band",)) -> DataFrame:
