@@ -177,11 +177,14 @@ def reproject_vertices(
 
 def reproject_layer(df: DataFrame, source: str, target: str) -> DataFrame:
     """The same for the ``rings`` of a polygon layer, vertex order kept, without a shuffle."""
-    for step in _steps(source, target):
 
-        def moved(point: Column, step=step) -> Column:
-            east, north = step(point["x"], point["y"])
+    def moved(step):
+        def point(p: Column) -> Column:
+            east, north = step(p["x"], p["y"])
             return F.struct(east.alias("x"), north.alias("y"))
 
-        df = df.withColumn("rings", F.transform("rings", lambda r: F.transform(r, moved)))
+        return lambda ring: F.transform(ring, point)
+
+    for step in _steps(source, target):
+        df = df.withColumn("rings", F.transform("rings", moved(step)))
     return df.withColumn("crs", F.lit(target)) if "crs" in df.columns else df

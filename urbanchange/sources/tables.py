@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _BOM = "﻿ï»¿"  # byte-order mark, also as it looks when read as latin-1
 
@@ -23,16 +22,16 @@ def read_csv(
 ) -> DataFrame:
     """Read a headed CSV; ``types`` maps cleaned column names to Spark types.
 
-    The header decides the encoding: UTF-8 unless the header or a sampled check of the
-    rows holds the replacement character, which only a wrong decoding produces.
+    Without ``encoding`` the file is read as UTF-8 when every line is valid UTF-8, and as
+    latin-1 otherwise.
     """
     def reader(enc: str):
-        return spark.read.option("header", True).option("encoding", enc).option("multiLine", False)
+        return spark.read.option("header", True).option("encoding", enc)
 
     if encoding is None:
         text = spark.read.text(path)
-        broken = text.where(F.col("value").contains("�")).limit(1).count()
-        encoding = "ISO-8859-1" if broken else "UTF-8"
+        valid = text.where(~F.is_valid_utf8("value")).isEmpty()
+        encoding = "UTF-8" if valid else "ISO-8859-1"
     raw = reader(encoding).csv(path)
     if not lower:
         raw = raw.toDF(*[c.strip().lstrip(_BOM) for c in raw.columns])
@@ -60,7 +59,3 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
         raise KeyError(f"missing columns {missing}")
     return df
 
-
-MEASURE_SCHEMA = T.StructType(
-    [T.StructField("lsoa_code", T.StringType()), T.StructField("value", T.DoubleType())]
-)
