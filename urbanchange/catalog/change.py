@@ -37,17 +37,18 @@ def simple_diff_map(spark, sf):
 
 
 def otsu(spark, sf):
-    return rounded(threshold.otsu(continuous(spark, sf)), "threshold")
+    return rounded(threshold.otsu(materialize(continuous(spark, sf))), "threshold")
 
 
 def multi_otsu(spark, sf):
-    return rounded(threshold.multi_otsu(continuous(spark, sf)), "lower", "threshold")
+    return rounded(threshold.multi_otsu(materialize(continuous(spark, sf))), "lower", "threshold")
 
 
 def scaled_otsu(spark, sf):
-    cut = threshold.scaled_otsu(continuous(spark, sf), 1.5)
+    base = materialize(continuous(spark, sf))
+    cut = threshold.scaled_otsu(base, 1.5)
     return (
-        threshold.above(continuous(spark, sf), cut)
+        threshold.above(base, cut)
         .groupBy("band")
         .agg(F.sum("changed").alias("changed_px"))
         .join(rounded(cut, "threshold"), "band")
@@ -116,7 +117,7 @@ def spatial_context(spark, sf):
 
 
 def triangle_threshold(spark, sf):
-    base = continuous(spark, sf)
+    base = materialize(continuous(spark, sf))
     tri = threshold.triangle(base).withColumnRenamed("threshold", "triangle")
     level = threshold.otsu_8bit(base).withColumnRenamed("threshold", "otsu_level")
     return rounded(tri.join(level, "band"), "triangle", "otsu_level")

@@ -25,7 +25,7 @@ from urbanchange.operators.score import COLS, MEASURE_COLUMNS
 
 PREDICTORS = ["x1", "x2", "x3"]
 PHI = [f"features_band_{b}_simple_diff" for b in BANDS]
-SWEEP_BANDS = [1, 2, 3]
+SWEEP_BANDS = BANDS
 
 
 def clf(spark, sf):

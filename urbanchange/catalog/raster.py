@@ -8,6 +8,7 @@ from urbanchange.catalog.fixtures import BANDS, fx, grid, table, zones
 from urbanchange.functions import columns
 from urbanchange.functions.skew import materialize
 from urbanchange.operators import composite, masks, mosaic, raster_stats, reproject, resample
+from urbanchange.plans import study
 from urbanchange.sources import pixels, scenes
 
 PIXEL = ["period", "band", "row_", "col_"]
@@ -122,6 +123,21 @@ def median_composite(spark, sf):
     return composites(spark, sf)
 
 
+def seasonal_composite(spark, sf):
+    """Boundary box, scene search, cloud mask, one value per solar day, median."""
+    boundary = zones(spark, sf, "a")
+    seen = observations(spark, sf).withColumn("scene_id", F.floor(F.col("obs_id") / 10))
+    out = study.build_composite(
+        boundary,
+        fx(spark, sf, "fx_scenes"),
+        seen.drop("period"),
+        1998,
+        max_cloud=60.0,
+        order=("ts", "obs_id", "tile", "value"),
+    )
+    return rounded(out, "value", digits=4)
+
+
 def band_assets(spark, sf):
     counts = observations(spark, sf).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     return composite.with_asset_names(counts)
@@ -253,6 +269,7 @@ QUERIES = {
         scl_mask,
         solar_day_fuse,
         median_composite,
+        seasonal_composite,
         band_assets,
         landcover_mode,
         green_mask,
@@ -347,6 +364,17 @@ ORACLE = {
             order by (clear is null), ts, obs_id, tile, clear) rn
           from (select * exclude (value) from o_clear)) where rn = 1""",
     "median_composite": 'select period, band, row_, col_, "value" from o_comp',
+    "seasonal_composite": """
+        select 1998 "year", band, row_, col_, round(quantile_cont("value", 0.5), 4) "value" from (
+          select band, row_, col_, clear "value", row_number() over (
+            partition by band, row_, col_, cast(ts + to_seconds(cast(240*lon as bigint)) as date)
+            order by (clear is null), ts, obs_id, tile, clear) rn
+          from o_clear, (select (min(x0) + max(x0) + 3)/2e0 lon, min(x0) bx0, max(x0)+3 bx1,
+              min(y0) by0, max(y0)+4 by1 from fx_zones where kind='a') b
+          where obs_id // 10 in (select scene_id from fx_scenes
+            where cast(ts as date) between date '1998-06-01' and date '1998-08-31'
+              and cloud_cover < 60 and min_x <= bx1 and max_x >= bx0 and min_y <= by1 and max_y >= by0))
+        where rn = 1 group by band, row_, col_""",
     "band_assets": f"""
         select band, n, band_name, asset from (select band, count(*) n from fx_obs group by band)
         join (values {_ASSETS}) a(b, band_name, asset) on b = band""",

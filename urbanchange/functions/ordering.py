@@ -281,28 +281,32 @@ def grouped_quantiles(
     value: str,
     probs: dict[str, float],
     hot_rows: int = HOT_ROWS,
+    extra: Sequence[Column] = (),
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Quantiles of many, normally small, groups; groups without values give null.
 
     The built-in ``percentile`` keeps all distinct values of a group in one state, so
-    groups above ``hot_rows`` (found by a count, map-side combined) take the exact
-    multi-pass route instead.
+    groups above ``hot_rows`` take the exact multi-pass route instead. They are found by a
+    map-side combined count, or from ``sizes`` (keys, rows) when bounds of the group sizes
+    are cheaper to get. ``extra`` are further aggregates of the same groups.
     """
     keys = list(keys)
 
     def builtin(part: DataFrame) -> DataFrame:
         clean = F.when(~F.isnan(value), F.col(value).cast("double"))
         return part.groupBy(*keys).agg(
-            *[F.percentile(clean, float(p)).alias(name) for name, p in probs.items()]
+            *[F.percentile(clean, float(p)).alias(name) for name, p in probs.items()], *extra
         )
 
     def in_passes(part: DataFrame) -> DataFrame:
-        return part.select(*keys).distinct().join(
-            exact_quantiles(part, value, probs, keys, small_rows=hot_rows), keys, "left"
-        )
+        groups = part.groupBy(*keys).agg(*extra) if extra else part.select(*keys).distinct()
+        found = exact_quantiles(part, value, probs, keys, small_rows=hot_rows)
+        return groups.join(found, keys, "left")
 
-    counts = df.groupBy(*keys).agg(F.count(value).alias("_rows"))
-    hot = small_side(counts.where(F.col("_rows") > hot_rows).select(*keys))
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(value).alias("rows"))
+    hot = small_side(sizes.where(F.col("rows") > hot_rows).select(*keys))
     if hot is None:
         return in_passes(df)
     if hot.isEmpty():

@@ -9,17 +9,34 @@ from pyspark.sql import functions as F
 
 from urbanchange.config import Grid
 from urbanchange.functions.skew import HOT_ROWS, salted_join
-from urbanchange.operators.scanfill import covered_cells
+from urbanchange.operators.scanfill import dissolved_spans, span_cells
 
 PIXEL = ("band", "row_", "col_")
+MAX_SPANS = 200_000  # three integers each
 
 
 def clip_to_boundary(
-    pixels: DataFrame, boundary: DataFrame, grid: Grid, hot_rows: int = HOT_ROWS
+    pixels: DataFrame,
+    boundary: DataFrame,
+    grid: Grid,
+    hot_rows: int = HOT_ROWS,
+    max_spans: int = MAX_SPANS,
 ) -> DataFrame:
-    """Keep the pixels whose centre lies in any boundary polygon."""
-    cells = covered_cells(boundary, ["code"], grid).select("row_", "col_").distinct()
-    return salted_join(pixels, cells, ["row_", "col_"], "left_semi", hot_rows)
+    """Keep the pixels whose centre lies in any boundary polygon.
+
+    The boundary is a few column spans per image row. Up to ``max_spans`` of them (counted)
+    are broadcast and no pixel is shuffled; beyond that cells are joined, hot ones salted.
+    """
+    spans = dissolved_spans(boundary, grid)
+    if spans.limit(max_spans + 1).count() <= max_spans:
+        spans = F.broadcast(spans.withColumnRenamed("row_", "_row"))
+        within = (
+            (F.col("row_") == F.col("_row"))
+            & (F.col("col_") >= F.col("first"))
+            & (F.col("col_") < F.col("past"))
+        )
+        return pixels.join(spans, within, "left_semi")
+    return salted_join(pixels, span_cells(spans, []), ["row_", "col_"], "left_semi", hot_rows)
 
 
 def crop_extent(pixels: DataFrame) -> DataFrame:

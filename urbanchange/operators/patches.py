@@ -48,7 +48,7 @@ def extract_patches(
 ) -> DataFrame:
     """One row per window with its values as a row-major array; a window is size squared."""
     cells = F.transform(
-        F.array_sort(F.collect_list(F.struct("pr", "pc", F.col(value).alias("v")))),
+        F.sort_array(F.collect_list(F.struct("pr", "pc", F.col(value).alias("v")))),
         lambda e: e["v"],
     )
     return patch_pixels(df, grid, size, stride).groupBy(*by, "pi", "pj").agg(cells.alias("patch"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from urbanchange.config import Grid
 from urbanchange.functions.ordering import exact_quantiles, grouped_quantiles
 from urbanchange.functions.skew import HOT_ROWS
-from urbanchange.operators.scanfill import covered_cells
+from urbanchange.operators.scanfill import covered_spans, span_cells
 
 ZONAL = ("count", "min", "mean", "max", "median")
 
@@ -53,22 +53,23 @@ def zonal_statistics(
     if unknown:
         raise ValueError(f"unknown statistics {sorted(unknown)}")
     valid = pixels.where(F.col("value").isNotNull()).select("row_", "col_", "value")
-    inside = covered_cells(zones, ["code"], grid).join(valid, ["row_", "col_"])
+    spans = covered_spans(zones, ["code"], grid)
+    inside = span_cells(spans, ["code"]).join(valid, ["row_", "col_"])
     known = {
         "count": F.count("value"),
         "min": F.min("value"),
         "mean": F.avg("value"),
         "max": F.max("value"),
     }
-    found = inside.groupBy("code").agg(
-        F.count("value").alias("_n"), *[known[s].alias(s) for s in stats if s != "median"]
-    )
+    plain = [known[s].alias(s) for s in stats if s != "median"]
     if "median" in stats:
-        found = found.join(
-            grouped_quantiles(inside, ["code"], "value", {"median": 0.5}, hot_rows),
-            "code",
-            "left",
+        # The covered cells bound the pixels of a zone and are counted without a join.
+        sizes = spans.groupBy("code").agg(F.sum(F.col("past") - F.col("first")).alias("rows"))
+        found = grouped_quantiles(
+            inside, ["code"], "value", {"median": 0.5}, hot_rows, plain, sizes
         )
+    else:
+        found = inside.groupBy("code").agg(*plain)
     out = zones.select("code").distinct().join(found, "code", "left")
     if "count" in stats:
         out = out.withColumn("count", F.coalesce("count", F.lit(0)))

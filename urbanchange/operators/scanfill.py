@@ -54,10 +54,35 @@ def covered_spans(zones: DataFrame, keys: Sequence[str], grid: Grid) -> DataFram
     )
 
 
+def span_cells(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per covered cell of each span."""
+    return spans.select(
+        *keys, "row_", F.explode(F.sequence(F.col("first"), F.col("past") - 1)).alias("col_")
+    )
+
+
 def covered_cells(zones: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
     """One row per key and covered cell; a cell appears once for every zone over it."""
-    return covered_spans(zones, keys, grid).select(
-        *keys, "row_", F.explode(F.sequence(F.col("first"), F.col("past") - 1)).alias("col_")
+    return span_cells(covered_spans(zones, keys, grid), keys)
+
+
+def dissolved_spans(zones: DataFrame, grid: Grid) -> DataFrame:
+    """Spans of the union of all zones: row_, first, past, apart from each other.
+
+    Spans are reduced to one per start column before they are ordered along a row.
+    """
+    starts = (
+        covered_spans(zones, ["code"], grid).groupBy("row_", "first").agg(F.max("past").alias("past"))
+    )
+    line = W.partitionBy("row_").orderBy("first")
+    reached = F.max("past").over(line.rowsBetween(W.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("first") <= F.col("_reached"), 0).otherwise(1)).over(line)
+    return (
+        starts.withColumn("_reached", reached)
+        .withColumn("_island", island)
+        .groupBy("row_", "_island")
+        .agg(F.min("first").alias("first"), F.max("past").alias("past"))
+        .drop("_island")
     )
 
 
