@@ -143,6 +143,33 @@ def test_salted_join(spark, how):
         assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
 
 
+def test_hot_keys(spark, monkeypatch):
+    from urbanchange.functions import skew
+
+    df = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"))
+    hot, few = skew.hot_keys(df, ["k"], 1000)
+    assert few and [r[0] for r in hot.collect()] == [7]
+    assert skew.hot_keys(df, ["k"], 4000) == (None, True)
+    block = [F.shiftright("k", 10)]
+    hot, few = skew.hot_keys(df, ["k"], 500, absolute=True, coarse=block)
+    assert few and [r[0] for r in hot.collect()] == [7]
+    monkeypatch.setattr(skew, "small_side", lambda d, max_rows=0: None)
+    hot, few = skew.hot_keys(df, ["k"], 500, absolute=True)
+    assert not few and [r[0] for r in hot.collect()] == [7]
+
+
+def test_many_hot_groups_take_the_exact_route(spark, monkeypatch):
+    from urbanchange.functions import ordering
+
+    pdf = frame(4)
+    df = spark.createDataFrame(pdf)
+    monkeypatch.setattr(ordering, "hot_keys", lambda d, k, n, **_: (d.select(*k).distinct(), False))
+    got = grouped_quantiles(df, ["g"], "v", {"q": 0.5}, 10, extra=[F.count("v").alias("n")])
+    got = got.toPandas().set_index("g").sort_index()
+    assert np.allclose(got.q, pdf.groupby("g").v.quantile(0.5))
+    assert (got.n == pdf.groupby("g").v.size()).all()
+
+
 def test_join_stats_without_rows_keeps_left(spark):
     left = spark.range(3)
     nothing = spark.createDataFrame([], "q double")

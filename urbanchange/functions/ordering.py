@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanchange.functions.skew import HOT_KEYS, HOT_ROWS, salted_join, small_side
+from urbanchange.functions.skew import HOT_ROWS, hot_keys, salted_join, small_side
 
 _COARSE = 42
 _FINE = 21
@@ -113,7 +113,8 @@ def with_percentile_ranks(
         row, "_copies", F.explode(F.filter(cells, lambda c: c["v"].isNotNull())).alias("_cell")
     ).select("_row", "_copies", "_cell.measure", "_cell.v")
     counts = value_counts(long, ["measure"], "v", F.col("_copies"))
-    hot = counts.where(F.col("n") > hot_rows).orderBy(F.desc("n"), "measure", "v").limit(HOT_KEYS)
+    # The tie counts tell the hot values; a thousand of them leave none above a thousandth.
+    hot = counts.where(F.col("n") > hot_rows).orderBy(F.desc("n"), "measure", "v").limit(1000)
     ranks = running_counts(counts, ["measure"], "v").select(
         "measure",
         "v",
@@ -283,13 +284,15 @@ def grouped_quantiles(
     hot_rows: int = HOT_ROWS,
     extra: Sequence[Column] = (),
     sizes: DataFrame | None = None,
+    coarse: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Quantiles of many, normally small, groups; groups without values give null.
 
     The built-in ``percentile`` keeps all distinct values of a group in one state, so
-    groups above ``hot_rows`` take the exact multi-pass route instead. They are found by a
-    map-side combined count, or from ``sizes`` (keys, rows) when bounds of the group sizes
-    are cheaper to get. ``extra`` are further aggregates of the same groups.
+    groups above ``hot_rows`` take the exact multi-pass route instead. They are found by
+    counting buckets of groups (``coarse``, see hot_keys), or from ``sizes`` (keys, rows)
+    when bounds of the group sizes are at hand. ``extra`` are further aggregates of the
+    same groups.
     """
     keys = list(keys)
 
@@ -304,12 +307,15 @@ def grouped_quantiles(
         found = exact_quantiles(part, value, probs, keys, small_rows=hot_rows)
         return groups.join(found, keys, "left")
 
-    if sizes is None:
-        sizes = df.groupBy(*keys).agg(F.count(value).alias("rows"))
-    hot = small_side(sizes.where(F.col("rows") > hot_rows).select(*keys))
-    if hot is None:
+    if sizes is not None:
+        side = small_side(sizes.where(F.col("rows") > hot_rows).select(*keys))
+        few = side is not None
+        hot = None if few and side.isEmpty() else side
+    else:
+        hot, few = hot_keys(df, keys, hot_rows, absolute=True, coarse=coarse)
+    if not few:  # too many to broadcast: all groups take the exact route
         return in_passes(df)
-    if hot.isEmpty():
+    if hot is None:
         return builtin(df)
     cold_part = builtin(df.join(hot, keys, "left_anti"))
     return cold_part.unionByName(in_passes(df.join(hot, keys, "left_semi")))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 10_000  # rows a broadcast side may have
 HOT_ROWS = 1_000_000  # rows from which one key is treated as hot
-HOT_KEYS = 1_000  # the largest keys looked at; any other key holds < 1/1000 of the rows
+BUCKETS = 1 << 20  # key buckets counted before single keys are
 SALTS = 256
 
 
@@ -68,20 +68,43 @@ def join_lookup(
     return salted_join(left, lookup, keys, how)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The at most ``HOT_KEYS`` keys with more than ``hot_rows`` rows.
-
-    The limit is on the list of keys that get salted, not on data: by the pigeonhole
-    principle every key left out holds less than a thousandth of the rows.
+def hot_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    *,
+    absolute: bool = False,
+    coarse: Sequence[Column] | None = None,
+) -> tuple[DataFrame | None, bool]:
+    """Keys with more than ``hot_rows`` rows (None when there are none), and if they are few.
+
+    Rows are first counted per bucket of keys, a map-side combined count of at most
+    ``BUCKETS`` groups; usually no bucket is full and that is all. Only keys of full buckets
+    are counted one by one. ``coarse`` gives buckets that follow the layout of the data
+    better than a hash does.
+
+    The threshold is raised to a ten-thousandth of all rows, so there are never more than
+    ten thousand hot keys; what is left out is small against the whole. With ``absolute``
+    it stays, and every hot key is returned, however many there are.
     """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(HOT_KEYS)
-        .drop("_rows")
-    )
+    keys = list(keys)
+    parts = coarse or [F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))]
+    names = [f"_b{i}" for i in range(len(parts))]
+    bucketed = df.select(*keys, *[c.alias(n) for c, n in zip(parts, names)])
+    counts = bucketed.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows"))
+    total, most = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    if most is None or most <= hot_rows:
+        return None, True
+    limit = hot_rows if absolute else max(hot_rows, total // SMALL_ROWS)
+    full = small_side(counts.where(F.col("_rows") > limit).select(*names))
+    if full is not None:
+        bucketed = bucketed.join(full, names, "left_semi")
+    exact = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = exact.where(F.col("_rows") > limit).select(*keys)
+    side = small_side(hot)
+    if side is None:
+        return hot, False
+    return (None if side.isEmpty() else side), True
 
 
 def salted_join(
@@ -95,17 +118,20 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join in which the rows of hot ``left`` keys are spread over ``salts`` tasks.
 
-    Only hot keys are salted, and only their ``right`` rows are repeated. The salt is a
-    hash of the whole row, so a retried task sends every row to the same place again.
-    ``how`` is inner, left, left_semi or left_anti. ``hot`` can give the hot keys when they
-    are known already; at most ``HOT_KEYS`` rows.
+    Only hot keys are salted, and only their ``right`` rows are repeated; without hot keys
+    this is a plain join. The salt is a hash of the whole row, so a retried task sends every
+    row to the same place again. ``how`` is inner, left, left_semi or left_anti. ``hot`` can
+    give the hot keys when they are known already: at most ``SMALL_ROWS`` rows.
     """
     keys = list(keys)
-    found = hot_keys(left, keys, hot_rows) if hot is None else hot.select(*keys)
-    hot = F.broadcast(found.limit(HOT_KEYS).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
+    if hot is None:
+        hot, _ = hot_keys(left, keys, hot_rows)  # few, by the raised threshold
+        if hot is None:
+            return left.join(right, keys, how)
+    hot = F.broadcast(hot.select(*keys).limit(SMALL_ROWS).withColumn("_hot", F.lit(True)))
+    spread_ = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
     salted_left = left.join(hot, keys, "left").select(
-        *left.columns, F.when(F.col("_hot"), spread).otherwise(0).alias("_salt")
+        *left.columns, F.when(F.col("_hot"), spread_).otherwise(0).alias("_salt")
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))

@@ -92,17 +92,6 @@ def edges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def layer_bounds(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Bounding box of all polygons, or of each key."""
-    points = df.select(*keys, F.explode(F.flatten("rings")).alias("p"))
-    return points.groupBy(*keys).agg(
-        F.min("p.x").alias("min_x"),
-        F.min("p.y").alias("min_y"),
-        F.max("p.x").alias("max_x"),
-        F.max("p.y").alias("max_y"),
-    )
-
-
 def with_bounds(df: DataFrame) -> DataFrame:
     """Bounding box of each polygon row, without a shuffle."""
     xs = F.transform(F.flatten("rings"), lambda p: p["x"])
@@ -116,6 +105,20 @@ def with_bounds(df: DataFrame) -> DataFrame:
     )
 
 
+def layer_bounds(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Bounding box of all polygons, or of each key."""
+    return (
+        with_bounds(df)
+        .groupBy(*keys)
+        .agg(
+            F.min("min_x").alias("min_x"),
+            F.min("min_y").alias("min_y"),
+            F.max("max_x").alias("max_x"),
+            F.max("max_y").alias("max_y"),
+        )
+    )
+
+
 def polygon_area(df: DataFrame, keys: Sequence[str] = ("code",)) -> DataFrame:
     """Area per key: shells minus holes, parts of a multi-polygon added up."""
     areas = F.transform("rings", lambda r: F.abs(signed_area(r)))
