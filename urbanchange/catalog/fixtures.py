@@ -117,15 +117,24 @@ def with_clause(query: str, statements: dict[str, str], recursive: bool = False)
     return word + ",\n".join(parts) + "\n" + query
 
 
+_OPENED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table; the file footer is read once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _OPENED:
+        _OPENED[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _OPENED[key]
 
 
 def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived input as a DataFrame."""
+    text = with_clause(f"select * from {name}", FX)
     for t in TABLES:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(with_clause(f"select * from {name}", FX))
+        if re.search(rf"\b{t}\b", text):
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(text)
 
 
 def grid(spark: SparkSession, sf_dir: str) -> Grid:
