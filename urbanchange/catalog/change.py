@@ -210,9 +210,9 @@ STATEMENTS = {
         select p.band, i pi, j pj, p.row_-i*{STRIDE} pr, p.col_-j*{STRIDE} pc,
           coalesce(v1,0) v1, coalesce(v2,0) v2, p.row_, p.col_
         from o_pairs p
-          join (select unnest(range(0, cast((max(row_)+1-{SIZE})//{STRIDE}+1 as bigint))) i from fx_cells)
+          join (select unnest(range(0, cast(greatest(max(row_)+1-{SIZE}+{STRIDE}, 0)//{STRIDE} as bigint))) i from fx_cells)
             on p.row_ between i*{STRIDE} and i*{STRIDE}+{SIZE - 1}
-          join (select unnest(range(0, cast((max(col_)+1-{SIZE})//{STRIDE}+1 as bigint))) j from fx_cells)
+          join (select unnest(range(0, cast(greatest(max(col_)+1-{SIZE}+{STRIDE}, 0)//{STRIDE} as bigint))) j from fx_cells)
             on p.col_ between j*{STRIDE} and j*{STRIDE}+{SIZE - 1}""",
     "o_sizes": "select max(row_) + 1 h, max(col_) + 1 w from fx_cells",
     "o_levels": """
@@ -288,7 +288,7 @@ ORACLE = {
         select p.band, p.row_, p.col_, round(coalesce(avg(q.v1*(q.pi+1)),0),4) "value"
         from o_pairs p left join o_patch q using (band, row_, col_) group by 1, 2, 3""",
     "score_patches": """
-        select band, row_, col_, round((v - min(v) over w)/(max(v) over w - min(v) over w),6) "value"
+        select band, row_, col_, round((v - min(v) over w)/nullif(max(v) over w - min(v) over w, 0),6) "value"
         from (select p.band, p.row_, p.col_, coalesce(avg(s.score),0) v from o_pairs p
           left join o_patch q using (band, row_, col_)
           left join (select band, pi, pj, avg(abs(v2-v1)) score from o_patch group by 1, 2, 3) s

@@ -65,12 +65,14 @@ FX = {
     "fx_wards": """
         select c_custkey code, case when c_acctbal < 0 then null else c_nationkey end ward
         from customer""",
+    "fx_steps": "select 0 k union all select 1 union all select 2 union all select 3",
     "fx_cells": """
-        select cast(floor(s_suppkey/4e0) as int) row_, cast((s_suppkey % 4)*4 + k as int) col_
-        from supplier, (select 0 k union all select 1 union all select 2 union all select 3) q""",
+        select row_, cast(4*a.k + b.k as int) col_
+        from (select distinct cast(floor(s_suppkey/4e0) as int) row_ from supplier) r,
+          fx_steps a, fx_steps b""",
     "fx_blocks": """
-        select distinct cast(floor(s_suppkey/16e0) as int)*4 y0, cast(s_suppkey % 4 as int)*4 x0
-        from supplier""",
+        select y0, cast(4*k as int) x0
+        from (select distinct cast(floor(s_suppkey/16e0) as int)*4 y0 from supplier) r, fx_steps""",
     "fx_zones": """
         select y0*8+x0 code, 'a' kind, x0, y0 from fx_blocks
         union all select y0*8+x0+1, 'b', x0, y0 from fx_blocks

@@ -23,7 +23,8 @@ def spatial_context(
 
     The neighbourhood is a product of two offset sets, so the sum is taken along image
     rows and then along image columns: range windows of one image line each, instead of a
-    copy of every pixel per neighbour. Cells outside the image count as zero.
+    copy of every pixel per neighbour. Cells outside the image count as zero. ``pairs`` are
+    complete images, every cell present (see masks.on_grid).
     """
     by = list(by)
     e, n = excluded, neighborhood
@@ -61,7 +62,8 @@ def spatial_context(
 def neighbour_blocks(df: DataFrame, bands: Sequence[int], block: int = 3) -> DataFrame:
     """Zero-padded block x block neighbourhood of every cell, all bands, as one array.
 
-    Two window passes over image lines collect the neighbours; no row is copied.
+    Two window passes over image lines collect the neighbours; no row is copied. ``df``
+    holds complete images.
     """
     half = block // 2
     offsets = range(-half, block - half)
