@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanchange.llm import decontaminate, perplexity, sharding, simhash
+from urbanchange.llm import decontaminate, mixing, perplexity, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +46,20 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_perplexity": op4_perplexity,
     "op6_decontaminate": op6_decontaminate,
+    "op8_pfair_mix": op8_pfair_mix,
+    "op9_weak_quality": op9_weak_quality,
     "op3_feistel_shards": op3_feistel_shards,
 }
 ORACLES: dict[str, str] = {}
