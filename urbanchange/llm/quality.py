@@ -163,7 +163,7 @@ class Model(NamedTuple):
     abuse_votes: np.ndarray
 
 
-VOTES = T.StructType.fromDDL("junk array<int>, abuse array<int>")
+VOTES = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("junk", "abuse")])
 INTS = pa.list_(pa.int32())
 
 

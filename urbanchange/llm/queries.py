@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanchange.llm import decontaminate, mixing, perplexity, quality, sharding, simhash
+from urbanchange.llm import chat, decontaminate, mixing, perplexity, quality, sharding, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +54,27 @@ def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_dated_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    captures, events = urlfilter.page_captures(pages), urlfilter.page_list_events(pages)
+    return urlfilter.evaluate(captures, events, "page_id", "url", "fetched")
+
+
+def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_perplexity": op4_perplexity,
     "op6_decontaminate": op6_decontaminate,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_weak_quality": op9_weak_quality,
+    "op5_dated_url_lists": op5_dated_url_lists,
+    "op10_chat_snapshots": op10_chat_snapshots,
     "op3_feistel_shards": op3_feistel_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_dated_url_lists": urlfilter.ORACLE,
+    "op10_chat_snapshots": chat.ORACLE,
+}
