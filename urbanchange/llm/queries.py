@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanchange.llm import chat, decontaminate, mixing, perplexity, quality, sharding, simhash, urlfilter
+from urbanchange.llm import chat, decontaminate, mixing, perplexity, quality, sharding, simhash, urlfilter, warc
+from urbanchange.llm.common import new_folder, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    records = warc.resolved(written(warc.read(spark, folder, payloads=False)))
+    return records.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, crc = sharding.text_facts("text")
     rows = _table(spark, sf_dir, "documents").select(
@@ -72,6 +83,7 @@ QUERIES = {
     "op9_weak_quality": op9_weak_quality,
     "op5_dated_url_lists": op5_dated_url_lists,
     "op10_chat_snapshots": op10_chat_snapshots,
+    "op2_warc_archives": op2_warc_archives,
     "op3_feistel_shards": op3_feistel_shards,
 }
 ORACLES: dict[str, str] = {
