@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanchange.llm import chat, decontaminate, mixing, perplexity, quality, sharding, simhash, urlfilter, warc
+from urbanchange.llm import chat, decontaminate, mixing, perplexity, quality, secrets, sharding, simhash, urlfilter, warc
 from urbanchange.llm.common import new_folder, written
 
 
@@ -75,6 +75,15 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(_table(spark, sf_dir, "conversations"))
 
 
+def op7_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.joined("base_spans"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_perplexity": op4_perplexity,
@@ -84,6 +93,7 @@ QUERIES = {
     "op5_dated_url_lists": op5_dated_url_lists,
     "op10_chat_snapshots": op10_chat_snapshots,
     "op2_warc_archives": op2_warc_archives,
+    "op7_secret_layers": op7_secret_layers,
     "op3_feistel_shards": op3_feistel_shards,
 }
 ORACLES: dict[str, str] = {
