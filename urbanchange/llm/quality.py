@@ -6,8 +6,8 @@ labeller, which mostly does not vote. Expectation-maximisation over the counts o
 (at most 3 to the power of the labellers, whatever the corpus) estimates the share of yes
 documents and how each labeller votes in either class. The posterior of a pattern is a soft label.
 A logistic scorer over hashed words, word beginnings and style marks is fitted to the soft labels
-of about `SAMPLE` documents, picked by a hash among those that the label table covers (among all
-without such a table), and judges every document.
+of about `SAMPLE` documents, picked by a hash, those that the label table covers first, and judges
+every document. Documents on which EM is undecided don't take part in the fit.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ by_value(__name__)
 SAMPLE = 20_000  # documents the scorer is fitted on
 BITS = 18  # hashed features: 2 ** BITS, so a model is 2 MB
 ROUNDS = 200  # of EM, an end in case it creeps
+DOUBT = 0.02  # a posterior between this and one less this is no label
 YES, NO, NONE = 1, 0, 2
 
 # Words of abuse in English, in two lists; words that show a text to be English.
@@ -94,9 +95,13 @@ def facts(utf8: bytes) -> tuple[tuple[int, ...], tuple[int, ...], set[bytes], di
 
 
 def features(words: set[bytes], marks: dict[str, float]) -> np.ndarray:
-    """Hashed numbers of the words, their first 4 and 5 bytes, and the style marks."""
+    """Hashed numbers of the words, their first 4 and 5 bytes, and the style marks.
+
+    A mark is hashed four times over, so that it counts for more than a word.
+    """
     starts = {w[:n] + b"-" for w in words if len(w) > 4 for n in (4, 5)}
-    tokens = [*words, *starts, *(f"\n{k}={min(9, int(v * 20))}".encode() for k, v in marks.items())]
+    style_marks = (f"\n{r}{k}={min(9, int(v * 20))}".encode() for k, v in marks.items() for r in range(4))
+    tokens = [*words, *starts, *style_marks]
     hashed = np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens))
     return np.unique(hashed & np.uint32((1 << BITS) - 1)).astype(np.int32)
 
@@ -130,14 +135,19 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
 
 
 def fit_scorer(sample: DataFrame, column: str, labels: dict[tuple[int, ...], float]) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic scorer on soft labels; each row counts for both classes."""
+    """Weights and intercept of a logistic scorer on the soft labels that are beyond doubt.
+
+    A row counts for yes and for no with its posterior; the ridge is two over the rows.
+    """
     vector = F.udf(  # on the sample only
         lambda idx: Vectors.sparse(1 << BITS, [int(i) for i in idx], [1.0] * len(idx)), VectorUDT()
     )
-    known = sample.sparkSession.createDataFrame(
-        [(list(k), v) for k, v in labels.items()], f"{column} array<int>, _yes double"
-    )
+    decided = [(list(k), v) for k, v in labels.items() if not DOUBT <= v <= 1 - DOUBT]
+    known = sample.sparkSession.createDataFrame(decided, f"{column} array<int>, _yes double")
     rows = sample.join(F.broadcast(known), column).select(vector("features").alias("features"), "_yes")
+    counts = rows.groupBy((F.col("_yes") > 0.5).alias("yes")).count().collect()
+    if len(counts) < 2:  # nothing to tell apart
+        return np.zeros(1 << BITS), 30.0 if counts and counts[0]["yes"] else -30.0
     both = rows.select(
         "features",
         F.explode(F.array(
@@ -145,11 +155,9 @@ def fit_scorer(sample: DataFrame, column: str, labels: dict[tuple[int, ...], flo
             F.struct(F.lit(0.0).alias("label"), (1 - F.col("_yes")).alias("w")),
         )).alias("_l"),
     ).select("features", "_l.label", "_l.w").where("w > 1e-6")
-    classes = [r["label"] for r in both.select("label").distinct().collect()]
-    if len(classes) < 2:  # nothing to tell apart
-        return np.zeros(1 << BITS), 30.0 if classes == [1.0] else -30.0
+    ridge = 2 / sum(r["count"] for r in counts)
     fit = LogisticRegression(
-        weightCol="w", maxIter=40, regParam=1e-4, standardization=False, maxBlockSizeInMB=16
+        weightCol="w", maxIter=40, regParam=ridge, standardization=False, maxBlockSizeInMB=16
     ).fit(both)
     return fit.coefficients.toArray(), float(fit.intercept)
 
@@ -217,15 +225,17 @@ def train(docs: DataFrame, id_col: str, text: str, labels: DataFrame | None = No
         sums: dict[tuple[int, ...], int] = {}
         for r in counts:
             sums[tuple(r[column])] = sums.get(tuple(r[column]), 0) + r["n"]
-        patterns = np.array(list(sums), int).reshape(len(sums), -1)
+        patterns = np.array(list(sums), int).reshape(len(sums), -1) if sums else np.empty((0, 0), int)
         yes, votes[column] = posteriors(patterns, np.array(list(sums.values()), float))
         soft[column] = dict(zip(sums, yes.tolist()))
+    total = sum(r["n"] for r in counts)
     covered = 0 if given is None else rows.join(given, "_id", "left_semi").count()
-    if not covered:
-        given = None
-    share = min(1.0, sample / max(covered or sum(r["n"] for r in counts), 1))
-    drawn = F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30))
-    some = _with_labels(rows.where(drawn), given, "inner")
+    first = min(1.0, sample / max(covered, 1))
+    others = min(1.0, max(0, sample - covered) / max(total - covered, 1))
+    drawn = F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(1 << 30)) / (1 << 30)
+    some = _with_labels(rows.where(drawn < max(first, others)), given, "left")
+    labelled = (F.col("_junk") != NONE) | (F.col("_abuse") != NONE)
+    some = some.where(drawn < F.when(labelled, first).otherwise(others))
     some = _votes(some, "_text", ["_junk", "_abuse"], True).select(*both, "features")
     some = written(some)
     return Model(*(fit_scorer(some, c, soft[c]) for c in VOTES.names), votes["junk"], votes["abuse"])

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanchange.llm.common import by_value, number_rows, remove
@@ -125,10 +125,6 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
 # -- writing --------------------------------------------------------------------------------
 
 
-def _order(page: Column, digest: Column) -> list[Column]:
-    return [page.isNull(), page, digest]
-
-
 def write(
     pages: DataFrame,
     folder: str,
@@ -142,44 +138,39 @@ def write(
     """Write one record per row to ``folder`` and return the manifest.
 
     A null payload is empty; null urls and ids have no header; null ids come last. Rows may
-    repeat: of equal rows the first is the response. An empty table gives an empty manifest.
-    Other columns are left aside.
+    repeat: of equal rows the first is the response, and rows equal in id and payload are written
+    by one task, one after the other. An empty table gives an empty manifest. Other columns are
+    left aside.
     """
     spark = pages.sparkSession
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(
         F.col(id_col).alias("page"), F.col(url).cast("string").alias("url"), body.alias("body"),
         F.sha1(body).alias("digest"), F.octet_length(body).alias("size"),
-        F.monotonically_increasing_id().alias("scan"),
     )
-    narrow = rows.select("page", "digest", "size", "scan")
-    numbered, total = number_rows(narrow, [*_order(F.col("page"), F.col("digest")), F.col("scan")], "row")
+    key = [F.col("page").isNull(), F.col("page"), F.col("digest")]
+    narrow = rows.select("page", "digest", "size")
+    numbered, total = number_rows(narrow, key, "row")
     step = max(1, -(-total // shards))
     firsts = numbered.where(F.col("row") % step == 0).orderBy("row").collect()  # one per shard
     place = lambda *values: F.struct(*[v.alias(f"k{i}") for i, v in enumerate(values)])
     kind = narrow.schema["page"].dataType
-    bounds = [
-        place(F.lit(r["page"] is None), F.lit(r["page"]).cast(kind), F.lit(r["digest"]), F.lit(r["scan"]).cast("long"))
-        for r in firsts[1:]
-    ]
-    own = place(F.col("page").isNull(), F.col("page"), F.col("digest"), F.col("scan"))
-    shard = F.size(F.filter(F.array(*bounds), lambda b: b <= own)) if bounds else F.lit(0)
+    starts = dict.fromkeys((r["page"], r["digest"]) for r in firsts[1:])
+    bounds = [place(F.lit(p is None), F.lit(p).cast(kind), F.lit(d)) for p, d in starts]
+    shard = F.size(F.filter(F.array(*bounds), lambda b: b <= place(*key))) if bounds else F.lit(0)
     # rows of equal payloads: the first of them in order; combined before the shuffle
     copies = (
         numbered.where(F.col("size") >= min_bytes).groupBy("digest")
         .agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     )
-    roles = numbered.join(copies, "digest", "left").select(
-        "page", "digest", "scan", "row",
-        F.when((F.col("first") < F.col("row")) & (F.col("size") >= min_bytes), F.col("first")).alias("first"),
-    )
-    # each row's number and role sort right before its payload, so payloads are shuffled once
+    # rows equal in id and payload have consecutive numbers, so one line tells of all of them
+    roles = numbered.groupBy("page", "digest").agg(F.min("row").alias("row")).join(copies, "digest", "left")
+    # that line sorts right before their payloads, so payloads are shuffled once
     none = lambda kind: F.lit(None).cast(kind)
-    told = roles.select("page", "digest", "scan", "row", "first", none("string").alias("url"), none("binary").alias("body"))
-    full = rows.select("page", "digest", "scan", none("long").alias("row"), none("long").alias("first"), "url", "body")
+    told = roles.select("page", "digest", "row", "first", none("string").alias("url"), none("binary").alias("body"))
+    full = rows.select("page", "digest", none("long").alias("row"), none("long").alias("first"), "url", "body")
     merged = told.union(full).withColumn("shard", shard).withColumn("id", F.col("page").cast("string"))
-    keys = ["shard", F.col("page").isNull(), "page", "digest", "scan", F.col("row").isNull()]
-    dealt = merged.repartition(shards, "shard").sortWithinPartitions(*keys)
+    dealt = merged.repartition(shards, "shard").sortWithinPartitions("shard", *key, F.col("row").isNull(), "url")
     dealt = dealt.select("shard", "id", "row", "first", "url", "body")
     store, root = opened(folder)
     store.create_dir(f"{root}/_temporary", recursive=True)
@@ -194,11 +185,13 @@ def write(
                 if row is not None:
                     number, first = row, told_first
                     continue
+                revisits = first if first is not None and first < number else None
                 if roller is None or roller.shard != shard:
                     done.append(roller.close() if roller else None)
                     roller = Roller(store, root, shard, file_bytes)
                 url, body = columns[4][at].as_py(), columns[5][at].as_py()
-                done.append(roller.add(member(record(number, page, url, body, first))))
+                done.append(roller.add(member(record(number, page, url, body, revisits))))
+                number += 1
         done.append(roller.close() if roller else None)
         listed = list(zip(*(d for d in done if d))) or [[]] * 6
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
