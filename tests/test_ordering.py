@@ -135,7 +135,7 @@ def test_salted_join(spark, how):
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
     right = right.unionByName(right.where("k = 1"))
     want = left.join(right, "k", how)
-    got = salted_join(left, right, ["k"], how, hot_rows=100, salts=7)
+    got = salted_join(left, right, ["k"], how, hot_rows=100, buckets=64)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) or how == "left"
     if how == "left":
@@ -151,10 +151,10 @@ def test_hot_keys(spark, monkeypatch):
     assert few and [r[0] for r in hot.collect()] == [7]
     assert skew.hot_keys(df, ["k"], 4000) == (None, True)
     block = [F.shiftright("k", 10)]
-    hot, few = skew.hot_keys(df, ["k"], 500, absolute=True, coarse=block)
+    hot, few = skew.hot_keys(df, ["k"], 500, coarse=block)
     assert few and [r[0] for r in hot.collect()] == [7]
     monkeypatch.setattr(skew, "small_side", lambda d, max_rows=0: None)
-    hot, few = skew.hot_keys(df, ["k"], 500, absolute=True)
+    hot, few = skew.hot_keys(df, ["k"], 500)
     assert not few and [r[0] for r in hot.collect()] == [7]
 
 

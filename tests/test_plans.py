@@ -10,7 +10,7 @@ from test_geometry import box, layer
 
 from urbanchange.config import Grid, Study
 from urbanchange.operators import classify, masks, measures
-from urbanchange.operators.score import COLS, MEASURE_COLUMNS
+from urbanchange.operators.score import DISADVANTAGED, MEASURE_COLUMNS
 from urbanchange.plans import study as plans
 
 GRID = Grid(24, 24)
@@ -63,7 +63,7 @@ def test_study(spark):
     boundary = squares.select(F.col("code").alias("lsoa_code"))
     scores = plans.score_areas(series, boundary)
     assert scores.count() == 36 and scores.where("lsoa_code = 'X'").count() == 0
-    assert scores.where(COLS.disadvantaged).count() >= 18
+    assert scores.where(DISADVANTAGED).count() >= 18
 
     built = plans.modeling_table(scores, changes, squares, town, GRID, ["town"], bands=BANDS)
     assert built.predictors == ["features_band_1_simple_diff", "features_band_2_simple_diff", "town"]

@@ -21,7 +21,7 @@ from urbanchange.operators import (
     transforms,
 )
 from urbanchange.operators import table as modeling
-from urbanchange.operators.score import COLS, MEASURE_COLUMNS
+from urbanchange.operators.score import DISADVANTAGED, INDEX_T1, INDEX_T2, MEASURE_COLUMNS, SCORE
 
 PREDICTORS = ["x1", "x2", "x3"]
 PHI = [f"features_band_{b}_simple_diff" for b in BANDS]
@@ -33,24 +33,24 @@ def clf(spark, sf):
 
 
 def binarize(spark, sf):
-    scored = full_score(spark, sf).select("code", COLS.score)
-    return rounded(modeling.binarize(scored), COLS.score)
+    scored = full_score(spark, sf).select("code", SCORE)
+    return rounded(modeling.binarize(scored), SCORE)
 
 
 def restrict_flag(spark, sf):
     kept = modeling.restrict_to_disadvantaged(full_score(spark, sf))
-    return rounded(kept.select("code", COLS.index_t1), COLS.index_t1)
+    return rounded(kept.select("code", INDEX_T1), INDEX_T1)
 
 
 def modeling_parts(spark, sf):
-    scored = full_score(spark, sf).select("code", COLS.score, COLS.disadvantaged)
+    scored = full_score(spark, sf).select("code", SCORE, DISADVANTAGED)
     return modeling.assemble_modeling_table(
         scored, phi(spark, sf), coverage(spark, sf), score_code="code", key="code"
     )
 
 
 def modeling_table(spark, sf):
-    return rounded(modeling_parts(spark, sf).data, COLS.score, *PHI, *LAYERS)
+    return rounded(modeling_parts(spark, sf).data, SCORE, *PHI, *LAYERS)
 
 
 def monotone_transforms(spark, sf):
@@ -195,7 +195,7 @@ def sweep_features(spark, sf, limits):
 
 
 def threshold_features(spark, sf):
-    out = sweep_features(spark, sf, [100, 269, 800])
+    out = sweep_features(spark, sf, sweep.default_thresholds())
     return rounded(out, *out.columns[1:])
 
 
@@ -232,14 +232,14 @@ def best_threshold(spark, sf):
 
 
 def binary_label(spark, sf):
-    scored = full_score(spark, sf).select("code", COLS.score)
-    return rounded(export.add_binary_label(scored), COLS.score)
+    scored = full_score(spark, sf).select("code", SCORE)
+    return rounded(export.add_binary_label(scored), SCORE)
 
 
 def export_table(spark, sf):
     scored = full_score(spark, sf).withColumn("internal", F.lit(1))
     out = export.export_table(scored, phi(spark, sf), "code")
-    return rounded(out, *MEASURE_COLUMNS, COLS.index_t1, COLS.index_t2, COLS.score, *PHI)
+    return rounded(out, *MEASURE_COLUMNS, INDEX_T1, INDEX_T2, SCORE, *PHI)
 
 
 def map_layer_score(spark, sf):
@@ -351,11 +351,11 @@ STATEMENTS = {
 _SWEPT = ", ".join(
     f"round(100e0*count(case when g.band={b} and gap>{t} then 1 end)/a.area,6) features_band_{b}_{t}"
     for b in SWEEP_BANDS
-    for t in (100, 269, 800)
+    for t in sweep.default_thresholds()
 )
 _EXPORTED = ", ".join(
     f"round({c},6) {c}"
-    for c in (*MEASURE_COLUMNS, COLS.index_t1, COLS.index_t2, COLS.score)
+    for c in (*MEASURE_COLUMNS, INDEX_T1, INDEX_T2, SCORE)
 )
 
 ORACLE = {

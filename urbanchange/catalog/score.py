@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from urbanchange.catalog.fixtures import fx, table
 from urbanchange.functions.ordering import with_percentile_ranks
 from urbanchange.operators import measures, score
-from urbanchange.operators.score import COLS, MEASURE_COLUMNS
+from urbanchange.operators.score import DISADVANTAGED, INDEX_T1, INDEX_T2, MEASURE_COLUMNS, SCORE
 
 
 def rounded(df, *cols, digits=6):
@@ -92,12 +92,12 @@ def percentile_rank(spark, sf):
 
 def weighted_index(spark, sf):
     df = score.weighted_index(census(spark, sf), (0.4, 0.3, 0.2, 0.1))
-    return rounded(df.select("code", COLS.index_t1, COLS.index_t2), COLS.index_t1, COLS.index_t2)
+    return rounded(df.select("code", INDEX_T1, INDEX_T2), INDEX_T1, INDEX_T2)
 
 
 def disadvantaged(spark, sf):
     df = score.flag_disadvantaged(score.weighted_index(census(spark, sf)))
-    return df.select("code", COLS.disadvantaged)
+    return df.select("code", DISADVANTAGED)
 
 
 def full_score(spark, sf):
@@ -106,11 +106,11 @@ def full_score(spark, sf):
 
 def area_score(spark, sf):
     out = full_score(spark, sf)
-    return rounded(out, *MEASURE_COLUMNS, COLS.index_t1, COLS.index_t2, COLS.score)
+    return rounded(out, *MEASURE_COLUMNS, INDEX_T1, INDEX_T2, SCORE)
 
 
 def ward_scores(spark, sf):
-    values = (COLS.index_t1, COLS.index_t2, COLS.score)
+    values = (INDEX_T1, INDEX_T2, SCORE)
     out = score.ward_scores(
         full_score(spark, sf), fx(spark, sf, "fx_wards"), "code", "ward", values
     )

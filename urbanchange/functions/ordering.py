@@ -113,8 +113,6 @@ def with_percentile_ranks(
         row, "_copies", F.explode(F.filter(cells, lambda c: c["v"].isNotNull())).alias("_cell")
     ).select("_row", "_copies", "_cell.measure", "_cell.v")
     counts = value_counts(long, ["measure"], "v", F.col("_copies"))
-    # The tie counts tell the hot values; a thousand of them leave none above a thousandth.
-    hot = counts.where(F.col("n") > hot_rows).orderBy(F.desc("n"), "measure", "v").limit(1000)
     ranks = running_counts(counts, ["measure"], "v").select(
         "measure",
         "v",
@@ -122,7 +120,7 @@ def with_percentile_ranks(
             (F.col("before") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total") * F.lit(100.0)
         ).alias("pct"),
     )
-    placed = salted_join(long, ranks, ["measure", "v"], hot=hot)
+    placed = salted_join(long, ranks, ["measure", "v"], hot_rows=hot_rows)
     wide = placed.groupBy("_row", "_copies").agg(
         *[
             F.max(F.when(F.col("measure") == i, F.col("pct"))).alias(f"_pct{i}")
@@ -267,9 +265,11 @@ def exact_quantiles(
     )
 
     def interpolate(i: int, p: float) -> Column:
+        """As the built-in does it, so both routes agree to the last bit."""
         where = (F.col("_total") - 1) * F.lit(float(p))
         low, high = F.col(f"_lo_{i}"), F.col(f"_hi_{i}")
-        return low + (where - F.floor(where)) * (high - low)
+        between = (F.ceil(where) - where) * low + (where - F.floor(where)) * high
+        return F.when((F.floor(where) == F.ceil(where)) | (low == high), low).otherwise(between)
 
     return picked.select(
         *groups, *[interpolate(i, p).alias(name) for i, (name, p) in enumerate(probs.items())]
@@ -312,7 +312,7 @@ def grouped_quantiles(
         few = side is not None
         hot = None if few and side.isEmpty() else side
     else:
-        hot, few = hot_keys(df, keys, hot_rows, absolute=True, coarse=coarse)
+        hot, few = hot_keys(df, keys, hot_rows, coarse=coarse)
     if not few:  # too many to broadcast: all groups take the exact route
         return in_passes(df)
     if hot is None:

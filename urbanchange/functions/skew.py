@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 10_000  # rows a broadcast side may have
 HOT_ROWS = 1_000_000  # rows from which one key is treated as hot
 BUCKETS = 1 << 20  # key buckets counted before single keys are
-SALTS = 256
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -73,34 +72,28 @@ def hot_keys(
     keys: Sequence[str],
     hot_rows: int = HOT_ROWS,
     *,
-    absolute: bool = False,
     coarse: Sequence[Column] | None = None,
 ) -> tuple[DataFrame | None, bool]:
-    """Keys with more than ``hot_rows`` rows (None when there are none), and if they are few.
+    """All keys with more than ``hot_rows`` rows (None when there are none), and if they are few.
 
     Rows are first counted per bucket of keys, a map-side combined count of at most
     ``BUCKETS`` groups; usually no bucket is full and that is all. Only keys of full buckets
     are counted one by one. ``coarse`` gives buckets that follow the layout of the data
     better than a hash does.
-
-    The threshold is raised to a ten-thousandth of all rows, so there are never more than
-    ten thousand hot keys; what is left out is small against the whole. With ``absolute``
-    it stays, and every hot key is returned, however many there are.
     """
     keys = list(keys)
     parts = coarse or [F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))]
     names = [f"_b{i}" for i in range(len(parts))]
     bucketed = df.select(*keys, *[c.alias(n) for c, n in zip(parts, names)])
     counts = bucketed.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows"))
-    total, most = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    most = counts.agg(F.max("_rows")).first()[0]
     if most is None or most <= hot_rows:
         return None, True
-    limit = hot_rows if absolute else max(hot_rows, total // SMALL_ROWS)
-    full = small_side(counts.where(F.col("_rows") > limit).select(*names))
+    full = small_side(counts.where(F.col("_rows") > hot_rows).select(*names))
     if full is not None:
         bucketed = bucketed.join(full, names, "left_semi")
     exact = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = exact.where(F.col("_rows") > limit).select(*keys)
+    hot = exact.where(F.col("_rows") > hot_rows).select(*keys)
     side = small_side(hot)
     if side is None:
         return hot, False
@@ -113,30 +106,36 @@ def salted_join(
     keys: Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-    hot: DataFrame | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Equi-join in which the rows of hot ``left`` keys are spread over ``salts`` tasks.
-
-    Only hot keys are salted, and only their ``right`` rows are repeated; without hot keys
-    this is a plain join. The salt is a hash of the whole row, so a retried task sends every
-    row to the same place again. ``how`` is inner, left, left_semi or left_anti. ``hot`` can
-    give the hot keys when they are known already: at most ``SMALL_ROWS`` rows.
+    """Equi-join in which the rows of full ``left`` key buckets are spread over many tasks.
+
+    Keys are dealt into ``buckets`` by a hash, and rows counted per bucket. A bucket with more
+    than ``hot_rows`` rows gets one salt per ``hot_rows``: its left rows are spread over them,
+    its right rows repeated for each. The table of salts has at most ``buckets`` rows of two
+    numbers (16 MB), so its broadcast is bounded whatever the data and however many keys are
+    hot; without a full bucket this is a plain join. The salt is a hash of the whole row, so a
+    retried task sends every row to the same place again. ``how`` is inner, left, left_semi or
+    left_anti.
     """
     keys = list(keys)
-    if hot is None:
-        hot, _ = hot_keys(left, keys, hot_rows)  # few, by the raised threshold
-        if hot is None:
-            return left.join(right, keys, how)
-    hot = F.broadcast(hot.select(*keys).limit(SMALL_ROWS).withColumn("_hot", F.lit(True)))
-    spread_ = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    salted_left = left.join(hot, keys, "left").select(
-        *left.columns, F.when(F.col("_hot"), spread_).otherwise(0).alias("_salt")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket")
+    counts = left.select(bucket).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    full = counts.where(F.col("_rows") > hot_rows).collect()  # at most ``buckets`` pairs
+    if not full:
+        return left.join(right, keys, how)
+    salts = F.broadcast(
+        left.sparkSession.createDataFrame(
+            [(r["_bucket"], -(-r["_rows"] // max(hot_rows, 1))) for r in full], "_bucket long, _salts int"
+        )
     )
-    salted_right = right.join(hot, keys, "left").select(
-        *right.columns, F.explode(copies).alias("_salt")
-    )
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+
+    def with_salts(df: DataFrame) -> DataFrame:
+        known = df.withColumn("_bucket", bucket).join(salts, "_bucket", "left")
+        return known.withColumn("_salts", F.coalesce("_salts", F.lit(1))).drop("_bucket")
+
+    row = F.xxhash64(*[F.col(c) for c in left.columns])
+    spread_ = with_salts(left).select(*left.columns, F.pmod(row, F.col("_salts")).alias("_salt"))
+    copies = F.sequence(F.lit(0).cast("long"), F.col("_salts").cast("long") - 1)
+    repeated = with_salts(right).select(*right.columns, F.explode(copies).alias("_salt"))
+    return spread_.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -56,7 +57,7 @@ def linear_svc(params: dict[str, Any], total: float):
     """Hinge loss (not its square), same strength rule."""
     return LinearSVC(
         regParam=1.0 / (params.get("C", 1.0) * total),
-        maxIter=params.get("max_iter", 200),
+        maxIter=params.get("max_iter", 5000),
         standardization=False,
         **ESTIMATOR_ARGS,
     )
@@ -76,7 +77,7 @@ def balanced_forest(params: dict[str, Any], total: float):
     """Class-balanced weights in place of a balanced bootstrap for each tree."""
     return RandomForestClassifier(
         numTrees=params.get("n_estimators", 500),
-        maxDepth=params.get("max_depth", 10),
+        maxDepth=params.get("max_depth", 30),
         seed=params.get("seed", 42),
         **ESTIMATOR_ARGS,
     )
@@ -95,7 +96,7 @@ def default_specs() -> list[ModelSpec]:
     return [
         ModelSpec("LogisticRegression", logistic_regression, C_GRID),
         ModelSpec("LinearSVC", linear_svc, C_GRID, skip_roc_auc=True),
-        ModelSpec("XGBoost", boosted_trees, BOOSTING_GRID, weighting="positive"),
+        ModelSpec("GBT", boosted_trees, BOOSTING_GRID, weighting="positive"),
     ]
 
 
@@ -118,7 +119,11 @@ def _weighted(train: DataFrame, weighting: str) -> tuple[DataFrame, float]:
 
 
 def fit(df: DataFrame, predictors: Sequence[str], spec: ModelSpec, params: dict[str, Any]):
-    """Fit transform and classifier on ``df``; returns ``predict(DataFrame) -> DataFrame``."""
+    """Fit transform and classifier on ``df``; returns ``predict(DataFrame) -> DataFrame``.
+
+    Predictions have ``pred``, the raw ``score``, and the ``probability`` of class 1 (null for
+    a classifier that gives none).
+    """
     power = PowerTransform(predictors).fit(df)
     vector = VectorAssembler(inputCols=list(predictors), outputCol="_x")
     weighted, total = _weighted(df, spec.weighting)
@@ -130,6 +135,11 @@ def fit(df: DataFrame, predictors: Sequence[str], spec: ModelSpec, params: dict[
             *rows.columns,
             F.col("prediction").cast("int").alias("pred"),
             vector_to_array("rawPrediction")[1].alias("score"),
+            (
+                vector_to_array("probability")[1]
+                if "probability" in out.columns
+                else F.lit(None).cast("double")
+            ).alias("probability"),
         )
 
     return predict
@@ -141,19 +151,21 @@ def out_of_fold(
     spec: ModelSpec,
     candidates: Sequence[dict[str, Any]],
     key: str,
+    folds: int,
+    repeats: int = 1,
+    parallel: int = 4,
 ) -> DataFrame:
     """Predictions of every candidate for every held-out row.
 
-    ``df`` carries repeat and fold. The power transform is fitted once per training fold
-    and shared by the candidates; all metrics are later read from this one table.
+    ``df`` carries repeat and fold, both numbered from 0. The power transform is fitted once
+    per training fold and shared by the candidates; ``parallel`` splits are fitted at a time.
+    All metrics are later read from this one table.
     """
-    splits = [
-        (r["repeat"], r["fold"])
-        for r in df.select("repeat", "fold").distinct().orderBy("repeat", "fold").limit(10_000).collect()
-    ]
     vector = VectorAssembler(inputCols=list(predictors), outputCol="_x")
-    parts = []
-    for repeat, fold in splits:
+
+    def one_split(split: tuple[int, int]) -> list[DataFrame]:
+        repeat, fold = split
+        parts = []
         here = df.where(F.col("repeat") == repeat)
         train = here.where(F.col("fold") != fold)
         test = here.where(F.col("fold") == fold)
@@ -175,6 +187,11 @@ def out_of_fold(
                 )
             )
         ready.unpersist()
+        return parts
+
+    splits = list(itertools.product(range(repeats), range(folds)))
+    with ThreadPoolExecutor(parallel) as pool:
+        parts = [part for made in pool.map(one_split, splits) for part in made]
     return materialize(reduce(DataFrame.unionByName, parts))
 
 
@@ -183,6 +200,7 @@ class TunedModel:
     name: str
     best_params: dict[str, Any]
     cv_best_score: float
+    predict: Callable[[DataFrame], DataFrame]
 
 
 def grid_search(
@@ -195,12 +213,12 @@ def grid_search(
     scoring: str = "f1_weighted",
     seed: int = 42,
 ) -> tuple[TunedModel, DataFrame]:
-    """Mean fold score of every candidate, and the best one (the first on a tie)."""
+    """Mean fold score of every candidate, and the best one (the first on a tie), refitted."""
     dealt = materialize(
         stratified_folds(df, key, "label", folds, seed).withColumn("repeat", F.lit(0))
     )
     candidates = spec.candidates()
-    table = out_of_fold(dealt, predictors, spec, candidates, key)
+    table = out_of_fold(dealt, predictors, spec, candidates, key, folds)
     scores = cv_metrics(table, ["candidate"], skip_roc_auc=scoring != "roc_auc")
     rows = scores.orderBy("candidate").collect()
     best = max(rows, key=lambda r: (r[scoring], -r["candidate"]))
@@ -211,7 +229,8 @@ def grid_search(
         ],
         "model string, candidate int, params string, score double",
     )
-    tuned = TunedModel(spec.name, candidates[best["candidate"]], float(best[scoring]))
+    chosen = candidates[best["candidate"]]
+    tuned = TunedModel(spec.name, chosen, float(best[scoring]), fit(df, predictors, spec, chosen))
     return tuned, listed
 
 
@@ -229,7 +248,7 @@ def repeated_cv(
 ) -> DataFrame:
     """Mean of each metric over repeated stratified folds, one row."""
     dealt = materialize(repeated_folds(df, key, "label", folds, repeats, seed))
-    table = out_of_fold(dealt, predictors, spec, [params], key)
+    table = out_of_fold(dealt, predictors, spec, [params], key, folds, repeats)
     skip = spec.skip_roc_auc and not svc_auc
     return cv_metrics(table, skip_roc_auc=skip).select(F.lit(spec.name).alias("model"), *METRICS)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanchange.config import MEASURES, Study
-from urbanchange.operators.score import COLS
+from urbanchange.operators.score import DISADVANTAGED, INDEX_T1, INDEX_T2, SCORE
 from urbanchange.operators.table import _quartile_label
 
 SCORE_COLUMNS = [
@@ -14,14 +14,14 @@ SCORE_COLUMNS = [
     "LSOA11NM",
     "LAD11NM",
     *[f"t{t}_{m}" for m in MEASURES for t in (1, 2)],
-    COLS.index_t1,
-    COLS.index_t2,
-    COLS.disadvantaged,
-    COLS.score,
+    INDEX_T1,
+    INDEX_T2,
+    DISADVANTAGED,
+    SCORE,
 ]
 
 
-def add_binary_label(df: DataFrame, score: str = COLS.score, name: str = "gentrified") -> DataFrame:
+def add_binary_label(df: DataFrame, score: str = SCORE, name: str = "gentrified") -> DataFrame:
     """1 above the upper quartile of the whole table, 0 below the lower one, else null."""
     return _quartile_label(df, score, 75.0, 25.0, name)
 

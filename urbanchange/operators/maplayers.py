@@ -11,13 +11,13 @@ from urbanchange.config import Grid
 from urbanchange.operators.overlay import clipped_layer_area
 from urbanchange.operators.rings import clean_rings
 from urbanchange.operators.scanfill import covered_cells
-from urbanchange.operators.score import COLS
+from urbanchange.operators.score import DISADVANTAGED, SCORE
 from urbanchange.sources.pixels import pixel_xy
 
 
-def score_layer(scores: DataFrame, score: str = COLS.score) -> DataFrame:
+def score_layer(scores: DataFrame, score: str = SCORE) -> DataFrame:
     """Fill value for flagged areas; the other areas are outlines."""
-    flagged = F.coalesce(F.col(COLS.disadvantaged).cast("boolean"), F.lit(False))
+    flagged = F.coalesce(F.col(DISADVANTAGED).cast("boolean"), F.lit(False))
     return scores.withColumns(
         {"fill": F.when(flagged, F.col(score)), "outline_only": ~flagged}
     )

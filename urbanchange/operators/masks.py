@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanchange.config import CLOUD_CLASSES, Grid
@@ -37,14 +37,21 @@ def mask_clouds(df: DataFrame, drop: Sequence[int] = CLOUD_CLASSES) -> DataFrame
 
 
 def pair(df: DataFrame, earlier, later, period: str = "period") -> DataFrame:
-    """Earlier and later value of each pixel side by side, in one shuffle and no join."""
+    """Earlier and later value of each pixel side by side, in one shuffle and no join.
+
+    A pixel that comes twice in one period is an error.
+    """
+
+    def only(when) -> Column:
+        own = F.col(period) == F.lit(when)
+        twice = F.raise_error(F.lit("a pixel comes twice in one period"))
+        value = F.max(F.when(own, F.col("value")))
+        return F.when(F.count_if(own) > 1, twice.cast("double")).otherwise(value)
+
     return (
         df.where(F.col(period).isin(earlier, later))
         .groupBy(*PIXEL)
-        .agg(
-            F.max(F.when(F.col(period) == earlier, F.col("value"))).alias("v1"),
-            F.max(F.when(F.col(period) == later, F.col("value"))).alias("v2"),
-        )
+        .agg(only(earlier).alias("v1"), only(later).alias("v2"))
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanchange.config import Grid
@@ -46,12 +46,25 @@ def extract_patches(
     value: str = "value",
     by: Sequence[str] = ("band",),
 ) -> DataFrame:
-    """One row per window with its values as a row-major array; a window is size squared."""
-    cells = F.transform(
-        F.sort_array(F.collect_list(F.struct("pr", "pc", F.col(value).alias("v")))),
-        lambda e: e["v"],
-    )
-    return patch_pixels(df, grid, size, stride).groupBy(*by, "pi", "pj").agg(cells.alias("patch"))
+    """One row per window with its values as a row-major array of size squared.
+
+    Places of cells that ``df`` lacks are null.
+    """
+    place = (F.col("pr") * size + F.col("pc")).cast("int")
+    found = F.sort_array(F.collect_list(F.struct(place.alias("at"), F.col(value).alias("v"))))
+    kind = df.schema[value].dataType
+    none = F.lit(None).cast(kind)
+
+    def with_gap(e: Column, i: Column) -> Column:
+        """The value after as many nulls as cells are absent before it."""
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get("_cells", i - 1)["at"])
+        return F.concat(F.array_repeat(none, e["at"] - before - 1), F.array(e["v"]))
+
+    tail = F.array_repeat(none, F.lit(size * size - 1) - F.element_at("_cells", -1)["at"])
+    gapless = F.concat(F.flatten(F.transform("_cells", with_gap)), tail)
+    packed = patch_pixels(df, grid, size, stride).groupBy(*by, "pi", "pj").agg(found.alias("_cells"))
+    whole = F.when(F.size("_cells") == size * size, F.transform("_cells", lambda e: e["v"]))
+    return packed.select(*by, "pi", "pj", whole.otherwise(gapless).alias("patch"))
 
 
 def reconstruct(
@@ -63,6 +76,8 @@ def reconstruct(
 ) -> DataFrame:
     """Average the overlapping windows back into images; cells under no window become 0.
 
+    Null values (absent cells of a window) don't count.
+
     ``patches`` is patch_pixels-shaped: by, pi, pj, pr, pc, value. ``cells`` lists the
     wanted (by, row_, col_).
     """
@@ -121,8 +136,9 @@ def score_patches(
 ) -> DataFrame:
     """Run ``scorer(p1, p2) -> map`` on every pair of windows and stitch the maps.
 
-    ``pairs`` has v1, v2 for every cell. A group for the scorer is one window, or several
-    small ones of an image up to ``GROUP_PIXELS``; the scored maps are averaged where
+    ``pairs`` has v1, v2 per cell; cells that are absent or null are 0 in both windows, so they
+    are no change, and absent cells get no score. A group for the scorer is one window, or
+    several small ones of an image up to ``GROUP_PIXELS``; the scored maps are averaged where
     windows overlap and scaled to [0, 1] per image.
     """
     by = list(by)
@@ -143,10 +159,15 @@ def score_patches(
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["pi", "pj", "pr", "pc"], ignore_index=True)
-        p1 = pdf["v1"].to_numpy(dtype=float).reshape(-1, size, size)
-        p2 = pdf["v2"].to_numpy(dtype=float).reshape(-1, size, size)
-        maps = [_resize(np.asarray(scorer(a, b), dtype=float), size) for a, b in zip(p1, p2)]
-        return pdf[[*by, "pi", "pj", "pr", "pc"]].assign(value=np.concatenate(maps).ravel())
+        window = (pdf["pi"] * across + pdf["pj"]).to_numpy()
+        _, window = np.unique(window, return_inverse=True)
+        place = (window, pdf["pr"].to_numpy(), pdf["pc"].to_numpy())
+        both = pdf[["v1", "v2"]].to_numpy(dtype=float)
+        both = np.where(np.isnan(both).any(axis=1, keepdims=True), 0.0, both)
+        stack = np.zeros((2, window.max() + 1, size, size))
+        stack[0][place], stack[1][place] = both[:, 0], both[:, 1]
+        maps = [_resize(np.asarray(scorer(a, b), dtype=float), size) for a, b in zip(*stack)]
+        return pdf[[*by, "pi", "pj", "pr", "pc"]].assign(value=np.stack(maps)[place])
 
     groups = [*by, "_group"]
     scored = spread(cut, groups).groupBy(*groups).applyInPandas(run, schema)

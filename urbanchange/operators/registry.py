@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from urbanchange.config import Grid
 from urbanchange.functions.skew import materialize
 from urbanchange.operators import context, masks, patches, simple_diff
+from urbanchange.operators.components import remove_small
 from urbanchange.operators.threshold import apply_strategy
 
+MOST_BANDS = 10_000
+
 
 def _pairs(df: DataFrame, earlier, later) -> DataFrame:
     """Standardised pairs, missing pixels filled."""
@@ -32,12 +35,25 @@ def _patch(df: DataFrame, earlier, later, grid: Grid, **options) -> DataFrame:
 
 
 def _clusters(df: DataFrame, earlier, later, grid: Grid, **options) -> DataFrame:
+    """Binary: the cluster with the larger mean difference is the changed one."""
     pairs = _pairs(df, earlier, later)
-    bands = [r[0] for r in pairs.select("band").distinct().orderBy("band").limit(1000).collect()]
-    found = context.pca_kmeans(pairs, bands, **options)
-    return found.select(
-        F.lit(0).alias("band"), "row_", "col_", F.col("cluster").cast("double").alias("value")
+    bands = options.pop("bands", None) or _bands(pairs)
+    found = materialize(context.pca_kmeans(pairs, bands, **options))
+    gap = pairs.groupBy("row_", "col_").agg(
+        F.avg(F.coalesce(F.abs(F.col("v2") - F.col("v1")), F.lit(0.0))).alias("gap")
     )
+    means = found.join(gap, ["row_", "col_"]).groupBy("cluster").agg(F.avg("gap").alias("mean"))
+    top = means.agg(F.max_by("cluster", F.struct("mean", "cluster"))).first()[0]
+    changed = (F.col("cluster") == F.lit(top)).cast("double")
+    return found.select(F.lit(0).alias("band"), "row_", "col_", changed.alias("value"))
+
+
+def _bands(df: DataFrame) -> list:
+    """All bands; one feature each for a classifier, so more than ``MOST_BANDS`` is an error."""
+    rows = df.select("band").distinct().limit(MOST_BANDS + 1).collect()
+    if len(rows) > MOST_BANDS:
+        raise ValueError(f"more than {MOST_BANDS} bands")
+    return sorted(r["band"] for r in rows)
 
 
 METHODS: dict[str, Callable[..., DataFrame]] = {
@@ -48,6 +64,10 @@ METHODS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+# Methods whose map is binary already: no threshold is sought in it.
+BINARY = {"pca_kmeans"}
+
+
 def get_method(name: str) -> Callable[..., DataFrame]:
     """Continuous change map function ``f(composites, earlier, later, grid, **options)``."""
     if name not in METHODS:
@@ -55,8 +75,9 @@ def get_method(name: str) -> Callable[..., DataFrame]:
     return METHODS[name]
 
 
-def register_method(name: str, function: Callable[..., DataFrame]) -> None:
+def register_method(name: str, function: Callable[..., DataFrame], binary: bool = False) -> None:
     METHODS[name] = function
+    (BINARY.add if binary else BINARY.discard)(name)
 
 
 def binary_changes(
@@ -70,7 +91,12 @@ def binary_changes(
     **options,
 ) -> DataFrame:
     """Binary change map per band of one method, ready to be stored or aggregated."""
-    found = get_method(method)(df, earlier, later, grid, **options)
-    return apply_strategy(materialize(found), strategy, min_size).select(
+    found = materialize(get_method(method)(df, earlier, later, grid, **options))
+    if method in BINARY:
+        flags = found.select("band", "row_", "col_", (F.col("value") > 0).cast("int").alias("changed"))
+        changes = remove_small(flags, min_size, ["band"])
+    else:
+        changes = apply_strategy(found, strategy, min_size)
+    return changes.select(
         F.lit(method).alias("model"), "band", "row_", "col_", "changed"
     )

@@ -175,8 +175,8 @@ def reproject_vertices(
     return df
 
 
-def reproject_layer(df: DataFrame, source: str, target: str) -> DataFrame:
-    """The same for the ``rings`` of a polygon layer, vertex order kept, without a shuffle."""
+def moved_rings(rings: Column, source: str, target: str) -> Column:
+    """Rings of one polygon in another CRS, vertex order kept."""
 
     def moved(step):
         def point(p: Column) -> Column:
@@ -186,5 +186,29 @@ def reproject_layer(df: DataFrame, source: str, target: str) -> DataFrame:
         return lambda ring: F.transform(ring, point)
 
     for step in _steps(source, target):
-        df = df.withColumn("rings", F.transform("rings", moved(step)))
+        rings = F.transform(rings, moved(step))
+    return rings
+
+
+def reproject_layer(df: DataFrame, source: str, target: str) -> DataFrame:
+    """The same for the ``rings`` of a polygon layer, vertex order kept, without a shuffle."""
+    df = df.withColumn("rings", moved_rings(F.col("rings"), source, target))
     return df.withColumn("crs", F.lit(target)) if "crs" in df.columns else df
+
+
+def in_crs(layer: DataFrame, target: str | None) -> DataFrame:
+    """A layer whose rows name their ``crs``, in the CRS of a raster; an unknown one is an error.
+
+    A layer without that column is taken to be in the raster's CRS, and so are rows that leave it
+    null. A raster without a CRS (``target`` None) moves nothing.
+    """
+    if "crs" not in layer.columns or target is None:
+        return layer
+    known = ["EPSG:4326", *PROJECTIONS]
+    _steps(target, target)  # refuse an unknown target
+    bad = F.raise_error(F.concat(F.lit("unknown CRS "), F.col("crs"))).cast(layer.schema["rings"].dataType)
+    rings = F.when(F.col("crs").isNull() | (F.col("crs") == target), F.col("rings"))
+    for source in known:
+        if source != target:
+            rings = rings.when(F.col("crs") == source, moved_rings(F.col("rings"), source, target))
+    return layer.withColumn("rings", rings.otherwise(bad)).withColumn("crs", F.lit(target))

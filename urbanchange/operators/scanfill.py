@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanchange.config import Grid
+from urbanchange.operators.reproject import in_crs
 from urbanchange.operators.rings import edges
 
 
@@ -17,9 +18,11 @@ def covered_spans(zones: DataFrame, keys: Sequence[str], grid: Grid) -> DataFram
 
     An edge that crosses the centre line of a row toggles "inside" for all columns to its
     right. Toggles are counted per (key, row, column) before anything is ordered, so the
-    number of vertices never matters: an ordered group has at most ``width`` rows.
+    number of vertices never matters: an ordered group has at most ``width`` rows. Zones that
+    name their ``crs`` are moved to the raster's.
     """
     keys = list(keys)
+    zones = in_crs(zones, grid.crs)
     u1 = (F.col("y1") - F.lit(grid.y0)) / F.lit(grid.dy)
     u2 = (F.col("y2") - F.lit(grid.y0)) / F.lit(grid.dy)
     w1 = (F.col("x1") - F.lit(grid.x0)) / F.lit(grid.dx)

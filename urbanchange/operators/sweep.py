@@ -38,20 +38,27 @@ def threshold_features(
 ) -> DataFrame:
     """Percent of changed pixels per zone, band and threshold, all thresholds in one pass.
 
-    Pixels are read and joined once; each (zone, band, threshold) is one counter of the
-    same aggregation. Columns are named features_band_<b>_<t>.
+    Pixels are read and joined once. A pixel counts in one bucket, the number of thresholds
+    its gap exceeds; the count above a threshold is a sum over the few buckets of a zone and
+    band. Columns are named features_band_<b>_<t>.
     """
-    counters = [
-        F.count(F.when((F.col("band") == b) & (F.col("_gap") > t), 1)).alias(f"_n_{b}_{t}")
-        for b in bands
-        for t in thresholds
-    ]
-    counted = (
-        pairs.select("band", "row_", "col_", F.abs(F.col("v2") - F.col("v1")).alias("_gap"))
-        .where(F.col("_gap") > min(thresholds))
+    limits = sorted(thresholds)
+    gap = F.abs(F.col("v2") - F.col("v1"))
+    passed = F.size(F.filter(F.array(*[F.lit(t) for t in limits]), lambda t: F.col("_gap") > t))
+    buckets = (
+        pairs.select("band", "row_", "col_", gap.alias("_gap"))
+        .where(F.col("band").isin(list(bands)) & (F.col("_gap") > limits[0]))
+        .withColumn("_passed", passed)
         .join(zone_pixels, ["row_", "col_"])
-        .groupBy("code")
-        .agg(*counters)
+        .groupBy("code", "band", "_passed")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    counted = buckets.groupBy("code").agg(
+        *[
+            F.sum(F.when((F.col("band") == b) & (F.col("_passed") > i), F.col("_n"))).alias(f"_n_{b}_{t}")
+            for b in bands
+            for i, t in enumerate(limits)
+        ]
     )
     return (
         polygon_area(zones)
@@ -69,9 +76,14 @@ def threshold_features(
     )
 
 
-def columns_for_threshold(df: DataFrame, threshold: int) -> list[str]:
-    """Columns whose name ends in ``_<threshold>``, so 10 does not match 110."""
-    return [c for c in df.columns if c.endswith(f"_{threshold}")]
+def columns_by_threshold(columns: Sequence[str]) -> dict[int, list[str]]:
+    """Change columns under the number that ends their name after an underscore."""
+    found: dict[int, list[str]] = {}
+    for name in columns:
+        stem, _, number = name.rpartition("_")
+        if stem and number.isdigit():
+            found.setdefault(int(number), []).append(name)
+    return found
 
 
 def evaluate_thresholds(
@@ -89,9 +101,10 @@ def evaluate_thresholds(
     ``df`` has ``label`` and one set of change columns per threshold.
     """
     base = materialize(df)
+    change = columns_by_threshold(base.columns)
     points = []
     for threshold in thresholds or default_thresholds():
-        columns = columns_for_threshold(base, int(threshold))
+        columns = change.get(int(threshold))
         if not columns:
             raise ValueError(f"no change columns for threshold {threshold}")
         metrics = repeated_cv(

@@ -235,21 +235,32 @@ def triangle(df: DataFrame, by: Sequence[str] = ("band",), scale: float = 0.5) -
 
 
 def _blur_lines(df: DataFrame, by: list[str], line: str, along: str, sigma: float) -> DataFrame:
-    """Gaussian blur of every image line; a group is one line, at most the image width."""
+    """Gaussian blur of every image line; a group is one line, at most the image width.
+
+    Values stand at their place along the line; where cells are absent the weights of the
+    others are scaled up.
+    """
     radius = int(4.0 * sigma + 0.5)
     taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     taps /= taps.sum()
 
     def blur(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(along)
-        padded = np.pad(pdf["value"].to_numpy(dtype=float), radius, mode="edge")
-        return pdf.assign(value=np.convolve(padded, taps, mode="valid"))
+        at = (pdf[along] - pdf[along].iloc[0]).to_numpy()
+        values, known = np.zeros(at[-1] + 1), np.zeros(at[-1] + 1)
+        values[at], known[at] = pdf["value"].to_numpy(dtype=float), 1.0
+
+        def smooth(line: np.ndarray) -> np.ndarray:
+            return np.convolve(np.pad(line, radius, mode="edge"), taps, mode="valid")[at]
+
+        blurred = smooth(values)
+        return pdf.assign(value=blurred if known.all() else blurred / smooth(known))
 
     return spread(df, [*by, line]).groupBy(*by, line).applyInPandas(blur, df.schema)
 
 
 def gaussian(df: DataFrame, sigma: float, by: Sequence[str] = ("band",)) -> DataFrame:
-    """Separable Gaussian blur of complete images with repeated edge pixels."""
+    """Separable Gaussian blur of images with repeated edge pixels; absent cells don't count."""
     by = list(by)
     slim = df.select(*by, "row_", "col_", F.col("value").cast("double").alias("value"))
     across = _blur_lines(slim, by, "row_", "col_", sigma)

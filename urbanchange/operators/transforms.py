@@ -39,12 +39,16 @@ class PowerTransformModel:
         )
 
 
+LARGEST = 1e9  # size of a power parameter beyond which there is none
+
+
 class PowerTransform:
     """Yeo-Johnson with maximum-likelihood parameter per column, then standardisation.
 
-    Every pass tries one grid of parameters for all columns in a single aggregation. While
-    the best value lies on the edge the grid is moved there and widened tenfold; then it is
-    narrowed tenfold around the best value until the step is ``precision``.
+    Every pass tries a grid of parameters per column in a single aggregation. While the best
+    value of a column lies on the edge, its grid is moved there and widened tenfold; then it is
+    narrowed tenfold around the best value until the step is ``precision``. A column whose
+    likelihood still grows beyond ``LARGEST`` is an error.
     """
 
     def __init__(self, columns: Sequence[str], points: int = 41, precision: float = 1e-3):
@@ -55,23 +59,29 @@ class PowerTransform:
     def fit(self, df: DataFrame) -> PowerTransformModel:
         half = self.points // 2
         centres = dict.fromkeys(self.columns, 0.0)
-        width = 2.0
-        for _ in range(20):
+        width = dict.fromkeys(self.columns, 2.0)
+        open_ = set(self.columns)
+        while open_:
             best = self._search(df, centres, width)
-            step = width / half
-            on_edge = any(abs(abs(best[c] - centres[c]) - width) < step / 2 for c in best)
-            centres = best
-            if on_edge:
-                width *= 10.0
-            elif step <= self.precision * 1.5:
-                break
-            else:
-                width = 2.0 * step
+            for c in sorted(open_):
+                step = width[c] / half
+                on_edge = abs(abs(best[c] - centres[c]) - width[c]) < step / 2
+                centres[c] = best[c]
+                if on_edge and abs(best[c]) < LARGEST:
+                    width[c] *= 10.0
+                elif on_edge:
+                    raise ValueError(f"no best power parameter for {c!r} below {LARGEST:g}")
+                elif step <= self.precision * 1.5:
+                    open_.discard(c)
+                else:
+                    width[c] = 2.0 * step
         return self._moments(df, centres)
 
-    def _search(self, df: DataFrame, centres: dict[str, float], width: float) -> dict[str, float]:
+    def _search(
+        self, df: DataFrame, centres: dict[str, float], width: dict[str, float]
+    ) -> dict[str, float]:
         half = self.points // 2
-        steps = [width * (i - half) / half for i in range(self.points)]
+        steps = [(i - half) / half for i in range(self.points)]
         aggregates = []
         for j, c in enumerate(self.columns):
             x = F.col(c).cast("double")
@@ -84,7 +94,7 @@ class PowerTransform:
         # As text, one literal: building it column by column costs more than the query.
         tries = ",".join(
             f"named_struct('step',{s!r}D,"
-            + ",".join(f"'l{j}',{centres[c] + s!r}D" for j, c in enumerate(self.columns))
+            + ",".join(f"'l{j}',{centres[c] + width[c] * s!r}D" for j, c in enumerate(self.columns))
             + ")"
             for s in steps
         )
@@ -108,7 +118,7 @@ class PowerTransform:
                     break
                 if not n or not var or math.isnan(var) or math.isinf(var):
                     continue
-                lam = centres[c] + r["step"]
+                lam = centres[c] + width[c] * r["step"]
                 ll = -n / 2.0 * math.log(var) + (lam - 1.0) * r[f"s{j}"]
                 if ll > top_ll:
                     top, top_ll = lam, ll

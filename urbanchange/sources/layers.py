@@ -23,7 +23,8 @@ def read_geojson(
     """Read polygons with the given ``properties`` (name -> type) and a ``rings`` column.
 
     ``lines`` reads one feature per line, which splits at any size; a plain feature
-    collection is one JSON document per file. A multi-polygon gives one row per part.
+    collection is one JSON document per file. A multi-polygon gives one row per part. ``ord``
+    is the order of the features: where zones overlap, the later one is burned last.
     """
     props = ",".join(f"`{n}`:{t}" for n, t in properties.items())
     feature = (
@@ -31,21 +32,23 @@ def read_geojson(
     )
     if lines:
         rows = spark.read.schema(feature.replace(":struct", " struct")).json(path)
+        rows = rows.withColumn("ord", F.monotonically_increasing_id())
     else:
         collection = f"features array<struct<{feature}>>"
         rows = (
             spark.read.schema(collection)
             .option("multiLine", True)
             .json(path)
-            .select(F.explode("features").alias("f"))
-            .select("f.*")
+            .select(F.posexplode("features").alias("_at", "f"))
+            .select("f.*", F.col("_at").cast("long").alias("ord"))
         )
     rings = F.when(
         F.col("geometry.type") == "MultiPolygon",
         F.from_json("geometry.coordinates", "array<array<array<array<double>>>>"),
     ).otherwise(F.array(F.from_json("geometry.coordinates", "array<array<array<double>>>")))
-    return rows.select("properties.*", F.explode(rings).alias("_part")).select(
+    return rows.select("properties.*", "ord", F.explode(rings).alias("_part")).select(
         *properties,
+        "ord",
         F.transform("_part", _points).alias("rings"),
         F.lit(crs).cast("string").alias("crs"),
     )
@@ -53,7 +56,7 @@ def read_geojson(
 
 def write_geojson_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write one GeoJSON feature per line, every non-geometry column as a property."""
-    names = [c for c in df.columns if c not in ("rings", "crs")]
+    names = [c for c in df.columns if c not in ("rings", "crs", "ord")]
     coordinates = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
     feature = F.struct(
         F.lit("Feature").alias("type"),
