@@ -73,10 +73,12 @@ def test_every_method_finds_a_planted_change(spark):
     )
     for name in registry.METHODS:
         options = {"size": 4, "scorer": lambda a, b: np.abs(b - a)} if name == "user_patch" else {}
-        out = image_of(registry.binary_changes(df, 1, 2, Grid(24, 24), name, **options), (24, 24), "changed")
+        strategy = "triangle" if name == "spatial_context" else "multiotsu"
+        found = registry.binary_changes(df, 1, 2, Grid(24, 24), name, strategy, **options)
+        out = image_of(found, (24, 24), "changed")
         # three classes may split the noise inside the block, and context marks its surroundings
         assert out.any() if name == "spatial_context" else out[6:14, 4:16].mean() > 0.3, name
-        assert out.sum() < 3 * 96, name
+        assert name == "spatial_context" or out.sum() < 1.6 * 96, name
 
 
 def test_zones_follow_their_crs(spark):

@@ -14,7 +14,7 @@ from urbanchange.functions.skew import join_stats, materialize, spread
 from urbanchange.operators.components import remove_small, segment
 
 BINS = 256
-STRATEGIES = ("adaptive", "otsu", "multiotsu", "scaledOtsu")
+STRATEGIES = ("adaptive", "otsu", "multiotsu", "scaledOtsu", "otsu8", "triangle")
 
 
 def histogram(df: DataFrame, by: Sequence[str] = ("band",), bins: int = BINS) -> DataFrame:
@@ -297,7 +297,10 @@ def apply_strategy(
     segment_min_size: int = 10,
     by: Sequence[str] = ("band",),
 ) -> DataFrame:
-    """Binary map (or labels) of a [0, 1] map by the named strategy."""
+    """Binary map (or labels) of a [0, 1] map by the named strategy.
+
+    ``scale`` multiplies the level of ``scaledOtsu``, ``otsu8`` and (from a half) ``triangle``.
+    """
     by = list(by)
     if strategy == "adaptive":
         binary = adaptive(df, min_size, by=by)
@@ -306,6 +309,8 @@ def apply_strategy(
             "otsu": lambda: otsu(df, by),
             "multiotsu": lambda: multi_otsu(df, by),
             "scaledOtsu": lambda: scaled_otsu(df, scale, by),
+            "otsu8": lambda: otsu_8bit(df, by, scale),
+            "triangle": lambda: triangle(df, by, scale / 2),
         }[strategy]()
         binary = remove_small(
             above(df, limits, by).select(*by, "row_", "col_", "changed"), min_size, by
