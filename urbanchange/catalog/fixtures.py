@@ -32,7 +32,7 @@ FX = {
           cast(floor(l_suppkey/4e0) as int) row_,
           cast((l_suppkey % 4)*4 + l_partkey % 4 as int) col_,
           l_extendedprice value, cast(round(l_discount*100) as int) scl
-        from lineitem where month(l_shipdate) between 6 and 8""",
+        from lineitem""",
     "fx_scenes": """
         select o_orderkey scene_id, o_orderdate ts, cast(o_custkey % 100 as double) cloud_cover,
           cast(o_custkey % 16 as double) min_x, cast(o_orderkey % 16 as double) min_y,

@@ -20,7 +20,7 @@ def observations(spark, sf):
 
 def composites(spark, sf):
     """Median composites of both periods; only observed pixels have a row."""
-    out = composite.median_composite(observations(spark, sf))
+    out = composite.median_composite(observations(spark, sf), months=(6, 8))
     return out.withColumn("value", F.round("value", 4))
 
 
@@ -307,7 +307,7 @@ STATEMENTS = {
         select *, case when scl not in (0,1,3,8,9,10) then value end clear from fx_obs""",
     "o_comp": """
         select period, band, row_, col_, round(quantile_cont(clear, 0.5), 4) "value"
-        from o_clear group by all""",
+        from o_clear where month(ts) between 6 and 8 group by all""",
     "o_full": """
         select p.period, b.band, c.row_, c.col_, o."value"
         from fx_cells c cross join (select unnest([1,2]) period) p

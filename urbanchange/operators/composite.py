@@ -40,11 +40,15 @@ def median_composite(
     keys: Sequence[str] = ("period", "band", "row_", "col_"),
     drop: Sequence[int] = CLOUD_CLASSES,
     hot_rows: int = HOT_ROWS,
+    months: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Cloud-masked median over time; pixels under constant cloud stay, as null.
 
+    ``months`` (first and last) keeps the observations of a season, by ``ts``.
     Crowded pixels are looked for in blocks of 16 x 16 pixels, which a scene fills at once.
     """
+    if months is not None:
+        df = df.where(F.month("ts").between(*months))
     coarse = [F.shiftright(k, 4) if k in ("row_", "col_") else F.col(k) for k in keys]
     return grouped_quantiles(
         mask_clouds(df, drop), keys, "value", {"value": 0.5}, hot_rows, coarse=coarse
