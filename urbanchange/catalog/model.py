@@ -108,7 +108,7 @@ def roc_auc(spark, sf):
 
 
 def cv_metrics(spark, sf):
-    table = folds.repeated_folds(clf(spark, sf), "doc_id", k=5, repeats=3)
+    table = folds.repeated_folds(clf(spark, sf), "doc_id", k=10, repeats=3)
     return rounded(metrics.cv_metrics(table), *metrics.METRICS)
 
 
@@ -141,11 +141,10 @@ def clf_balanced_rf(spark, sf):
 
 
 def grid_search(spark, sf):
-    spec = classify.ModelSpec(
-        "LogisticRegression", classify.logistic_regression, {"C": [0.1, 1.0], "max_iter": [50]}
-    )
+    """The whole grid of the logistic regression over ten folds."""
+    spec = classify.default_specs()[0]
     rows = materialize(clf(spark, sf).select("doc_id", "label", *PREDICTORS))
-    return classify.grid_search(rows, PREDICTORS, spec, "doc_id", folds=2)[1]
+    return classify.grid_search(rows, PREDICTORS, spec, "doc_id", folds=10)[1]
 
 
 def model_comparison(spark, sf):
@@ -323,7 +322,7 @@ STATEMENTS = {
         select s.*, p.* exclude (code), c.* exclude (code) from o_score s join o_phi p on p.code=s.code
           join o_coverage c on c.code=s.code where s.disadvantaged""",
     "o_cv": f"""
-        select *, {_folds("(42+rep)", 5)} fold
+        select *, {_folds("(42+rep)", 10)} fold
         from fx_clf cross join (select unnest([0,1,2]) rep)""",
     "o_auc": """
         select rep, fold, (sum(case when label=1 then r end) - np*(np+1)/2e0)/(np*nn) auc from (
