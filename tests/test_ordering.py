@@ -104,6 +104,21 @@ def test_percentile_ranks_like_mean_ranks(spark, hot_rows):
     assert np.allclose(got[["a", "b"]].astype(float), want[["a", "b"]], equal_nan=True)
 
 
+@pytest.mark.parametrize("hot_rows", [10**6, 50])
+def test_percentile_ranks_by_key(spark, hot_rows):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"code": [f"A{i}" for i in range(400)], "a": rng.integers(0, 9, 400) * 1.0, "b": rng.normal(size=400)})
+    pdf.loc[:3, "a"] = np.nan
+    pdf.loc[0, "b"] = np.nan
+    df = spark.createDataFrame(pdf)
+    got, want = (
+        with_percentile_ranks(df, ["a", "b"], hot_rows, key).toPandas().sort_values("code", ignore_index=True)
+        for key in ("code", None)
+    )
+    assert list(got.columns) == list(pdf.columns)
+    assert np.allclose(got[["a", "b"]].astype(float), want[["a", "b"]].astype(float), equal_nan=True)
+
+
 def test_average_ranks(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (None,), (9.0,)], "v double")
     got = {r["v"]: r["rank"] for r in average_ranks(df, [], "v").collect()}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from urbanchange.catalog.fixtures import fx, table
 from urbanchange.functions.ordering import with_percentile_ranks
+from urbanchange.functions.skew import materialize
 from urbanchange.operators import measures, score
 from urbanchange.operators.score import DISADVANTAGED, INDEX_T1, INDEX_T2, MEASURE_COLUMNS, SCORE
 
@@ -87,7 +88,7 @@ def study_area(spark, sf):
 
 
 def percentile_rank(spark, sf):
-    return rounded(with_percentile_ranks(census(spark, sf), MEASURE_COLUMNS), *MEASURE_COLUMNS)
+    return rounded(with_percentile_ranks(materialize(census(spark, sf)), MEASURE_COLUMNS, key="code"), *MEASURE_COLUMNS)
 
 
 def weighted_index(spark, sf):
@@ -101,7 +102,7 @@ def disadvantaged(spark, sf):
 
 
 def full_score(spark, sf):
-    return score.area_score(census(spark, sf))
+    return score.area_score(census(spark, sf), key="code")
 
 
 def area_score(spark, sf):

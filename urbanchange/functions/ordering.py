@@ -88,14 +88,44 @@ def average_ranks(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame
     )
 
 
+def _percentiles(counts: DataFrame) -> DataFrame:
+    """Percentile rank ``pct`` of every (measure, v)."""
+    share = (F.col("before") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total") * F.lit(100.0)
+    return running_counts(counts, ["measure"], "v").select("measure", "v", share.alias("pct"))
+
+
+def _ranks_by_key(df: DataFrame, cols: Sequence[str], key: str, hot_rows: int) -> DataFrame:
+    """Only (key, measure, value) is shuffled for the ranks; they join the rows once."""
+    value = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("measure"), value(c).alias("v")) for i, c in enumerate(cols)]
+    )
+    long = df.select(
+        F.col(key).alias("_key"), F.explode(F.filter(cells, lambda c: c["v"].isNotNull())).alias("_c")
+    ).select("_key", "_c.measure", "_c.v")
+    ranks = _percentiles(value_counts(long, ["measure"], "v"))
+    wide = (
+        salted_join(long, ranks, ["measure", "v"], hot_rows=hot_rows)
+        .groupBy("_key")
+        .agg(*[F.max(F.when(F.col("measure") == i, F.col("pct"))).alias(f"_pct{i}") for i in range(len(cols))])
+    )
+    position = {c: i for i, c in enumerate(cols)}
+    return df.join(wide, F.col(key) == F.col("_key"), "left").select(
+        *[F.col(f"_pct{position[c]}").alias(c) if c in position else F.col(c) for c in df.columns]
+    )
+
+
 def with_percentile_ranks(
-    df: DataFrame, cols: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, cols: Sequence[str], hot_rows: int = HOT_ROWS, key: str | None = None
 ) -> DataFrame:
     """Replace ``cols`` by their percentile rank (0-100, mean rank for ties, null stays null).
 
-    All columns are ranked in one pass over (column, value) rows. Input rows are keyed by
-    their full content; identical rows are collapsed first and repeated at the end.
+    All columns are ranked in one pass over (column, value) rows. With a ``key`` that is unique
+    and not null these are (key, column, value); without one, input rows are keyed by their full
+    content, identical rows are collapsed first and repeated at the end.
     """
+    if key is not None:
+        return _ranks_by_key(df, cols, key, hot_rows)
     clean = df.select(
         *[
             F.when(F.isnan(c), None).otherwise(F.col(c).cast("double")).alias(c)
@@ -113,13 +143,7 @@ def with_percentile_ranks(
         row, "_copies", F.explode(F.filter(cells, lambda c: c["v"].isNotNull())).alias("_cell")
     ).select("_row", "_copies", "_cell.measure", "_cell.v")
     counts = value_counts(long, ["measure"], "v", F.col("_copies"))
-    ranks = running_counts(counts, ["measure"], "v").select(
-        "measure",
-        "v",
-        (
-            (F.col("before") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total") * F.lit(100.0)
-        ).alias("pct"),
-    )
+    ranks = _percentiles(counts)
     placed = salted_join(long, ranks, ["measure", "v"], hot_rows=hot_rows)
     wide = placed.groupBy("_row", "_copies").agg(
         *[

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 from collections.abc import Sequence
 
@@ -14,7 +15,10 @@ BUCKETS = 1 << 20  # key buckets counted before single keys are
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's shared folder."""
+    """Cut the lineage with a reliable checkpoint in the session's shared folder.
+
+    The session's own part of that folder is deleted when the process ends.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -22,9 +26,24 @@ def materialize(df: DataFrame) -> DataFrame:
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    own = context.getCheckpointDir()
+    if own not in _FOLDERS:
+        _FOLDERS.add(own)
+        atexit.register(_remove, context, own)
     return df.checkpoint(eager=True)
 
 
+_FOLDERS: set[str] = set()  # checkpoint folders of the sessions of this process
+
+
+def _remove(context, folder: str) -> None:
+    """Delete a session's checkpoints, unless the session has ended before."""
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cluster groups for a Python function over all shuffle partitions.
 

@@ -78,7 +78,7 @@ def score_areas(
 ) -> DataFrame:
     """Measures of both dates to scored areas; ranks are taken inside the study area only."""
     wide = score.study_area(measures.assemble(series), boundary, measures.KEY)
-    return score.area_score(wide, study.weights)
+    return score.area_score(wide, study.weights, measures.KEY)
 
 
 def modeling_table(
