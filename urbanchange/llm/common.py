@@ -136,9 +136,13 @@ def shared_folder(spark) -> str:
     return folder
 
 
+FOLDERS: list[str] = []  # made by this process, in order
+
+
 def new_folder(spark, what: str) -> str:
     """A folder of this run in the shared folder; it goes when the session's process ends."""
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    FOLDERS.append(path)
     atexit.register(remove, spark, path)
     return path
 

@@ -31,6 +31,7 @@ from urbanchange.llm.perplexity import repeated_words
 by_value(__name__)
 
 SAMPLE = 20_000  # documents the scorer is fitted on
+TASKS = 8  # of the fit
 BITS = 18  # hashed features: 2 ** BITS, so a model is 2 MB
 ROUNDS = 200  # of EM, an end in case it creeps
 DOUBT = 0.02  # a posterior between this and one less this is no label
@@ -156,6 +157,7 @@ def fit_scorer(sample: DataFrame, column: str, labels: dict[tuple[int, ...], flo
         )).alias("_l"),
     ).select("features", "_l.label", "_l.w").where("w > 1e-6")
     ridge = 2 / sum(r["count"] for r in counts)
+    both = both.coalesce(TASKS)  # a bounded sample; each task sends a whole gradient per step
     fit = LogisticRegression(
         weightCol="w", maxIter=40, regParam=ridge, standardization=False, maxBlockSizeInMB=16
     ).fit(both)
