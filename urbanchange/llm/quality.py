@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain, repeat
+from operator import eq
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +28,6 @@ from pyspark.sql import types as T
 
 from urbanchange.llm.common import by_value, free_name, small_batches, written
 from urbanchange.llm.decontaminate import words_of
-from urbanchange.llm.perplexity import repeated_words
 
 by_value(__name__)
 
@@ -45,6 +46,19 @@ CONTEMPT = {b"worthless", b"pathetic", b"disgusting", b"trash", b"filth", b"verm
 SYMBOLS = b"#*$%&|<>{}~^=@\\"
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
+BLANKS = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+TAILS = (b"!! ", b"?? ", b"** ", b"## ", b"$$ ", b"%% ", b"&& ")
+
+
+def repeated_share(words: list[bytes], window: int = 8) -> float:
+    """Share of the ``window``-word windows that occurred before."""
+    if len(words) <= window:
+        return 0.0
+    one = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    mixed = np.zeros(len(words) - window + 1, np.uint64)
+    for k in range(window):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + one[k : k + len(mixed)]
+    return 1 - len(np.unique(mixed)) / len(mixed)
 
 
 def style(utf8: bytes, words: list[bytes]) -> dict[str, float]:
@@ -53,16 +67,17 @@ def style(utf8: bytes, words: list[bytes]) -> dict[str, float]:
     solid = max(1, len(utf8.translate(None, b" \t\n\r\x0b\x0c")))
     upper = len(utf8) - len(utf8.translate(None, UPPER))
     letters = upper + len(utf8) - len(utf8.translate(None, LOWER))
-    tails = sum(w[-2:] in (b"!!", b"??", b"**", b"##", b"$$", b"%%", b"&&") for w in words)
+    spaced = utf8.translate(BLANKS) + b" "
+    tails = sum(spaced.count(t) for t in TAILS)
     return {
         "symbols": (len(utf8) - len(utf8.translate(None, SYMBOLS))) / solid,
         "shout": upper / max(1, letters),
         "tails": tails / n,
         "bars": words.count(b"|") / n,
-        "repeat": repeated_words(words) / n,
+        "repeat": repeated_share(words),
         "varied": len(set(words)) / n,
         "bangs": utf8.count(b"!") / n,
-        "stutter": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "stutter": sum(map(eq, words, words[1:])) / n,
     }
 
 
@@ -96,14 +111,16 @@ def facts(utf8: bytes) -> tuple[tuple[int, ...], tuple[int, ...], set[bytes], di
 
 
 def features(words: set[bytes], marks: dict[str, float]) -> np.ndarray:
-    """Hashed numbers of the words, their first 4 and 5 bytes, and the style marks.
+    """Hashed numbers of the words, their first 5 bytes, and the style marks.
 
     A mark is hashed four times over, so that it counts for more than a word.
     """
-    starts = {w[:n] + b"-" for w in words if len(w) > 4 for n in (4, 5)}
+    starts = {w[:5] for w in words if len(w) > 5}
     style_marks = (f"\n{r}{k}={min(9, int(v * 20))}".encode() for k, v in marks.items() for r in range(4))
-    tokens = [*words, *starts, *style_marks]
-    hashed = np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens))
+    tokens = [*words, *style_marks]
+    hashed = np.fromiter(
+        chain(map(zlib.crc32, tokens), map(zlib.crc32, starts, repeat(1))), np.uint32, len(tokens) + len(starts)
+    )
     return np.unique(hashed & np.uint32((1 << BITS) - 1)).astype(np.int32)
 
 
