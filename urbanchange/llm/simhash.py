@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanchange.functions.skew import materialize
+from urbanchange.functions.skew import materialize, salted_join
 from urbanchange.llm.common import by_value, components, free_name, parts, small_batches, written
 
 by_value(__name__)
@@ -307,7 +307,7 @@ def hamming_groups(
     )
     named = materialize(named)
     tops = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_code = named.join(tops, "component").select("fingerprint", "component_id")
+    by_code = salted_join(named, tops, ["component"]).select("fingerprint", "component_id")
     return rows.join(by_code, "fingerprint").select(
         F.col("id").alias(id_col), "fingerprint", "component_id"
     )
@@ -372,7 +372,7 @@ def similar_groups(
         .select("s", "who", F.coalesce("component", "id").alias("component"))
     )
     tops = named.groupBy("component").agg(F.min("who").alias("top"))
-    by_sketch = named.join(tops, "component").select("s", F.col("top.r").alias("group"))
+    by_sketch = salted_join(named, tops, ["component"]).select("s", F.col("top.r").alias("group"))
     groups = rows.where(~zero).select(F.col(sketched).alias("s"), key).join(by_sketch, "s").select(key, "group")
     return rows.drop(sketched), groups
 
