@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by a self-join of the binary trie of fingerprints.
+"""SimHash near-duplicates by a self-join of the binary trie of fingerprints; exact ones by shingle sets.
 
 The traversal takes pairs of trie nodes together, splits both at their next bit, adds one to the
 pair's differing bits where the children differ, and drops the pair when the sum exceeds the
@@ -200,8 +200,7 @@ def trie_join(rows: DataFrame, bits: int, budget: int, links: bool = False) -> D
 
     Codes must be distinct within a layout. With ``links`` every link is returned, perhaps
     several times; else a forest with the same components, which is at most as long as the rows
-    however dense the links are. A column ``check`` holds 64 more bits: pairs that differ there
-    in more than `CHECK` bits are left out.
+    however dense the links are.
     """
     level, exact, found = rows, 0, None
     while True:
@@ -220,23 +219,16 @@ def trie_join(rows: DataFrame, bits: int, budget: int, links: bool = False) -> D
         level = level.join(full, on, "left_semi").drop("_head")
 
 
-CHECK = 20
-
-
 def _blocks(level: DataFrame, bits: int, exact: int, budget: int, links: bool) -> DataFrame:
-    checked = "check" in level.columns
-    names = ["layout", "code", "id", *(["check"] if checked else [])]
+    names = ["layout", "code", "id"]
 
-    def settle(layout: np.ndarray, code: np.ndarray, ids: np.ndarray, check) -> Iterator[pa.RecordBatch]:
+    def settle(layout: np.ndarray, code: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         for each in np.unique(layout):
             of = np.flatnonzero(layout == each)
             of = of[np.argsort(code[of], kind="stable")]
             codes, own = code[of], ids[of]
             parent = np.arange(len(codes))
             for i, j in traverse(codes, bits, exact, budget):
-                if check is not None:
-                    near = np.bitwise_count(check[of][i] ^ check[of][j]) <= CHECK
-                    i, j = i[near], j[near]
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j])], ["a", "b"])
                 else:
@@ -257,22 +249,17 @@ def _blocks(level: DataFrame, bits: int, exact: int, budget: int, links: bool) -
             size += batch.num_rows
             if size < FLUSH:
                 continue
-            layout, code, *more = (np.concatenate(x) for x in held)
+            layout, code, ids = (np.concatenate(x) for x in held)
             block = code.view(np.uint64) >> np.uint64(64 - exact)
             last = np.flatnonzero((layout != layout[-1]) | (block != block[-1]))
             end = last[-1] + 1 if len(last) else 0  # the last block may go on
             if end:
-                yield from settle(
-                    layout[:end], code[:end].view(np.uint64), more[0][:end],
-                    more[1][:end].view(np.uint64) if checked else None,
-                )
-            held = [[x[end:]] for x in (layout, code, *more)]
+                yield from settle(layout[:end], code[:end].view(np.uint64), ids[:end])
+            held = [[x[end:]] for x in (layout, code, ids)]
             size = len(layout) - end
         if size:
-            layout, code, *more = (np.concatenate(x) for x in held)
-            yield from settle(
-                layout, code.view(np.uint64), more[0], more[1].view(np.uint64) if checked else None
-            )
+            layout, code, ids = (np.concatenate(x) for x in held)
+            yield from settle(layout, code.view(np.uint64), ids)
 
     n = parts(level)
     head = F.shiftrightunsigned("code", 64 - exact)
@@ -314,88 +301,128 @@ def hamming_groups(
 
 
 def similar_groups(
-    docs: DataFrame,
-    id_col: str,
-    text: str,
-    similarity: float = 0.8,
-    shingle: int = 5,
-    trees: int = 20,
-    tree_bits: int = 24,
-    words: int = 10,
+    docs: DataFrame, id_col: str, text: str, similarity: float = 0.8, shingle: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates at a shingle similarity: ``docs`` with a row key, and row key -> group key.
 
-    A Jaccard similarity ``s`` is an angle, and the angle a share of differing bits; at 0.8 that
-    is 15 % of a fingerprint, far too much for one 64-bit trie. So each document gets a sketch of
-    ``64 * words`` bits; ``trees`` tries are built over ``tree_bits`` of them each and joined
-    with an error budget of one, and what a trie finds counts if the whole sketches differ by no
-    more than the similarity allows. A pair at similarity 0.8 meets in a given tree with odds of
-    0.11, one at 0.9 with 0.3: of such pairs one in 10 and one in 1,000 is missed by all of 20
-    trees. Documents of one leaf are compared with a leader of the leaf, another in every tree.
+    Two texts are near when the Jaccard similarity of their shingle sets is ``similarity`` or
+    more; groups are the components of that relation. Nothing is estimated. Shingles have one
+    order, common ones last. Of a set of ``n`` shingles the first ``n - ceil(similarity * n) + 1``
+    are posted: near sets share one of these at least. Sets of one list are candidates unless
+    their sizes, or their places in the list, leave too few shingles to share; each candidate
+    pair is decided by its whole sets. Equal sets collapse first.
 
     The group key is the row key of the member with the least id (null ids last); rows without
     words are left alone: they have nothing in common.
     """
-    key, sketched = free_name(docs, "_row"), free_name(docs, "_sketch")
-    keyed = docs.withColumn(key, F.monotonically_increasing_id())
-    rows = written(with_sketches(keyed, text, sketched, shingle, words))
-    zero = F.forall(sketched, lambda x: x == 0)
-    facts = rows.where(~zero).select(
-        F.col(sketched).alias("s"),
-        F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(key).alias("r")).alias("who"),
-    )
-    nodes = facts.groupBy("s").agg(F.min("who").alias("who"))
-    nodes = written(nodes.select(F.col("who.r").alias("id"), "s", "who"))
-    leaves = written(_paths(nodes.select("id", "s"), trees, tree_bits))
-    lead = leaves.groupBy("layout", "code").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", "layout").alias("h"), "id", "check")).alias("m")
-    )
-    lead = written(lead.select("layout", "code", "n", F.col("m.id").alias("lead"), F.col("m.check").alias("check")))
-    within = (
-        leaves.join(lead.where("n > 1").select("layout", "code", "lead"), ["layout", "code"])
-        .where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    )
-    across = trie_join(
-        lead.select("layout", "code", F.col("lead").alias("id"), "check"), tree_bits, 1, links=True
-    )
-    pairs = within.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    most = int(64 * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    left = nodes.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = nodes.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    apart = F.aggregate(
-        F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x
-    )
-    near = pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
+    key = free_name(docs, "_row")
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()))
+    texts = rows.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("t"))
+    facts = written(_prefixes(texts, shingle, similarity))
+    named = rows.select(F.col(key).alias("id"), F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(key).alias("r")).alias("who"))
+    sets = written(named.join(facts.select("id", "digest"), "id"))
+    nodes = written(sets.groupBy("digest").agg(F.min("who").alias("who")).select(F.col("who.r").alias("id"), "digest", "who"))
+    posted = facts.join(nodes.select("id"), "id", "left_semi").select("id", "n", F.posexplode("prefix").alias("at", "token"))
+    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
+    lists = written(posted.join(shared, "token"))
+    near = _decided(texts, _led(lists, similarity), shingle, similarity)
     tree = components(near)
-    named = written(
+    placed = written(
         nodes.join(tree, nodes.id == tree.node, "left")
-        .select("s", "who", F.coalesce("component", "id").alias("component"))
+        .select("digest", "who", F.coalesce("component", "id").alias("component"))
     )
-    tops = named.groupBy("component").agg(F.min("who").alias("top"))
-    by_sketch = salted_join(named, tops, ["component"]).select("s", F.col("top.r").alias("group"))
-    groups = rows.where(~zero).select(F.col(sketched).alias("s"), key).join(by_sketch, "s").select(key, "group")
-    return rows.drop(sketched), groups
+    tops = placed.groupBy("component").agg(F.min("who").alias("top"))
+    by_set = salted_join(placed, tops, ["component"]).select("digest", F.col("top.r").alias("group"))
+    groups = sets.join(by_set, "digest").select(F.col("id").alias(key), "group")
+    return rows, groups
+
+
+HOT_TOKENS = 100_000  # shingles whose counts are carried along to order sets by
+
 
+def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Per text with words: digest and size ``n`` of its shingle set, and the shingles to post.
+
+    Counts of the common shingles come from one text in 16. They only make the order, and any
+    order gives the same pairs; this one keeps common shingles from being posted.
+    """
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column("t")]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
 
-def _paths(nodes: DataFrame, trees: int, tree_bits: int) -> DataFrame:
-    """The path of every node in every tree, and 64 bits beyond all paths."""
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).mapInArrow(tokens, "token long")
+    counts = some.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 4")
+    hot = counts.orderBy(F.desc("m"), "token").limit(HOT_TOKENS).collect()
+    known = np.array([r["token"] for r in hot], np.int64).view(np.uint64)
+    often = np.array([r["m"] for r in hot], np.int64)[np.argsort(known)]
+    known = np.sort(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 4096):
-            ids = batch.column("id").to_numpy()
-            flat = batch.column("s").flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-            bits = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(len(ids), -1), axis=1)
-            check = flat[:, -1].view(np.int64)
-            for t in range(trees):
-                some = np.zeros((len(ids), 64), np.uint8)
-                some[:, :tree_bits] = bits[:, t * tree_bits : (t + 1) * tree_bits]
-                code = np.packbits(some, axis=1).view(">u8").astype(np.uint64).reshape(-1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), t)), pa.array(code.view(np.int64)), pa.array(ids), pa.array(check)],
-                    ["layout", "code", "id", "check"],
-                )
+        for batch in small_batches(batches):
+            made = []
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("t")):
+                one = np.unique(shingle_hashes(t.as_py(), shingle))
+                if not len(one):
+                    continue
+                common = np.zeros(len(one), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, one), len(known) - 1)
+                    common = np.where(known[at] == one, often[at], 0)
+                least = int(np.ceil(similarity * len(one) - 1e-9))
+                first = one[np.lexsort((one, common))][: len(one) - least + 1]
+                made.append((i, xxhash.xxh3_128_digest(one.tobytes()), len(one), first.view(np.int64)))
+            ids, digests, sizes, posted = zip(*made) if made else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()), pa.array(digests, pa.binary()),
+                    pa.array(sizes, pa.int32()), pa.array(posted, pa.list_(pa.int64())),
+                ],
+                ["id", "digest", "n", "prefix"],
+            )
+
+    return texts.mapInArrow(run, "id long, digest binary, n int, prefix array<long>")
+
+
+def _may_be_near(n: str, at: str, other_n: str, other_at: str, similarity: float):
+    """Whether sets that first meet at these places can still share enough shingles."""
+    left = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
+    need = (F.col(n) + F.col(other_n)) * (similarity / (1 + similarity)) - 1e-6
+    sizes = F.least(n, other_n) >= F.greatest(n, other_n) * similarity - 1e-6
+    return (left >= need) & sizes
+
 
-    return nodes.mapInArrow(run, "layout long, code long, id long, check long")
+def _leaders(lists: DataFrame) -> DataFrame:
+    """The set of each list with the least hash, which tends to lead the neighbouring lists too."""
+    lead = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "at")).alias("x"))
+    return lead.select("token", F.col("x.id").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.at").alias("lead_at"))
+
+
+def _led(lists: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs of each set with the leader of each of its lists."""
+    led = lists.join(_leaders(lists), "token").where("id <> lead")
+    led = led.where(_may_be_near("n", "at", "lead_n", "lead_at", similarity))
+    return led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
+def _decided(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets are near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+
+    pairs = written(pairs)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = written(texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>"))
+    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    near = common * (1 + similarity) >= (F.size("sa") + F.size("sb")) * similarity - 1e-6
+    return written(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
