@@ -182,3 +182,18 @@ def test_pairs_about_the_threshold(spark):
     assert near >= 40
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == kept_by_brute_force(texts)
+
+
+def test_near_pair_behind_another_leader(spark):
+    """Two near copies are found although all they share stands in many other texts as well."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    texts = {}
+    for _ in range(12):
+        body = [rng.choice(words) for _ in range(174)]
+        for tail in [20, 20] + [48] * 8:  # the two are at 0.81, the others at 0.64 to 0.71
+            texts[len(texts)] = " ".join(body + [rng.choice(words) for _ in range(tail)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = kept_by_brute_force(texts)
+    assert len(want) == 12 * 9
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want

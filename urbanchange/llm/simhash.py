@@ -310,7 +310,9 @@ def similar_groups(
     order, common ones last. Of a set of ``n`` shingles the first ``n - ceil(similarity * n) + 1``
     are posted: near sets share one of these at least. Sets of one list are candidates unless
     their sizes, or their places in the list, leave too few shingles to share; each candidate
-    pair is decided by its whole sets. Equal sets collapse first.
+    pair is decided by its whole sets. Equal sets collapse first. Each set is compared with the
+    leaders of its lists, which joins large groups in few pairs, and then with all sets of its
+    lists that it is not joined with yet.
 
     The group key is the row key of the member with the least id (null ids last); rows without
     words are left alone: they have nothing in common.
@@ -326,7 +328,8 @@ def similar_groups(
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     lists = written(posted.join(shared, "token"))
     near = _decided(texts, _led(lists, similarity), shingle, similarity)
-    tree = components(near)
+    rest = _across(lists, written(components(near)), similarity)
+    tree = components(near.union(_decided(texts, rest, shingle, similarity)))
     placed = written(
         nodes.join(tree, nodes.id == tree.node, "left")
         .select("digest", "who", F.coalesce("component", "id").alias("component"))
@@ -407,6 +410,27 @@ def _led(lists: DataFrame, similarity: float) -> DataFrame:
     return led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
 
+def _across(lists: DataFrame, tree: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs of one list that the tree does not join yet, without those of its leader.
+
+    One side of each pair is outside the component of the list's leader, so a large group that
+    is joined already costs nothing.
+    """
+    known = lists.join(tree, lists.id == tree.node, "left")
+    known = known.select("token", "id", "n", "at", F.coalesce("component", "id").alias("c"))
+    lead = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "c"))
+    leaders = known.groupBy("token").agg(lead.alias("x"), F.min("c").alias("low"), F.max("c").alias("high"))
+    leaders = leaders.where("low < high").select("token", F.col("x.id").alias("lead"), F.col("x.c").alias("lead_c"))
+    known = written(known.join(leaders, "token").where("id <> lead"))
+    outside = known.where("c <> lead_c").select(
+        "token", F.col("id").alias("o"), F.col("n").alias("on"), F.col("at").alias("oat"), F.col("c").alias("oc")
+    )
+    once = (F.col("c") == F.col("lead_c")) | (F.col("id") < F.col("o"))
+    pairs = outside.join(known, "token").where("c <> oc").where(once)
+    pairs = pairs.where(_may_be_near("n", "at", "on", "oat", similarity))
+    return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+
+
 def _decided(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs whose whole shingle sets are near enough."""
 
