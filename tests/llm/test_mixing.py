@@ -62,3 +62,22 @@ def test_repeats_and_edges(spark):
         mixing.mix(docs, weights={"a": 1})
     laid = mixing.in_order(mixing.mix(docs, weights={"a": 2, "b": 1, "": 1}), 3)
     assert laid.columns == ["doc_id", "source"]
+
+
+def test_small_sources_keep_their_share(spark):
+    """A source a thousand times smaller than the hottest fills its slots to the end."""
+    sizes = {"a": 20_000, "b": 300, "c": 20, "d": 1}
+    docs = spark.createDataFrame(
+        [(1000 * k + i, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)], "doc_id long, source string"
+    )
+    for weights in (None, {"a": 5, "b": 3, "c": 1, "d": 1}):
+        got = mixing.mix(docs, weights=weights).collect()
+        weights = weights or mixing.default_weights(sizes)
+        assert Counter(r.source for r in got if r.mix_epoch == 0) == sizes
+        end, total = max(r.mix_slot for r in got) + 1, sum(weights.values())
+        full = Counter(r.mix_slot for r in got)
+        assert len(full) == end and set(full.values()) == {16}
+        rows = Counter(r.source for r in got)
+        assert all(abs(rows[s] / 16 - w * end / total) < 1 for s, w in weights.items())
+    with pytest.warns(UserWarning, match="short"):
+        assert mixing.mix(docs, epochs=2).where("mix_epoch > 1").count() == 0
