@@ -324,9 +324,11 @@ def similar_groups(
     named = rows.select(F.col(key).alias("id"), F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(key).alias("r")).alias("who"))
     sets = written(named.join(facts.select("id", "digest"), "id"))
     nodes = written(sets.groupBy("digest").agg(F.min("who").alias("who")).select(F.col("who.r").alias("id"), "digest", "who"))
-    posted = facts.join(nodes.select("id"), "id", "left_semi").select("id", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    lists = written(posted.join(shared, "token"))
+    single = facts.join(nodes.select("id"), "id", "left_semi").select("id", "n", "prefix")
+    tokens = single.select(F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
+    shared = written(shared)
+    lists = written(_posted(single, _bitmap(shared.select(_bit("token")))).join(shared, "token"))
     near = _decided(texts, _led(lists, similarity), shingle, similarity)
     rest = _across(lists, written(components(near)), similarity)
     tree = components(near.union(_decided(texts, rest, shingle, similarity)))
@@ -389,6 +391,50 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return texts.mapInArrow(run, "id long, digest binary, n int, prefix array<long>")
 
 
+BITS = 1 << 25  # of a bitmap of keys: 4 MB
+
+
+def _bit(name: str):
+    """The place of a key in a bitmap; `_among` has the same for arrays."""
+    return F.pmod(F.col(name).bitwiseXOR(F.shiftright(name, 33)), F.lit(BITS)).alias("bit")
+
+
+def _bitmap(bits: DataFrame) -> np.ndarray:
+    """The bits that are there. It only saves shuffling what no join will want."""
+    page = bits.groupBy(F.shiftright("bit", 15).alias("page")).agg(
+        F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("b")
+    )
+    made = np.zeros((BITS >> 15, 4096), np.uint8)
+    for row in page.collect():  # at most a thousand rows of 4 kB
+        made[row["page"]] = np.frombuffer(bytes(row["b"]), np.uint8)
+    return made.reshape(-1)
+
+
+def _among(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = (keys ^ (keys >> 33)) & (BITS - 1)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _posted(single: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """A row for each posted shingle that the bitmap has, with its place ``at`` in the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 4096):
+            prefix = batch.column("prefix")
+            sizes = prefix.value_lengths().to_numpy()
+            token = prefix.flatten().to_numpy()
+            at = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            some = _among(bitmap, token)
+            ids, n = (batch.column(c).to_numpy()[own[some]] for c in ("id", "n"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(n), pa.array(at[some].astype(np.int32)), pa.array(token[some])],
+                ["id", "n", "at", "token"],
+            )
+
+    return single.mapInArrow(run, "id long, n int, at int, token long")
+
+
 def _may_be_near(n: str, at: str, other_n: str, other_at: str, similarity: float):
     """Whether sets that first meet at these places can still share enough shingles."""
     left = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
@@ -436,12 +482,13 @@ def _decided(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
+            batch = batch.filter(pa.array(_among(wanted, batch.column("id").to_numpy())))
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column("t")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
     pairs = written(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>"))
+    wanted = _bitmap(pairs.select(_bit("a")).union(pairs.select(_bit("b"))))
+    sets = written(texts.mapInArrow(run, "id long, s array<long>"))
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
