@@ -360,9 +360,9 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     some = texts.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).mapInArrow(tokens, "token long")
     counts = some.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 4")
-    hot = counts.orderBy(F.desc("m"), "token").limit(HOT_TOKENS).collect()
-    known = np.array([r["token"] for r in hot], np.int64).view(np.uint64)
-    often = np.array([r["m"] for r in hot], np.int64)[np.argsort(known)]
+    hot = counts.orderBy(F.desc("m"), "token").limit(HOT_TOKENS).toArrow()
+    known = hot.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    often = hot.column("m").to_numpy().astype(np.int64)[np.argsort(known)]
     known = np.sort(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +391,7 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return texts.mapInArrow(run, "id long, digest binary, n int, prefix array<long>")
 
 
-BITS = 1 << 25  # of a bitmap of keys: 4 MB
+BITS = 1 << 23  # of a bitmap of keys: 1 MB
 
 
 def _bit(name: str):
@@ -405,7 +405,7 @@ def _bitmap(bits: DataFrame) -> np.ndarray:
         F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("b")
     )
     made = np.zeros((BITS >> 15, 4096), np.uint8)
-    for row in page.collect():  # at most a thousand rows of 4 kB
+    for row in page.collect():  # at most 256 rows of 4 kB
         made[row["page"]] = np.frombuffer(bytes(row["b"]), np.uint8)
     return made.reshape(-1)
 
