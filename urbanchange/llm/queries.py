@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanchange.llm import chat, decontaminate, mixing, perplexity, quality, secrets, sharding, simhash, urlfilter, warc
+from urbanchange.llm import audit, chat, decontaminate, mixing, perplexity, quality, secrets, sharding, simhash, spelling, urlfilter, warc
 from urbanchange.llm.common import new_folder, written
 
 
@@ -84,6 +84,14 @@ def op7_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_perplexity": op4_perplexity,
@@ -95,8 +103,11 @@ QUERIES = {
     "op2_warc_archives": op2_warc_archives,
     "op7_secret_layers": op7_secret_layers,
     "op3_feistel_shards": op3_feistel_shards,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op5_dated_url_lists": urlfilter.ORACLE,
     "op10_chat_snapshots": chat.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
 }
