@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanchange.llm import audit, chat, decontaminate, mixing, perplexity, quality, secrets, sharding, simhash, spelling, urlfilter, warc
+from urbanchange.llm import audit, chat, decontaminate, langid, mixing, perplexity, quality, secrets, sharding, simhash, spelling, urlfilter, warc
 from urbanchange.llm.common import new_folder, written
 
 
@@ -92,6 +92,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_perplexity": op4_perplexity,
@@ -105,6 +109,7 @@ QUERIES = {
     "op3_feistel_shards": op3_feistel_shards,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_filter_audit": op12_filter_audit,
+    "op13_language_id": op13_language_id,
 }
 ORACLES: dict[str, str] = {
     "op5_dated_url_lists": urlfilter.ORACLE,
