@@ -6,8 +6,8 @@ labeller, which mostly does not vote. Expectation-maximisation over the counts o
 (at most 3 to the power of the labellers, whatever the corpus) estimates the share of yes
 documents and how each labeller votes in either class. The posterior of a pattern is a soft label.
 A logistic scorer over hashed words, word beginnings and style marks is fitted to the soft labels
-of about `SAMPLE` documents, picked by a hash, those that the label table covers first, and judges
-every document. Documents on which EM is undecided don't take part in the fit.
+of about `SAMPLE` documents, picked by a hash, those that the label table covers first, by
+follow-the-regularised-leader in a few passes, and judges every document. Documents on which EM is undecided don't take part in the fit.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +32,8 @@ by_value(__name__)
 SAMPLE = 20_000  # documents the scorer is fitted on
 TASKS = 8  # of the fit
 BITS = 18  # hashed features: 2 ** BITS, so a model is 2 MB
+EPOCHS = 4  # of the fit
+RATE, LASSO, RIDGE = 0.3, 0.05, 0.05  # step size of a coordinate and penalties
 ROUNDS = 200  # of EM, an end in case it creeps
 DOUBT = 0.02  # a posterior between this and one less this is no label
 YES, NO, NONE = 1, 0, 2
@@ -152,33 +152,82 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
 # -- the scorer -----------------------------------------------------------------------------
 
 
-def fit_scorer(sample: DataFrame, column: str, labels: dict[tuple[int, ...], float]) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic scorer on the soft labels that are beyond doubt.
+class Scorers:
+    """Two logistic scorers (junk, abuse) over the same features, fitted side by side.
 
-    A row counts for yes and for no with its posterior; the ridge is two over the rows.
+    Follow-the-regularised-leader per coordinate; the last number is the intercept. A soft label
+    beyond doubt moves its scorer, a missing one (NaN) does not.
     """
-    vector = F.udf(  # on the sample only
-        lambda idx: Vectors.sparse(1 << BITS, [int(i) for i in idx], [1.0] * len(idx)), VectorUDT()
+
+    def __init__(self, z: np.ndarray, n: np.ndarray):
+        self.z, self.n = z, n
+
+    def weights(self, at) -> np.ndarray:
+        z = self.z[at]
+        step = (1 + np.sqrt(self.n[at])) / RATE + RIDGE
+        return np.where(np.abs(z) <= LASSO, 0.0, (np.sign(z) * LASSO - z) / step)
+
+    def learn(self, at: np.ndarray, yes: np.ndarray) -> None:
+        at = np.r_[at, len(self.z) - 1]
+        w = self.weights(at)
+        p = 1 / (1 + np.exp(-np.clip(w.sum(axis=0), -50, 50)))
+        g = np.where(np.isnan(yes), 0.0, p - yes)
+        seen = self.n[at]
+        new = seen + g * g
+        self.z[at] += g - (np.sqrt(new) - np.sqrt(seen)) / RATE * w
+        self.n[at] = new
+
+
+def fit_scorers(sample: DataFrame, labels: dict[str, dict[tuple[int, ...], float]]) -> list[tuple[np.ndarray, float]]:
+    """Weights and intercept of both scorers on the soft labels that are beyond doubt.
+
+    ``sample`` has the votes, ``features`` and ``_order``. Every epoch is one pass in which each
+    task runs over its rows from the common state; Spark averages the moves. Where all labels of
+    a question agree, there is nothing to tell apart and every document gets that label.
+    """
+    spark = sample.sparkSession
+    soft = []
+    for k, c in enumerate(VOTES.names):
+        decided = [(list(v), y) for v, y in labels[c].items() if not DOUBT <= y <= 1 - DOUBT]
+        soft.append(spark.createDataFrame(decided, f"{c} array<int>, _yes{k} double"))
+    rows = sample
+    for c, known in zip(VOTES.names, soft):
+        rows = rows.join(F.broadcast(known), c, "left")  # a row per vote pattern
+    rows = written(
+        rows.select("features", "_yes0", "_yes1", "_order").repartitionByRange(TASKS, "_order").sortWithinPartitions("_order")
     )
-    decided = [(list(k), v) for k, v in labels.items() if not DOUBT <= v <= 1 - DOUBT]
-    known = sample.sparkSession.createDataFrame(decided, f"{column} array<int>, _yes double")
-    rows = sample.join(F.broadcast(known), column).select(vector("features").alias("features"), "_yes")
-    counts = rows.groupBy((F.col("_yes") > 0.5).alias("yes")).count().collect()
-    if len(counts) < 2:  # nothing to tell apart
-        return np.zeros(1 << BITS), 30.0 if counts and counts[0]["yes"] else -30.0
-    both = rows.select(
-        "features",
-        F.explode(F.array(
-            F.struct(F.lit(1.0).alias("label"), F.col("_yes").alias("w")),
-            F.struct(F.lit(0.0).alias("label"), (1 - F.col("_yes")).alias("w")),
-        )).alias("_l"),
-    ).select("features", "_l.label", "_l.w").where("w > 1e-6")
-    ridge = 2 / sum(r["count"] for r in counts)
-    both = both.coalesce(TASKS)  # a bounded sample; each task sends a whole gradient per step
-    fit = LogisticRegression(
-        weightCol="w", maxIter=40, regParam=ridge, standardization=False, maxBlockSizeInMB=16
-    ).fit(both)
-    return fit.coefficients.toArray(), float(fit.intercept)
+    sides = rows.agg(*[
+        F.count(F.when((F.col(f"_yes{k}") > 0.5) == side, 1)).alias(f"{side}{k}") for k in (0, 1) for side in (True, False)
+    ]).first()
+    z, n = np.zeros(((1 << BITS) + 1, 2)), np.zeros(((1 << BITS) + 1, 2))
+    for _ in range(EPOCHS):
+        state = spark.sparkContext.broadcast((z, n))  # four numbers a feature
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            both, seen = Scorers(*(a.copy() for a in state.value)), 0
+            for batch in batches:
+                yes = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_yes0", "_yes1")], axis=1)
+                for at, y in zip(batch.column("features"), yes.astype(float)):
+                    both.learn(at.values.to_numpy(), y)
+                    seen += 1
+            moved = [(a - b).ravel() for a, b in zip((both.z, both.n), state.value)]
+            at = np.flatnonzero(moved[1])
+            columns = [at, *(seen * m[at] for m in moved), np.full(len(at), seen, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["at", "z", "n", "seen"])
+
+        moves = rows.mapInArrow(run, "at long, z double, n double, seen long")
+        mean = moves.groupBy("at").agg(*[(F.sum(c) / F.sum("seen")).alias(c) for c in ("z", "n")]).toArrow()
+        for a, c in ((z, "z"), (n, "n")):
+            a.reshape(-1)[mean.column("at").to_numpy()] += mean.column(c).to_numpy()
+        state.unpersist()
+    w = Scorers(z, n).weights(slice(None))
+    out = []
+    for k in (0, 1):
+        if sides[f"True{k}"] and sides[f"False{k}"]:
+            out.append((w[:-1, k].copy(), float(w[-1, k])))
+        else:
+            out.append((np.zeros(1 << BITS), 30.0 if sides[f"True{k}"] else -30.0))
+    return out
 
 
 class Model(NamedTuple):
@@ -255,9 +304,10 @@ def train(docs: DataFrame, id_col: str, text: str, labels: DataFrame | None = No
     some = _with_labels(rows.where(drawn < max(first, others)), given, "left")
     labelled = (F.col("_junk") != NONE) | (F.col("_abuse") != NONE)
     some = some.where(drawn < F.when(labelled, first).otherwise(others))
-    some = _votes(some, "_text", ["_junk", "_abuse"], True).select(*both, "features")
-    some = written(some)
-    return Model(*(fit_scorer(some, c, soft[c]) for c in VOTES.names), votes["junk"], votes["abuse"])
+    some = some.where(F.col("_text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+    some = some.withColumn("_order", F.pmod(F.xxhash64("_id", "_text", F.lit(23)), F.lit(1 << 40)))
+    some = _votes(some, "_text", ["_junk", "_abuse", "_order"], True).select(*both, "features", "_order")
+    return Model(*fit_scorers(some, soft), votes["junk"], votes["abuse"])
 
 
 def judge(
@@ -280,9 +330,13 @@ def judge(
             scores = []
             for t in batch.column(raw):
                 _, _, words, marks = facts(t.as_py() or b"")
+                if not words:  # nothing to judge
+                    scores.append((-np.inf, -np.inf))
+                    continue
                 at = features(words, marks)
                 scores.append((junk[at].sum() + junk_at, abuse[at].sum() + abuse_at))
-            p = 1 / (1 + np.exp(-np.clip(np.array(scores).reshape(-1, 2), -50, 50)))
+            scored = np.array(scores).reshape(-1, 2)
+            p = np.where(np.isinf(scored), 0.0, 1 / (1 + np.exp(-np.clip(scored, -50, 50))))
             kept = (p < 0.5).all(axis=1)
             own = [batch.column(c) for c in keep]
             if only_kept:
@@ -300,8 +354,9 @@ def classify(
 ) -> DataFrame:
     """Every row's id with its scores and whether it is kept.
 
-    Null texts are empty; an empty text casts its votes like any other; ids may be null (then
-    without a label) or repeat; an empty table gives no rows. Where all soft labels agree, every
+    A null text, an empty one and any other without a word is kept with scores of 0, and takes no
+    part in the fit; its votes count like any other's. Ids may be null (then without a label) or
+    repeat; an empty table gives no rows. Where all soft labels agree, every
     document gets that label. Extra columns are left aside.
     """
     return judge(docs, train(docs, id_col, text, labels, sample), text, [id_col])
