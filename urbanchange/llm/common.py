@@ -6,7 +6,7 @@ import atexit
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -82,15 +82,15 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> tuple[Data
     return numbered, total
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """Connected components of an edge list (``a``, ``b``): ``node``, ``component`` (its least node).
 
     Large-star and small-star steps in turn, each a grouped minimum and a join, until nothing
-    changes; every round is written to the shared folder. A node of high degree is a hot
+    changes; every round is written to the shared folder by ``cut``. A node of high degree is a hot
     grouping key only for a minimum, which is combined before the shuffle; the join back is an
     ordinary equi-join of narrow rows that adaptive execution splits.
     """
-    edges = materialize(
+    edges = cut(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .where("a <> b")
         .distinct()
@@ -111,7 +111,7 @@ def components(edges: DataFrame) -> DataFrame:
             .union(least.select("a", F.col("_m").alias("b")))
             .distinct()
         )
-        edges = materialize(small)
+        edges = cut(small)
         state = tuple(
             edges.agg(
                 F.count(F.lit(1)),
@@ -164,6 +164,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Like ``written``; also has Spark delete the shuffle files that the writing made.
+
+    For long chains of shuffles: Spark else keeps the files of all of them until the driver
+    happens to collect its garbage. The session's own setting is put back.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(FREED, None)
+    conf.set(FREED, "true")
+    try:
+        return written(df)
+    finally:
+        conf.unset(FREED) if before is None else conf.set(FREED, before)
+
+
 def nullable_text(df: DataFrame, column: str) -> Column:
     """The column as a string, whatever it was; null stays null."""
     kind = df.schema[column].dataType

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanchange.functions.skew import materialize, salted_join
-from urbanchange.llm.common import by_value, components, free_name, parts, small_batches, written
+from urbanchange.llm.common import FOLDERS, by_value, components, free_name, parts, remove, settled, small_batches, written
 
 by_value(__name__)
 
@@ -318,21 +318,21 @@ def similar_groups(
     words are left alone: they have nothing in common.
     """
     key = free_name(docs, "_row")
-    rows = written(docs.withColumn(key, F.monotonically_increasing_id()))
+    rows = settled(docs.withColumn(key, F.monotonically_increasing_id()))
     texts = rows.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("t"))
-    facts = written(_prefixes(texts, shingle, similarity))
+    facts = settled(_prefixes(texts, shingle, similarity))
     named = rows.select(F.col(key).alias("id"), F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(key).alias("r")).alias("who"))
-    sets = written(named.join(facts.select("id", "digest"), "id"))
-    nodes = written(sets.groupBy("digest").agg(F.min("who").alias("who")).select(F.col("who.r").alias("id"), "digest", "who"))
-    single = facts.join(nodes.select("id"), "id", "left_semi").select("id", "n", "prefix")
+    sets = settled(named.join(facts.select("id", "digest"), "id"))
+    nodes = settled(sets.groupBy("digest").agg(F.min("who").alias("who")).select(F.col("who.r").alias("id"), "digest", "who"))
+    single = facts.join(nodes.select("id"), "id", "left_semi").select("id", "n", "prefix", *MARK_NAMES)
     tokens = single.select(F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    shared = written(shared)
-    lists = written(_posted(single, _bitmap(shared.select(_bit("token")))).join(shared, "token"))
+    shared = settled(shared)
+    lists = settled(_posted(single, _bitmap(shared.select(_bit("token")))).join(shared, "token"))
     near = _decided(texts, _led(lists, similarity), shingle, similarity)
-    rest = _across(lists, written(components(near)), similarity)
-    tree = components(near.union(_decided(texts, rest, shingle, similarity)))
-    placed = written(
+    rest = _across(lists, settled(components(near, settled)), similarity)
+    tree = components(near.union(_decided(texts, rest, shingle, similarity)), settled)
+    placed = settled(
         nodes.join(tree, nodes.id == tree.node, "left")
         .select("digest", "who", F.coalesce("component", "id").alias("component"))
     )
@@ -378,17 +378,30 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     common = np.where(known[at] == one, often[at], 0)
                 least = int(np.ceil(similarity * len(one) - 1e-9))
                 first = one[np.lexsort((one, common))][: len(one) - least + 1]
-                made.append((i, xxhash.xxh3_128_digest(one.tobytes()), len(one), first.view(np.int64)))
-            ids, digests, sizes, posted = zip(*made) if made else ((), (), (), ())
+                made.append((i, xxhash.xxh3_128_digest(one.tobytes()), len(one), first.view(np.int64), _marks(first)))
+            ids, digests, sizes, posted, marks = zip(*made) if made else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()), pa.array(digests, pa.binary()),
                     pa.array(sizes, pa.int32()), pa.array(posted, pa.list_(pa.int64())),
+                    *[pa.array([m[k] for m in marks], pa.int64()) for k in range(MARKS)],
                 ],
-                ["id", "digest", "n", "prefix"],
+                ["id", "digest", "n", "prefix", *MARK_NAMES],
             )
 
-    return texts.mapInArrow(run, "id long, digest binary, n int, prefix array<long>")
+    return texts.mapInArrow(run, f"id long, digest binary, n int, prefix array<long>, {MARK_TYPES}")
+
+
+MARKS = 4  # numbers of 64 bits
+MARK_NAMES = [f"m{k}" for k in range(MARKS)]
+MARK_TYPES = ", ".join(f"{m} long" for m in MARK_NAMES)
+
+
+def _marks(posted: np.ndarray) -> list[int]:
+    """A bit for each posted shingle, one of 256."""
+    bits = np.zeros(64 * MARKS, np.uint8)
+    bits[(posted >> np.uint64(40)) % np.uint64(64 * MARKS)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
 
 
 BITS = 1 << 23  # of a bitmap of keys: 1 MB
@@ -426,34 +439,47 @@ def _posted(single: DataFrame, bitmap: np.ndarray) -> DataFrame:
             at = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             own = np.repeat(np.arange(len(sizes)), sizes)
             some = _among(bitmap, token)
-            ids, n = (batch.column(c).to_numpy()[own[some]] for c in ("id", "n"))
+            own = own[some]
+            ids, n, *marks = (batch.column(c).to_numpy()[own] for c in ("id", "n", *MARK_NAMES))
+            columns = [ids, n, at[some].astype(np.int32), sizes[own].astype(np.int32), token[some], *marks]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(n), pa.array(at[some].astype(np.int32)), pa.array(token[some])],
-                ["id", "n", "at", "token"],
+                [pa.array(c) for c in columns], ["id", "n", "at", "posted", "token", *MARK_NAMES]
             )
 
-    return single.mapInArrow(run, "id long, n int, at int, token long")
+    return single.mapInArrow(run, f"id long, n int, at int, posted int, token long, {MARK_TYPES}")
+
 
+FACTS = ["n", "at", "posted", *MARK_NAMES]  # what a list knows of a set besides its id
 
-def _may_be_near(n: str, at: str, other_n: str, other_at: str, similarity: float):
-    """Whether sets that first meet at these places can still share enough shingles."""
-    left = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
-    need = (F.col(n) + F.col(other_n)) * (similarity / (1 + similarity)) - 1e-6
-    sizes = F.least(n, other_n) >= F.greatest(n, other_n) * similarity - 1e-6
-    return (left >= need) & sizes
+
+def _may_be_near(other: str, similarity: float):
+    """Whether two sets of a list, the other's facts under names with a prefix, may be near.
+
+    They can't if their sizes differ too much, if too few shingles are left from their places in
+    the list on, or if they share too few posted shingles: of two sets one is posted up to an
+    earlier shingle of the order, and what they share is posted by both or lies beyond that set's
+    posted ones. A mark that only one of two sets has is a posted shingle that the other lacks.
+    """
+    mine, its = (lambda c: F.col(c)), (lambda c: F.col(other + c))
+    left = F.least(mine("n") - mine("at"), its("n") - its("at"))
+    need = (mine("n") + its("n")) * (similarity / (1 + similarity)) - 1e-6
+    sizes = F.least(mine("n"), its("n")) >= F.greatest(mine("n"), its("n")) * similarity - 1e-6
+    lacks = lambda a, b: sum(F.bit_count(a(m).bitwiseAND(F.bitwise_not(b(m)))) for m in MARK_NAMES)
+    common = F.least(mine("posted") - lacks(mine, its), its("posted") - lacks(its, mine))
+    beyond = F.greatest(mine("n") - mine("posted"), its("n") - its("posted"))
+    return sizes & (left >= need) & (common + beyond >= need)
 
 
 def _leaders(lists: DataFrame) -> DataFrame:
     """The set of each list with the least hash, which tends to lead the neighbouring lists too."""
-    lead = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "at")).alias("x"))
-    return lead.select("token", F.col("x.id").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.at").alias("lead_at"))
+    lead = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", *FACTS)).alias("x"))
+    return lead.select("token", *[F.col(f"x.{c}").alias(f"lead_{c}") for c in ("id", *FACTS)])
 
 
 def _led(lists: DataFrame, similarity: float) -> DataFrame:
     """Candidate pairs of each set with the leader of each of its lists."""
-    led = lists.join(_leaders(lists), "token").where("id <> lead")
-    led = led.where(_may_be_near("n", "at", "lead_n", "lead_at", similarity))
-    return led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    led = lists.join(_leaders(lists), "token").where("id <> lead_id").where(_may_be_near("lead_", similarity))
+    return led.select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
 
 
 def _across(lists: DataFrame, tree: DataFrame, similarity: float) -> DataFrame:
@@ -463,37 +489,57 @@ def _across(lists: DataFrame, tree: DataFrame, similarity: float) -> DataFrame:
     is joined already costs nothing.
     """
     known = lists.join(tree, lists.id == tree.node, "left")
-    known = known.select("token", "id", "n", "at", F.coalesce("component", "id").alias("c"))
+    known = known.select("token", "id", *FACTS, F.coalesce("component", "id").alias("c"))
     lead = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "c"))
     leaders = known.groupBy("token").agg(lead.alias("x"), F.min("c").alias("low"), F.max("c").alias("high"))
     leaders = leaders.where("low < high").select("token", F.col("x.id").alias("lead"), F.col("x.c").alias("lead_c"))
-    known = written(known.join(leaders, "token").where("id <> lead"))
-    outside = known.where("c <> lead_c").select(
-        "token", F.col("id").alias("o"), F.col("n").alias("on"), F.col("at").alias("oat"), F.col("c").alias("oc")
-    )
-    once = (F.col("c") == F.col("lead_c")) | (F.col("id") < F.col("o"))
-    pairs = outside.join(known, "token").where("c <> oc").where(once)
-    pairs = pairs.where(_may_be_near("n", "at", "on", "oat", similarity))
-    return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    known = settled(known.join(leaders, "token").where("id <> lead"))
+    outside = known.where("c <> lead_c").select("token", *[F.col(c).alias(f"o_{c}") for c in ("id", *FACTS, "c")])
+    once = (F.col("c") == F.col("lead_c")) | (F.col("id") < F.col("o_id"))
+    pairs = outside.join(known, "token").where("c <> o_c").where(once).where(_may_be_near("o_", similarity))
+    return pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
 
 
-def _decided(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets are near enough."""
+SLICES = 4  # of the hashes; candidate pairs are first held against one of these
+
+
+def _sets(texts: DataFrame, pairs: DataFrame, shingle: int, slices: int) -> DataFrame:
+    """Shingle sets of the texts that occur in ``pairs``: ``id``, size ``n`` and hashes ``s``,
+    only those of one slice of the hashes if there are several."""
+    wanted = _bitmap(pairs.select(_bit("a")).union(pairs.select(_bit("b"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             batch = batch.filter(pa.array(_among(wanted, batch.column("id").to_numpy())))
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column("t")]
+            sizes = pa.array(map(len, sets), pa.int32())
+            some = [one[one % np.uint64(slices) == 0].view(np.int64) for one in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, pa.array(some, pa.list_(pa.int64()))], ["id", "n", "s"])
 
-    pairs = written(pairs)
-    wanted = _bitmap(pairs.select(_bit("a")).union(pairs.select(_bit("b"))))
-    sets = written(texts.mapInArrow(run, "id long, s array<long>"))
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    near = common * (1 + similarity) >= (F.size("sa") + F.size("sb")) * similarity - 1e-6
-    return written(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"))
+    return settled(texts.mapInArrow(run, "id long, n int, s array<long>"))
+
+
+def _decided(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets are near enough.
+
+    Most candidates share a passage and little else. One slice of the hashes shows that: what two
+    sets share is at most what they share of the slice and all that they have beyond it. Only
+    pairs that this leaves a chance have their whole sets shuffled and compared.
+    """
+    before = len(FOLDERS)
+    pairs = settled(pairs)
+    for slices in (SLICES, 1):
+        sets = _sets(texts, pairs, shingle, slices)
+        left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+        right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+        beyond = F.least(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb"))
+        most = F.size(F.array_intersect("sa", "sb")) + beyond
+        near = most * (1 + similarity) >= (F.col("na") + F.col("nb")) * similarity - 1e-6
+        pairs = settled(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"))
+        for path in FOLDERS[before:-1]:  # all but these pairs
+            remove(texts.sparkSession, path)
+        before = len(FOLDERS) - 1
+    return pairs
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
