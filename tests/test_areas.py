@@ -175,7 +175,7 @@ def test_classifiers_beat_the_majority(spark):
         (classify.default_specs()[0], {"C": 1.0, "max_iter": 50}),
         (classify.default_specs()[1], {"C": 1.0, "max_iter": 10}),
         (classify.default_specs()[2], {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.2}),
-        (classify.FOREST, {"n_estimators": 10, "max_depth": 4}),
+        (classify.FOREST, {"n_estimators": 40}),
     ]
     for spec, params in specs:
         row = classify.repeated_cv(df, ["x1", "x2"], spec, params, "id", folds=2, repeats=1).first()

@@ -9,8 +9,6 @@ import __spark_entry__ as registered
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, SQL = registered.queries(), registered.oracle_sql()
-# Fitting models takes longest; these have tests of their own.
-SLOW = {"model_comparison", "grid_search", "threshold_sweep", "clf_svc", "clf_gbt"}
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +25,6 @@ def test_entry(spark):
     assert "gentrification_score" in df.columns and df.count() > 0
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, con, name, QUERIES[name], SQL.get(name), SF_DIR) is None

@@ -137,7 +137,7 @@ def clf_gbt(spark, sf):
 
 
 def clf_balanced_rf(spark, sf):
-    return _resubstituted(spark, sf, classify.FOREST, {"n_estimators": 50})
+    return _resubstituted(spark, sf, classify.FOREST, {})
 
 
 def grid_search(spark, sf):
@@ -148,23 +148,16 @@ def grid_search(spark, sf):
 
 
 def model_comparison(spark, sf):
-    specs = (
-        classify.ModelSpec(
-            "LogisticRegression", classify.logistic_regression, {"C": [1.0], "max_iter": [50]}
-        ),
-        classify.ModelSpec(
-            "LinearSVC", classify.linear_svc, {"C": [1.0], "max_iter": [20]}, skip_roc_auc=True
-        ),
-        classify.ModelSpec(
-            "GBT",
-            classify.boosted_trees,
-            {"n_estimators": [5], "max_depth": [3], "learning_rate": [0.1]},
-            "positive",
-        ),
+    """Default grids and folds for the linear models; boosted trees with one small candidate."""
+    *linear_specs, boosted = classify.default_specs()
+    small = classify.ModelSpec(
+        boosted.name, boosted.build, {"n_estimators": [5], "max_depth": [3], "learning_rate": [0.1]}, boosted.weighting
     )
     rows = materialize(clf(spark, sf).select("doc_id", "label", *PREDICTORS))
-    config = classify.ClassifyConfig(2, 2, 1, specs=specs)
-    return classify.train_and_evaluate(rows, PREDICTORS, "doc_id", config)
+    whole = classify.ClassifyConfig(specs=tuple(linear_specs))
+    cut = classify.ClassifyConfig(2, 2, 1, specs=(small,))
+    parts = [classify.train_and_evaluate(rows, PREDICTORS, "doc_id", c) for c in (whole, cut)]
+    return parts[0].unionByName(parts[1])
 
 
 def price_pairs(spark, sf):
@@ -199,14 +192,12 @@ def threshold_features(spark, sf):
 
 
 def threshold_sweep(spark, sf):
-    """A labelled table per threshold, scored by cross-validation."""
-    limits = [100, 800]
-    features = sweep_features(spark, sf, limits)
-    labelled = features.withColumn("label", (F.pmod(F.hash("code"), F.lit(2))).cast("int"))
-    spec = classify.ModelSpec("BalancedRandomForest", classify.balanced_forest)
-    return sweep.evaluate_thresholds(
-        labelled, [], "code", limits, spec, {"n_estimators": 5, "max_depth": 3}, folds=2
-    )
+    """The whole sweep: 30 thresholds, quartile label of the disadvantaged areas, 500 trees, 5 folds."""
+    scored = full_score(spark, sf).select("code", SCORE, DISADVANTAGED)
+    features = sweep_features(spark, sf, sweep.default_thresholds())
+    built = modeling.assemble_modeling_table(scored, features, coverage(spark, sf), score_code="code", key="code")
+    labelled = built.data.withColumn("label", F.col(built.target).cast("int"))
+    return sweep.evaluate_thresholds(labelled, LAYERS, "code")
 
 
 def sweep_points(spark, sf):

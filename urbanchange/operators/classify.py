@@ -9,31 +9,27 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanchange.functions.skew import materialize
-from urbanchange.operators.folds import repeated_folds, stratified_folds
+from urbanchange.operators import forest, linear
+from urbanchange.operators.folds import repeated_folds
 from urbanchange.operators.metrics import METRICS, cv_metrics, positive_weight
-from urbanchange.operators.transforms import PowerTransform
+from urbanchange.operators.transforms import PowerTransform, PowerTransformModel
 
 ESTIMATOR_ARGS = {"featuresCol": "_x", "labelCol": "label", "weightCol": "_w"}
 
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """A classifier factory ``build(params, weight_sum)`` and its parameter grid."""
+    """A linear family, a forest or a factory ``build(params, weight_sum)``, and its grid."""
 
     name: str
-    build: Callable[[dict[str, Any], float], Any]
+    build: linear.Family | Forest | Callable[[dict[str, Any], float], Any]
     grid: dict[str, list[Any]] = field(default_factory=dict)
     weighting: str = "balanced"
     skip_roc_auc: bool = False
@@ -43,24 +39,9 @@ class ModelSpec:
         return [dict(zip(names, v)) for v in itertools.product(*self.grid.values())]
 
 
-def logistic_regression(params: dict[str, Any], total: float):
-    """Inverse strength C over summed losses is 1 / (C * total weight) on mean losses."""
-    return LogisticRegression(
-        regParam=1.0 / (params.get("C", 1.0) * total),
-        maxIter=params.get("max_iter", 1000),
-        standardization=False,
-        **ESTIMATOR_ARGS,
-    )
-
-
-def linear_svc(params: dict[str, Any], total: float):
-    """Hinge loss (not its square), same strength rule."""
-    return LinearSVC(
-        regParam=1.0 / (params.get("C", 1.0) * total),
-        maxIter=params.get("max_iter", 5000),
-        standardization=False,
-        **ESTIMATOR_ARGS,
-    )
+# Fitted all together by `linear`; other builders are fitted one by one.
+logistic_regression = linear.Family("logistic")
+linear_svc = linear.Family("squared_hinge")
 
 
 def boosted_trees(params: dict[str, Any], total: float):
@@ -73,14 +54,12 @@ def boosted_trees(params: dict[str, Any], total: float):
     )
 
 
-def balanced_forest(params: dict[str, Any], total: float):
-    """Class-balanced weights in place of a balanced bootstrap for each tree."""
-    return RandomForestClassifier(
-        numTrees=params.get("n_estimators", 500),
-        maxDepth=params.get("max_depth", 30),
-        seed=params.get("seed", 42),
-        **ESTIMATOR_ARGS,
-    )
+@dataclass(frozen=True)
+class Forest:
+    """A forest of balanced bootstraps, without a limit of depth."""
+
+
+balanced_forest = Forest()
 
 
 # The parameter grids of the study.
@@ -124,6 +103,12 @@ def fit(df: DataFrame, predictors: Sequence[str], spec: ModelSpec, params: dict[
     Predictions have ``pred``, the raw ``score``, and the ``probability`` of class 1 (null for
     a classifier that gives none).
     """
+    if isinstance(spec.build, linear.Family):
+        return _fit_linear(df, predictors, spec, params)
+    if isinstance(spec.build, Forest):
+        rows = linear.fold_rows(df, df.columns[0], predictors)
+        made = forest.fit(rows, len(predictors), **_forest_options(params))
+        return lambda rows: made.predict(rows, predictors)
     power = PowerTransform(predictors).fit(df)
     vector = VectorAssembler(inputCols=list(predictors), outputCol="_x")
     weighted, total = _weighted(df, spec.weighting)
@@ -145,6 +130,82 @@ def fit(df: DataFrame, predictors: Sequence[str], spec: ModelSpec, params: dict[
     return predict
 
 
+def _strengths(candidates: Sequence[dict[str, Any]]) -> list[float]:
+    return [params.get("C", 1.0) for params in candidates]
+
+
+def _passes(candidates: Sequence[dict[str, Any]]) -> int:
+    return max(params.get("max_iter", linear.PASSES) for params in candidates)
+
+
+def _forest_options(params: dict[str, Any]) -> dict[str, int]:
+    return {"trees": params.get("n_estimators", 500), "seed": params.get("seed", 42)}
+
+
+def forest_votes(
+    df: DataFrame, sets: Sequence[Sequence[str]], params: dict[str, Any], key: str, folds: int, repeats: int = 1, seed: int = 42
+) -> DataFrame:
+    """Out-of-fold predictions of a forest per set of predictors, all sets and folds at once.
+
+    ``candidate`` is the place of the set. Predictors that sets share are held once.
+    """
+    names = list(dict.fromkeys(c for columns in sets for c in columns))
+    rows = linear.fold_rows(df, key, names, folds, repeats, seed)
+    place = {c: j for j, c in enumerate(names)}
+    splits = linear.all_splits(folds, repeats)
+    models = [forest.Model(s, [place[c] for c in columns]) for columns in sets for s in splits]
+    votes = forest.held_out_votes(rows, models, len(names), **_forest_options(params))
+    known = [(m, m // len(splits), *splits[m % len(splits)]) for m in range(len(models))]
+    named = F.broadcast(df.sparkSession.createDataFrame(known, "model int, candidate int, repeat int, fold int"))
+    return votes.join(named, "model").select(
+        "candidate", "repeat", "fold", F.col("key").alias(key), "label", (F.col("score") > 0.5).cast("int").alias("pred"), "score"
+    )
+
+
+def _fit_linear(df: DataFrame, predictors: Sequence[str], spec: ModelSpec, params: dict[str, Any]):
+    key = df.columns[0]  # only names rows
+    rows = linear.fold_rows(df, key, predictors)
+    made = linear.fit_weights(rows, spec.build, [linear.Split(0, -1)], _strengths([params]), predictors, _passes([params]))
+    power = PowerTransformModel(tuple(predictors), *(tuple(a[0].tolist()) for a in made.powers))
+    *slopes, intercept = made.weights[0].tolist()
+    terms = [F.lit(w) * F.col(f"_scaled.{c}") for w, c in zip(slopes, predictors)]
+    score = sum(terms, F.lit(intercept))
+
+    def predict(rows: DataFrame) -> DataFrame:
+        scaled = F.struct(*[c.alias(name) for name, c in power.expressions().items()])
+        out = rows.withColumn("_scaled", scaled).withColumn("score", score)
+        chance = 1 / (1 + F.exp(-F.col("score"))) if spec.build.loss == "logistic" else F.lit(None).cast("double")
+        return out.select(*rows.columns, (F.col("score") > 0).cast("int").alias("pred"), "score", chance.alias("probability"))
+
+    return predict
+
+
+def cross_validated(
+    df: DataFrame,
+    predictors: Sequence[str],
+    spec: ModelSpec,
+    candidates: Sequence[dict[str, Any]],
+    key: str,
+    folds: int,
+    repeats: int = 1,
+    seed: int = 42,
+) -> DataFrame:
+    """Out-of-fold predictions of every candidate on stratified folds dealt here.
+
+    A linear family is fitted for all candidates, folds and repeats at once.
+    """
+    if isinstance(spec.build, linear.Family):
+        rows = linear.fold_rows(df, key, predictors, folds, repeats, seed)
+        splits = linear.all_splits(folds, repeats)
+        made = linear.fit_weights(rows, spec.build, splits, _strengths(candidates), predictors, _passes(candidates))
+        return linear.held_out_scores(rows, made, len(candidates), key)
+    if isinstance(spec.build, Forest):
+        each = [forest_votes(df, [predictors], params, key, folds, repeats, seed) for params in candidates]
+        return reduce(DataFrame.unionByName, [t.withColumn("candidate", F.lit(i)) for i, t in enumerate(each)])
+    dealt = materialize(repeated_folds(df, key, "label", folds, repeats, seed))
+    return out_of_fold(dealt, predictors, spec, candidates, key, folds, repeats)
+
+
 def out_of_fold(
     df: DataFrame,
     predictors: Sequence[str],
@@ -155,7 +216,7 @@ def out_of_fold(
     repeats: int = 1,
     parallel: int = 4,
 ) -> DataFrame:
-    """Predictions of every candidate for every held-out row.
+    """Predictions of every candidate of a factory for every held-out row.
 
     ``df`` carries repeat and fold, both numbered from 0. The power transform is fitted once
     per training fold and shared by the candidates; ``parallel`` splits are fitted at a time.
@@ -214,11 +275,8 @@ def grid_search(
     seed: int = 42,
 ) -> tuple[TunedModel, DataFrame]:
     """Mean fold score of every candidate, and the best one (the first on a tie), refitted."""
-    dealt = materialize(
-        stratified_folds(df, key, "label", folds, seed).withColumn("repeat", F.lit(0))
-    )
     candidates = spec.candidates()
-    table = out_of_fold(dealt, predictors, spec, candidates, key, folds)
+    table = cross_validated(df, predictors, spec, candidates, key, folds, 1, seed)
     scores = cv_metrics(table, ["candidate"], skip_roc_auc=scoring != "roc_auc")
     rows = scores.orderBy("candidate").collect()
     best = max(rows, key=lambda r: (r[scoring], -r["candidate"]))
@@ -247,8 +305,7 @@ def repeated_cv(
     svc_auc: bool = False,
 ) -> DataFrame:
     """Mean of each metric over repeated stratified folds, one row."""
-    dealt = materialize(repeated_folds(df, key, "label", folds, repeats, seed))
-    table = out_of_fold(dealt, predictors, spec, [params], key, folds, repeats)
+    table = cross_validated(df, predictors, spec, [params], key, folds, repeats, seed)
     skip = spec.skip_roc_auc and not svc_auc
     return cv_metrics(table, skip_roc_auc=skip).select(F.lit(spec.name).alias("model"), *METRICS)
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanchange.functions.skew import materialize
-from urbanchange.operators.classify import FOREST, ModelSpec, repeated_cv
+from urbanchange.operators.classify import FOREST, Forest, ModelSpec, cross_validated, forest_votes
+from urbanchange.operators.metrics import cv_metrics
 from urbanchange.operators.rings import polygon_area
 
 METRICS = ("f1", "balanced_accuracy", "roc_auc")
@@ -98,27 +99,24 @@ def evaluate_thresholds(
 ) -> DataFrame:
     """Cross-validated metrics at every threshold: threshold, f1, balanced_accuracy, roc_auc.
 
-    ``df`` has ``label`` and one set of change columns per threshold.
+    ``df`` has ``label`` and one set of change columns per threshold. Forests of all thresholds
+    and folds are grown together.
     """
     base = materialize(df)
     change = columns_by_threshold(base.columns)
-    points = []
-    for threshold in thresholds or default_thresholds():
-        columns = change.get(int(threshold))
-        if not columns:
+    limits = [int(t) for t in thresholds or default_thresholds()]
+    for threshold in limits:
+        if not change.get(threshold):
             raise ValueError(f"no change columns for threshold {threshold}")
-        metrics = repeated_cv(
-            base, [*columns, *planning], spec, params or {}, key, folds=folds, repeats=1, seed=seed
-        )
-        points.append(
-            metrics.select(
-                F.lit(int(threshold)).alias("threshold"),
-                F.col("f1_weighted").alias("f1"),
-                "balanced_accuracy",
-                "roc_auc",
-            )
-        )
-    return reduce(DataFrame.unionByName, points)
+    sets = [[*change[t], *planning] for t in limits]
+    if isinstance(spec.build, Forest):
+        table = forest_votes(base, sets, params or {}, key, folds, seed=seed)
+    else:
+        each = [cross_validated(base, s, spec, [params or {}], key, folds, seed=seed) for s in sets]
+        table = reduce(DataFrame.unionByName, [t.withColumn("candidate", F.lit(i)) for i, t in enumerate(each)])
+    named = F.element_at(F.array(*[F.lit(t) for t in limits]), F.col("candidate") + 1).alias("threshold")
+    scored = cv_metrics(materialize(table), ["candidate"], skip_roc_auc=spec.skip_roc_auc)
+    return scored.select(named, F.col("f1_weighted").alias("f1"), "balanced_accuracy", "roc_auc")
 
 
 def best_threshold(points: DataFrame, metric: str = "f1") -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanchange.functions.columns import yeo_johnson
+from urbanchange.functions.skew import materialize
+from urbanchange.operators.linear import Split, fit_powers
 
 
 @dataclass(frozen=True)
@@ -29,115 +30,35 @@ class PowerTransformModel:
     means: tuple[float, ...]
     stds: tuple[float, ...]
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def expressions(self) -> dict[str, Column]:
         parts = zip(self.columns, self.lambdas, self.means, self.stds, strict=True)
-        return df.withColumns(
-            {
-                c: (yeo_johnson(F.col(c).cast("double"), F.lit(lam)) - F.lit(m)) / F.lit(s)
-                for c, lam, m, s in parts
-            }
-        )
-
+        return {
+            c: (yeo_johnson(F.col(c).cast("double"), F.lit(lam)) - F.lit(m)) / F.lit(s)
+            for c, lam, m, s in parts
+        }
 
-LARGEST = 1e9  # size of a power parameter beyond which there is none
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns(self.expressions())
 
 
 class PowerTransform:
     """Yeo-Johnson with maximum-likelihood parameter per column, then standardisation.
 
-    Every pass tries a grid of parameters per column in a single aggregation. While the best
-    value of a column lies on the edge, its grid is moved there and widened tenfold; then it is
-    narrowed tenfold around the best value until the step is ``precision``. A column whose
-    likelihood still grows beyond ``LARGEST`` is an error.
+    Newton steps on the profile likelihoods of all columns together, one scan each. A constant
+    column keeps its values; a likelihood without a maximum and a missing value are errors.
     """
 
-    def __init__(self, columns: Sequence[str], points: int = 41, precision: float = 1e-3):
+    def __init__(self, columns: Sequence[str]):
         self.columns = tuple(columns)
-        self.points = points
-        self.precision = precision
 
     def fit(self, df: DataFrame) -> PowerTransformModel:
-        half = self.points // 2
-        centres = dict.fromkeys(self.columns, 0.0)
-        width = dict.fromkeys(self.columns, 2.0)
-        open_ = set(self.columns)
-        while open_:
-            best = self._search(df, centres, width)
-            for c in sorted(open_):
-                step = width[c] / half
-                on_edge = abs(abs(best[c] - centres[c]) - width[c]) < step / 2
-                centres[c] = best[c]
-                if on_edge and abs(best[c]) < LARGEST:
-                    width[c] *= 10.0
-                elif on_edge:
-                    raise ValueError(f"no best power parameter for {c!r} below {LARGEST:g}")
-                elif step <= self.precision * 1.5:
-                    open_.discard(c)
-                else:
-                    width[c] = 2.0 * step
-        return self._moments(df, centres)
-
-    def _search(
-        self, df: DataFrame, centres: dict[str, float], width: dict[str, float]
-    ) -> dict[str, float]:
-        half = self.points // 2
-        steps = [(i - half) / half for i in range(self.points)]
-        aggregates = []
-        for j, c in enumerate(self.columns):
-            x = F.col(c).cast("double")
-            aggregates += [
-                F.count(x).alias(f"n{j}"),
-                F.var_pop(yeo_johnson(x, F.col(f"_try.l{j}"))).alias(f"v{j}"),
-                F.var_pop(x).alias(f"x{j}"),
-                F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"s{j}"),
-            ]
-        # As text, one literal: building it column by column costs more than the query.
-        tries = ",".join(
-            f"named_struct('step',{s!r}D,"
-            + ",".join(f"'l{j}',{centres[c] + width[c] * s!r}D" for j, c in enumerate(self.columns))
-            + ")"
-            for s in steps
-        )
-        rows = (
-            df.select(*self.columns)
-            .withColumn("_try", F.explode(F.expr(f"array({tries})")))
-            .groupBy("_try")
-            .agg(*aggregates)
-            .select("_try.step", *[f"{k}{j}" for j in range(len(self.columns)) for k in "nvxs"])
-            .collect()
-        )
-        rows.sort(key=lambda r: (abs(r["step"]), r["step"]))
-        best = {}
-        for j, c in enumerate(self.columns):
-            top, top_ll = centres[c], -math.inf
-            for r in rows:
-                n, var = r[f"n{j}"], r[f"v{j}"]
-                # A constant column has no likelihood to maximise and passes through.
-                if not r[f"x{j}"]:
-                    top = 1.0
-                    break
-                if not n or not var or math.isnan(var) or math.isinf(var):
-                    continue
-                lam = centres[c] + width[c] * r["step"]
-                ll = -n / 2.0 * math.log(var) + (lam - 1.0) * r[f"s{j}"]
-                if ll > top_ll:
-                    top, top_ll = lam, ll
-            best[c] = top
-        return best
-
-    def _moments(self, df: DataFrame, lambdas: dict[str, float]) -> PowerTransformModel:
-        parts = []
-        for j, c in enumerate(self.columns):
-            y = yeo_johnson(F.col(c).cast("double"), F.lit(lambdas[c]))
-            parts += [F.avg(y).alias(f"m{j}"), F.stddev_pop(y).alias(f"s{j}")]
-        row = df.agg(*parts).first()
-        columns = range(len(self.columns))
-        return PowerTransformModel(
-            self.columns,
-            tuple(lambdas[c] for c in self.columns),
-            tuple(row[f"m{j}"] or 0.0 for j in columns),
-            tuple((row[f"s{j}"] or 0.0) if (row[f"s{j}"] or 0.0) > 1e-12 else 1.0 for j in columns),
-        )
+        x = [F.col(c).cast("double") for c in self.columns]
+        known = df.select(F.lit(0).alias("key"), F.lit(0).alias("label"), *[c.alias(f"x{j}") for j, c in enumerate(x)])
+        rows = materialize(known.select(
+            "key", "label", F.array(*[f"x{j}" for j in range(len(x))]).alias("x"), F.array(F.lit(0)).alias("folds")
+        ))
+        powers = fit_powers(rows, [Split(0, -1)], self.columns)
+        return PowerTransformModel(self.columns, *(tuple(a[0].tolist()) for a in powers))
 
 
 def transform_predictors(
