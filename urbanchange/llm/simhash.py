@@ -408,8 +408,12 @@ BITS = 1 << 23  # of a bitmap of keys: 1 MB
 
 
 def _bit(name: str):
-    """The place of a key in a bitmap; `_among` has the same for arrays."""
-    return F.pmod(F.col(name).bitwiseXOR(F.shiftright(name, 33)), F.lit(BITS)).alias("bit")
+    """The place of a key in a bitmap, all of its bits mixed; `_among` has the same for arrays."""
+    x = F.col(name)
+    x = x.bitwiseXOR(F.shiftleft(x, 13))
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+    x = x.bitwiseXOR(F.shiftleft(x, 17))
+    return F.shiftrightunsigned(x, 20).bitwiseAND(F.lit(BITS - 1)).alias("bit")
 
 
 def _bitmap(bits: DataFrame) -> np.ndarray:
@@ -424,7 +428,10 @@ def _bitmap(bits: DataFrame) -> np.ndarray:
 
 
 def _among(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = (keys ^ (keys >> 33)) & (BITS - 1)
+    x = keys.view(np.uint64)
+    for left, by in ((True, 13), (False, 7), (True, 17)):
+        x = x ^ (x << np.uint64(by) if left else x >> np.uint64(by))
+    bit = (x >> np.uint64(20)).astype(np.int64) & (BITS - 1)
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
 
 
