@@ -6,7 +6,10 @@ import base64
 import bz2
 import gzip
 import hashlib
+import random
 import re
+import time
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -65,6 +68,20 @@ b64 = lambda b: base64.b64encode(b).decode()
         b64(bz2.compress(SECRET.encode())),
         urllib.parse.quote(b64(b64(SECRET.encode()).encode())),
         b64(gzip.compress(b64(urllib.parse.quote(SECRET).encode()).encode())),
+        b64(gzip.compress(b"nothing here") + gzip.compress(SECRET.encode())),
+        b64(gzip.compress(b"passw") + gzip.compress(b"ord = hunter22x")),
+        b64(bz2.compress(b"nothing here") + bz2.compress(SECRET.encode())),
+        base64.encodebytes(gzip.compress(bytes(range(256)) + SECRET.encode())).decode().strip(),
+        base64.encodebytes(("x" * 50 + SECRET + "y" * 40).encode()).decode().strip().rstrip("="),
+        b64(("Это обычный русский текст, а вот " + SECRET + " и дальше текст").encode()),
+        "/a/" + b64(SECRET.encode()),
+        "path/" + b64(SECRET.encode()),
+        "xy/" + b64(gzip.compress(SECRET.encode())),
+        b64(b"HEADER v1\n" + gzip.compress(SECRET.encode()) + b"after"),
+        b64(b"HEADER v1\n" + zlib.compress(SECRET.encode())),
+        b64(SECRET.encode("utf-16")),
+        b64(("Größe " + SECRET).encode("utf-16-be")),
+        "%25" * 3 + "2525" * 20 + "70" + "assword%2525253D%252525202hunter22x",
     ],
 )
 def test_layers(hidden):
@@ -80,11 +97,52 @@ def test_escapes_map_to_their_place():
     assert secrets.scan_text(text.encode()) == ([], [("assign", 4, 25)])
 
 
-def test_cycles_and_limit(monkeypatch):
+def test_nested_escapes_take_linear_time():
+    def nested(n):
+        text = "%" + "25" * n + "70assword = hunter22x"
+        began = time.process_time()
+        assert ("assign", 0, len(text)) in secrets.scan_text(text.encode())[1]
+        return time.process_time() - began
+
+    assert nested(500_000) < 20  # a text of 1 MB
     assert secrets.scan_text(b"%25" * 50)[1] == []
-    monkeypatch.setattr(secrets, "LIMIT", 1000)
-    bomb = base64.b64encode(gzip.compress(b"a" * 5000)).decode()
-    assert [s[0] for s in secrets.scan_text(f"x {bomb} y".encode())[1]] == ["oversize"]
+    assert secrets.scan_text(b"&#1114112; \\u{110000}" * 20)[1] == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="%2541\\ux&#;{}", max_size=40))
+def test_escapes_undone_at_once_equal_rounds(text):
+    layer = secrets.Layer(text.encode())
+    once = secrets.undone_wholly(layer)
+    steps = [layer]
+    while (step := secrets.undone_once(steps[-1])) is not None:
+        steps.append(step)
+    assert once.data == steps[-1].data
+    for i in range(len(once.data)):
+        assert once.span(i, i + 1) == steps[-1].span(i, i + 1)
+
+
+def test_large_content_is_scanned_in_windows(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 4000)
+    monkeypatch.setattr(secrets, "OVERLAP", 200)
+    monkeypatch.setattr(secrets, "PIECE", 300)
+    rng = random.Random(3)
+    for at in (0, 3990, 4000, 7795, 30_000):
+        content = bytearray(rng.choices(b"abc \n", k=60_000))
+        content[at : at + len(SECRET)] = SECRET.encode()
+        for pack in (gzip.compress, bz2.compress):
+            hidden = b64(pack(bytes(content)))
+            found = [s for s in secrets.scan_text(f"x {hidden} y".encode())[1] if s[0] == "assign"]
+            assert found and all(2 <= a < b <= 2 + len(hidden) for _, a, b in found)
+
+
+def test_bombs_are_unpacked_in_bounded_memory():
+    bomb = b64(gzip.compress(b"z" * (80 << 20) + SECRET.encode()))
+    tracemalloc.start()
+    every = secrets.scan_text(bomb.encode())[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [s[0] for s in every] == ["assign"] and peak < 10 * secrets.WINDOW
 
 
 def test_edges(spark):
