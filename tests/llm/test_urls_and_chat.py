@@ -82,13 +82,13 @@ def test_snapshots(spark, monkeypatch):
 def test_chat_edges(spark):
     rows = [
         (1, 0, "User ", "a<|im_end|>b"), (1, 1, None, None), (2, 0, "user", ""), (3, 0, "user", None), (None, 0, "user", "n"),
-        (4, None, "user", "first"), (4, 5, "assistant", "x" * 500_000), (5, 0, "user", "p"), (5, 0, "user", "q"),
+        (4, None, "user", "first"), (4, 5, "assistant", "x" * 500_000), (5, 0, "user", "p"), (5, 0, "user", "q"), (5, 0, "user", "q"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.part): (r.n_turns, r.rendered) for r in chat.render(df).collect()}
     assert got[1, 0][1].startswith("<|im_start|>user\na<​|im_end|>b<|im_end|>\n<|im_start|>unknown\n<|im_end|>")
     assert got[2, 0] == got[3, 0]  # null and empty texts look alike, yet neither supersedes the other
-    assert (None, 0) in got and got[4, -1][0] == 1 and len(got[4, 0][1]) > 500_000 and got[5, 0][0] == 2
+    assert (None, 0) in got and got[4, 0][0] == 2 and len(got[4, 0][1]) > 500_000 and got[5, 0][0] == 2
     assert chat.render(df.limit(0)).count() == 0
 
 
@@ -97,3 +97,20 @@ def test_one_long_conversation(spark):
     start = spark.range(4000).selectExpr("cast(2 as long) conv_id", "id turn", "'user' role", "cast(id as string) text")
     out = chat.render(long.union(start)).collect()
     assert {r.conv_id for r in out} == {1} and sum(r.n_turns for r in out) == 5000 and len(out) == 79
+
+
+def test_turns_without_numbers_are_cut_by_place(spark):
+    null = spark.range(30_000).selectExpr("cast(null as long) conv_id", "cast(null as long) turn", "'user' role", "cast(id as string) text")
+    same = spark.range(10_000).selectExpr("cast(7 as long) conv_id", "cast(3 as long) turn", "'user' role", "cast(id as string) text")
+    out = chat.render(null.union(same).union(same)).collect()
+    turns = {c: sorted((r.part, r.n_turns) for r in out if r.conv_id == c) for c in (None, 7)}
+    for c, n in ((None, 30_000), (7, 10_000)):
+        assert turns[c] == [(k, min(64, n - 64 * k)) for k in range(-(-n // 64))]
+        said = "".join(r.rendered for r in sorted((r for r in out if r.conv_id == c), key=lambda r: r.part))
+        assert sorted(said.split("\n")[1::2]) == sorted(f"{i}<|im_end|>" for i in range(n))
+
+
+def test_null_id_is_not_the_id_of_a_character(spark):
+    rows = [(None, 0, "user", "a"), ("\0", 0, "user", "b"), ("", 0, "user", "c"), ("=", 0, "user", "d")]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    assert {r.conv_id for r in chat.render(df).collect()} == {None, "\0", "", "="}
