@@ -85,7 +85,7 @@ def prefixes(placed: DataFrame) -> DataFrame:
 
 def superseded(placed: DataFrame) -> DataFrame:
     """Keys of conversations that a longer one begins with, or that equal one of a lesser id."""
-    hashed = prefixes(placed)
+    hashed = written(prefixes(placed))
     known = hashed.groupBy("pos", "p1", "p2").agg(
         F.max("n").alias("longest"),
         F.min(F.when(F.col("pos") == F.col("n"), F.struct(F.col("conv").isNull().alias("z"), "conv", "k"))).alias("first"),
