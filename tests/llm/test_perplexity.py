@@ -5,10 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
-
-import numpy as np
-import pandas as pd
+from collections import Counter, defaultdict
 
 from urbanchange.llm import perplexity, queries
 
@@ -39,32 +36,98 @@ def test_query_base_counts(spark):
     assert 0.6 < sum(r.kept for r in rows) / len(rows) < 0.97
 
 
-def test_probabilities_sum_to_one():
-    table = perplexity.class_table()
-    text = "the cat sat on the mat. the dog sat on the log, and the cat ran! 12 Hats?"
-    keys = np.concatenate([k for k, _ in perplexity.grams_of([text * 3], table)])
-    some, n = np.unique(keys, return_counts=True)
-
-    frame = pd.concat(
-        pd.DataFrame({"kind": k, "key": a, "value": v}) for k, a, v in perplexity.kneser_ney(some.astype(np.int64), n)
-    )
-    scorer = perplexity.Scorer(frame)
-    for context in (0, int(some[5] // perplexity.SIZE), perplexity.SIZE**3 - 1):
-        every = context * perplexity.SIZE + np.arange(perplexity.SIZE)
-        assert math.isclose(scorer.probability(every).sum(), 1, rel_tol=1e-9)
+def plain_symbols(text, n):
+    points = [32 if 9 <= ord(c) <= 13 else 48 if "0" <= c <= "9" else ord(c) for c in text]
+    return [0] * (n - 1) + [x if x < 1024 else 1 + x % 1023 for x in points]
+
+
+def plain_model(texts):
+    """Kneser-Ney by dictionaries: probability of the last symbol of a tuple after the others."""
+    top = perplexity.ORDER + 1
+    grams = {top: defaultdict(lambda: [0, set()])}
+    for text in texts:
+        s = plain_symbols(text, top)
+        for i in range(len(text)):
+            grams[top][tuple(s[i : i + top])][1].add(text)
+    for n in range(top - 1, 0, -1):
+        grams[n] = defaultdict(lambda: [0, set()])
+        for key, (_, who) in grams[n + 1].items():
+            grams[n][key[1:]][0] += 1
+            grams[n][key[1:]][1] |= who
+    del grams[top]
+    cuts, totals, left = {}, {}, {}
+    for n, own in grams.items():
+        have = Counter(c for c, _ in own.values())
+        d = [0.5, 0.75, 1.0]
+        if min(have[k] for k in (1, 2, 3, 4)):
+            y = have[1] / (have[1] + 2 * have[2])
+            d = [min(max(k - (k + 1) * y * have[k + 1] / have[k], 0.05), k - 0.05) for k in (1, 2, 3)]
+        cuts[n] = d
+        totals[n], left[n] = Counter(), defaultdict(lambda: 1.0)
+        for key, (c, _) in own.items():
+            totals[n][key[:-1]] += c
+        for key, (c, who) in own.items():
+            if len(who) > 1:
+                left[n][key[:-1]] -= (c - d[min(c, 3) - 1]) / totals[n][key[:-1]]
+
+    def probability(key):
+        n = len(key)
+        if not n:
+            return 1 / 1024
+        lower = left[n][key[:-1]] * probability(key[1:])
+        c, who = grams[n].get(key, (0, ()))
+        return lower + ((c - cuts[n][min(c, 3) - 1]) / totals[n][key[:-1]] if len(who) > 1 else 0)
+
+    return probability
+
+
+def test_model_equals_plain_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "SLICE", 150)  # many files
+    monkeypatch.setattr(perplexity, "CACHE", 400)
+    rng = random.Random(3)
+    words = "river stone Größe water 12 ruhig Стол камень town, house. 日本 語 winter \n".split(" ")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(25, 60))) for _ in range(14)]
+    texts += [texts[0], "#$%&|<>^~@*" * 30, "x" * 40, "unlike " + "any other text here " * 9]
+    rows = [(i, t, "en" if i % 3 else "xx") for i, t in enumerate(texts)] + [(99, texts[1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = {r.doc_id: r.log_perplexity for r in perplexity.verdicts(docs).collect()}
+    for lang in ("en", "xx", None):
+        own = [(i, t) for i, t, x in rows if x == lang]
+        p = plain_model([t for _, t in own])
+        for i, text in own:
+            s = plain_symbols(text, perplexity.ORDER)
+            keys = [tuple(s[k : k + perplexity.ORDER]) for k in range(len(text))]
+            assert math.isclose(got[i], -sum(math.log(p(k)) for k in keys) / len(keys), rel_tol=1e-9)
+    p = plain_model([t for _, t, x in rows if x == "en"])
+    for context in ((0,) * 4, tuple(map(ord, "tone")), (1, 2, 3, 4)):
+        assert math.isclose(sum(p((*context, w)) for w in range(1024)), 1, rel_tol=1e-9)
 
 
 def test_pieces_make_the_same_grams(monkeypatch):
-    table = perplexity.class_table()
     texts = ["abcdefghij" * 30, "", "x", "Größe und Maß\n" * 9]
-    whole = Counter(k for keys, _ in perplexity.grams_of(texts, table) for k in keys.tolist())
-    monkeypatch.setattr(perplexity, "PIECE", 7)
-    owners = Counter()
-    pieces = Counter()
-    for keys, of in perplexity.grams_of(texts, table):
-        pieces.update(keys.tolist())
-        owners.update(of.tolist())
-    assert pieces == whole and owners == {0: 300, 2: 1, 3: 126}
+    whole = Counter(k for keys, _ in perplexity.grams_of(texts, 5) for k in keys.tolist())
+    for piece in (2, 7):
+        monkeypatch.setattr(perplexity, "PIECE", piece)
+        owners = Counter()
+        pieces = Counter()
+        for keys, of in perplexity.grams_of(texts, 5):
+            pieces.update(keys.tolist())
+            owners.update(of.tolist())
+        assert pieces == whole and owners == {0: 300, 2: 1, 3: 126}
+
+
+def test_bands_hold_against_copies_and_junk(spark):
+    rng = random.Random(5)
+    words = "river stone bridge water quiet town house garden winter light morning road letter story".split()
+    prose = lambda: ". ".join(" ".join(rng.choice(words) for _ in range(9)) for _ in range(12))
+    noise = lambda: " ".join("".join(rng.choice("#$%&|<>^~@*qxzkvj0") for _ in range(6)) for _ in range(90))
+    copied = prose()
+    rows = [(i, prose(), "en") for i in range(60)] + [(1000 + i, copied, "en") for i in range(240)]
+    rows += [(2000 + i, prose(), "de") for i in range(140)] + [(3000 + i, noise(), "de") for i in range(60)]
+    got = perplexity.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    kept = {r.doc_id for r in got if r.kept}
+    assert not any(r.base_failed for r in got)
+    assert kept == {i for i, _, _ in rows if i < 3000}
 
 
 def test_edges(spark):
