@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from urbanchange.llm.common import written
+
 DAYS = 91  # of a time bucket
 
 
@@ -71,15 +73,16 @@ def evaluate(captures: DataFrame, events: DataFrame, id_col: str, url: str, fetc
     or repeat, for every row is judged by itself; an empty list keeps all. An interval holds from
     ``since`` to before ``until``. Other columns are left aside.
     """
-    rows = captures.select(
+    # written, as a lost executor must not number the rows of the two branches differently
+    rows = written(captures.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
         host_of(F.col(url)).alias("host"), F.col(fetched).alias("t"), lookup_keys(F.col(url)).alias("keys"),
-    )
+    ))
     asked = rows.where("t is not null").select("row", "t", _bucket(F.col("t")).alias("bucket"), F.explode("keys").alias("q"))
     asked = asked.select("row", "t", "bucket", "q.kind", "q.key")
     spans = intervals(events)
     # intervals that are still open end in the bucket of the last capture
-    horizon = captures.agg(_bucket(F.max(fetched))).first()[0]
+    horizon = rows.agg(_bucket(F.max("t"))).first()[0]
     horizon = -(1 << 20) if horizon is None else horizon
     first = _bucket(F.col("since"))
     end = F.least(F.coalesce(_bucket(F.col("until")), F.lit(horizon)), F.lit(horizon))
