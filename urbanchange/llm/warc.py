@@ -25,6 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanchange.functions.skew import salted_join
 from urbanchange.llm.common import by_value, number_rows, remove
 
 by_value(__name__)
@@ -273,13 +274,19 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """All records; a revisit gets the length of the response it refers to, and that one's page."""
+    """All records; a revisit gets the length of the response it refers to, and that one's page.
+
+    Only revisits are joined, and salted, as one response may have most of them.
+    """
     responses = records.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"),
         F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"),
     )
-    joined = records.join(responses, "refers_to_id", "left")
-    sound = (F.col("record_type") == "response") | F.col("_digest").eqNullSafe(F.col("payload_digest"))
-    return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "_bytes")).withColumn(
-        "record_type", F.when(sound, F.col("record_type")).otherwise(F.raise_error(F.lit("a revisit refers to no response")))
+    joined = salted_join(records.where("record_type <> 'response'"), responses, ["refers_to_id"], "left")
+    error = F.raise_error(F.lit("a revisit refers to no response"))
+    sound = F.col("_digest").eqNullSafe(F.col("payload_digest"))
+    revisits = joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "_bytes")).withColumn(
+        "record_type", F.when(sound, F.col("record_type")).otherwise(error)
     ).drop("_bytes", "_digest")
+    whole = records.where("record_type = 'response'")
+    return revisits.unionByName(whole.withColumn("refers_to", F.lit(None).cast("string")))
