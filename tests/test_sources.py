@@ -109,3 +109,11 @@ def test_pair_from_one_or_two_tables(spark):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
     gap = {r["col_"]: r["diff"] for r in masks.masked_difference(a).collect()}
     assert gap == {0: 3.0, 1: None}
+
+
+def test_pairs_refuse_doubles_and_unlike_grids(spark):
+    df = spark.createDataFrame([(1, 0, 0, 2.0), (1, 0, 0, 3.0)], "band int, row_ int, col_ int, value double")
+    with pytest.raises(Exception, match="twice in one period"):
+        masks.join_pair(df, df.limit(0)).collect()
+    with pytest.raises(ValueError, match="grids differ"):
+        masks.join_pair(df, df, grids=(Grid(2, 2), Grid(2, 3)))

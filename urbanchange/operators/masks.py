@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from urbanchange.config import CLOUD_CLASSES, Grid
 from urbanchange.functions.columns import canonical, minmax
 from urbanchange.functions.skew import join_stats
+from urbanchange.sources.pixels import check_same_grid
 
 CELL = ("row_", "col_")
 PIXEL = ("band", "row_", "col_")
@@ -36,11 +37,15 @@ def mask_clouds(df: DataFrame, drop: Sequence[int] = CLOUD_CLASSES) -> DataFrame
     return df.withColumn("value", F.when(~cloudy, F.col("value")))
 
 
-def pair(df: DataFrame, earlier, later, period: str = "period") -> DataFrame:
+def pair(
+    df: DataFrame, earlier, later, period: str = "period", grids: tuple[Grid, Grid] | None = None
+) -> DataFrame:
     """Earlier and later value of each pixel side by side, in one shuffle and no join.
 
-    A pixel that comes twice in one period is an error.
+    A pixel that comes twice in one period is an error, and so are two ``grids`` of unlike shape.
     """
+    if grids is not None:
+        check_same_grid(*grids)
 
     def only(when) -> Column:
         own = F.col(period) == F.lit(when)
@@ -55,11 +60,13 @@ def pair(df: DataFrame, earlier, later, period: str = "period") -> DataFrame:
     )
 
 
-def join_pair(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """The same from two pixel tables."""
-    a = earlier.select(*PIXEL, F.col("value").alias("v1"))
-    b = later.select(*PIXEL, F.col("value").alias("v2"))
-    return a.join(b, list(PIXEL), "full")
+def join_pair(
+    earlier: DataFrame, later: DataFrame, grids: tuple[Grid, Grid] | None = None
+) -> DataFrame:
+    """The same from two pixel tables, with the same errors."""
+    a = earlier.select(*PIXEL, "value", F.lit(1).alias("period"))
+    b = later.select(*PIXEL, "value", F.lit(2).alias("period"))
+    return pair(a.union(b), 1, 2, grids=grids)
 
 
 def masked_difference(pairs: DataFrame) -> DataFrame:
