@@ -41,8 +41,9 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group at a five-word shingle similarity of 0.8 the least doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each group the least doc_id stays: fingerprints at three bits or fewer, by the trie join,
+    or a five-word shingle similarity of 0.8."""
+    return simhash.keep_one(docs, max_bits=3)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

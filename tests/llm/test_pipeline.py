@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import corpus_pipeline as pipeline
 from test_decontaminate import plain
+from test_simhash import plain_fingerprint, shingle_set
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -49,3 +51,24 @@ def test_run_and_empty(spark, tmp_path):
         table = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
         (table.limit(0) if name == "documents" else table).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_by_the_trie_join(spark):
+    """Fingerprints at three bits join texts although fewer than 0.8 of their shingles are shared."""
+    rng, texts = random.Random(4), {}
+    words = [f"w{i}" for i in range(4000)]
+    while len(texts) < 12:
+        body = [rng.choice(words) for _ in range(400)]
+        other = list(body)
+        for at in range(9, 400, 29):
+            other[at] = rng.choice(words)
+        pair = [" ".join(body), " ".join(other)]
+        prints = [plain_fingerprint(t) for t in pair]
+        if (prints[0] ^ prints[1]).bit_count() <= 3:
+            a, b = map(shingle_set, pair)
+            assert len(a & b) < 0.8 * len(a | b)
+            texts |= dict(enumerate(pair, len(texts)))
+    rows = [*texts.items(), (90, None), (91, ""), (92, " \n"), (93, "other words"), (94, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in dict(pipeline.STAGES)["near-duplicates"](spark, docs, SF_DIR).collect()}
+    assert kept == {k for k in texts if k % 2 == 0} | {90, 91, 92, 93}

@@ -301,7 +301,7 @@ def hamming_groups(
 
 
 def similar_groups(
-    docs: DataFrame, id_col: str, text: str, similarity: float = 0.8, shingle: int = 5
+    docs: DataFrame, id_col: str, text: str, similarity: float = 0.8, shingle: int = 5, max_bits: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates at a shingle similarity: ``docs`` with a row key, and row key -> group key.
 
@@ -314,6 +314,9 @@ def similar_groups(
     leaders of its lists, which joins large groups in few pairs, and then with all sets of its
     lists that it is not joined with yet.
 
+    With ``max_bits`` texts whose fingerprints differ in that many bits or fewer are near as well:
+    the groups of `hamming_groups` come first, and the sets are compared across them.
+
     The group key is the row key of the member with the least id (null ids last); rows without
     words are left alone: they have nothing in common.
     """
@@ -330,6 +333,8 @@ def similar_groups(
     shared = settled(shared)
     lists = settled(_posted(single, _bitmap(shared.select(_bit("token")))).join(shared, "token"))
     near = _decided(texts, _led(lists, similarity), shingle, similarity)
+    if max_bits is not None:
+        near = near.union(_hamming_links(texts, nodes, max_bits))
     rest = _across(lists, settled(components(near, settled)), similarity)
     tree = components(near.union(_decided(texts, rest, shingle, similarity)), settled)
     placed = settled(
@@ -342,6 +347,17 @@ def similar_groups(
     return rows, groups
 
 
+def _hamming_links(texts: DataFrame, nodes: DataFrame, max_bits: int) -> DataFrame:
+    """A link from each node to the least node of its component of fingerprints. Texts without
+    words, which share the fingerprint zero, have no node and link nothing."""
+    worded = texts.where(F.col("t").cast("string").rlike("[^\\x20\\x09-\\x0D]"))
+    found = hamming_groups(worded, "id", "t", max_bits=max_bits).select("id", F.col("component_id").alias("c"))
+    found = settled(found.join(nodes.select("id"), "id", "left_semi"))
+    least = found.groupBy("c").agg(F.min("id").alias("least"))
+    linked = salted_join(found, least, ["c"]).where("id <> least")
+    return settled(linked.select(F.col("least").alias("a"), F.col("id").alias("b")))
+
+
 HOT_TOKENS = 100_000  # shingles whose counts are carried along to order sets by
 
 
@@ -549,13 +565,15 @@ def _decided(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float
     return pairs
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id.
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, max_bits: int | None = None
+) -> DataFrame:
+    """One document of each group of `similar_groups`: the one with the least id.
 
     All columns stay. Of repeated rows one stays; null ids come after all others; rows whose
     text is null or has no word are kept. An empty table stays empty.
     """
-    rows, groups = similar_groups(docs, id_col, text, similarity)
+    rows, groups = similar_groups(docs, id_col, text, similarity, max_bits=max_bits)
     key = next(c for c in rows.columns if c not in docs.columns)
     losers = groups.where(F.col("group") != F.col(key)).select(key)
     return rows.join(losers, key, "left_anti").select(*docs.columns)
