@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urbanchange.config import Grid
+from urbanchange.functions import skew
 from urbanchange.operators import maplayers, overlay, raster_stats, reproject, rings, scanfill, zones
 
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -217,3 +218,20 @@ def test_map_layers(spark):
     protected = layer(spark, [("P", [box(100, 40, 120, 50)])], "feature_id")
     row = maplayers.protected_overlap(changes, protected, extent, grid).first()
     assert (row["inside"], row["outside"], row["inside_pct"]) == (1, 1, 50.0)
+
+
+def test_pairs_of_areas_over_many_tasks(spark, monkeypatch):
+    """Tasks grow with the pairs, although their bytes would fit one; hot polygons are salted."""
+    monkeypatch.setattr(skew, "TASK_ROWS", 20, raising=False)
+    a = layer(spark, [(f"Z{i}", [box(i % 10, i // 10, i % 10 + 1.5, i // 10 + 1.5)]) for i in range(100)])
+    b = layer(spark, [("ALL", [box(0, 0, 20, 20)])] + [(f"F{i}", [box(i, i, i + 2, i + 2)]) for i in range(9)], "feature_id")
+    for hot_rows in (10**6, 10):
+        got = overlay.intersection_areas(a, b.withColumn("layer", F.lit("L")), ["code"], ["layer", "feature_id"], 4.0, hot_rows)
+        rows = got.withColumn("task", F.spark_partition_id()).collect()
+        assert len({r["task"] for r in rows}) > 5
+        areas = {(r["code"], r["feature_id"]): r["area"] for r in rows}
+        assert all(areas[f"Z{i}", "ALL"] == pytest.approx(2.25) for i in range(100))
+        for i in range(100):
+            for f in range(9):
+                sides = [max(0.0, min(c + 1.5, f + 2) - max(c, f)) for c in (i % 10, i // 10)]
+                assert areas.get((f"Z{i}", f"F{f}"), 0.0) == pytest.approx(sides[0] * sides[1])

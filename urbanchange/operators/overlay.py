@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanchange.functions.skew import HOT_ROWS, salted_join
+from urbanchange.functions.skew import HOT_ROWS, materialize, salted_join, tasks_for
 from urbanchange.operators.rings import clean_rings, edges, polygon_area, with_bounds
 
 
@@ -84,7 +84,8 @@ def candidate_pairs(
     """Polygon pairs whose bounding boxes share area, each once.
 
     Both sides are listed in square cells and joined on the cell; a pair is kept only in
-    the cell of the lower left corner of the common box. Crowded cells are salted.
+    the cell of the lower left corner of the common box. Crowded cells are salted, and cells
+    are dealt to as many tasks as their rows ask for.
     """
     left = _cells(a, size).select(
         *_checked(a_keys), "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in _BOX]
@@ -94,8 +95,9 @@ def candidate_pairs(
     )
     low_x, low_y = F.greatest("a_min_x", "b_min_x"), F.greatest("a_min_y", "b_min_y")
     high_x, high_y = F.least("a_max_x", "b_max_x"), F.least("a_max_y", "b_max_y")
+    tasks = tasks_for(right.sparkSession, right.count())
     return (
-        salted_join(right, left, ["cx", "cy"], hot_rows=hot_rows)
+        salted_join(right, left, ["cx", "cy"], hot_rows=hot_rows, tasks=tasks)
         .where((low_x < high_x) & (low_y < high_y))
         .where((F.floor(low_x / size) == F.col("cx")) & (F.floor(low_y / size) == F.col("cy")))
         .select(
@@ -115,6 +117,11 @@ def default_cell_size(zones: DataFrame) -> float:
     return float(mean) * 2.0 if mean else 1.0
 
 
+def _cleaned(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Clean polygons, made once and in many tasks, however few the files are."""
+    return materialize(clean_rings(df.repartition(tasks_for(df.sparkSession, df.count()), *keys)))
+
+
 def intersection_areas(
     a: DataFrame,
     b: DataFrame,
@@ -123,9 +130,12 @@ def intersection_areas(
     size: float | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Shared area of each overlapping pair of polygons of two layers."""
+    """Shared area of each overlapping pair of polygons of two layers.
+
+    Clean polygons and pairs are written once, and counted; edges join them in as many tasks as that asks for.
+    """
     cell = default_cell_size(a) if size is None else size
-    a, b = clean_rings(a), clean_rings(b)
+    a, b = _cleaned(a, a_keys), _cleaned(b, b_keys)
     pairs = candidate_pairs(with_bounds(a), with_bounds(b), a_keys, b_keys, cell, hot_rows)
     pairs = pairs.withColumn(
         "strip",
@@ -137,14 +147,16 @@ def intersection_areas(
                 ),
             )
         ),
-    ).drop("_low_x", "_high_x")
+    )
+    pairs = materialize(pairs.drop("_low_x", "_high_x"))
+    tasks = tasks_for(pairs.sparkSession, pairs.count())
     ends = ("s", "m", "xl", "xr", "yl")
     ea = _strips(a, a_keys, cell)
     eb = _strips(b, b_keys, cell)
     ea = ea.select(*a_keys, "strip", *[F.col(c).alias(f"a_{c}") for c in ends])
     eb = eb.select(*b_keys, "strip", *[F.col(c).alias(f"b_{c}") for c in ends])
-    # Inner joins followed by a regrouping: adaptive execution splits skewed partitions here.
-    met = pairs.join(ea, [*a_keys, "strip"]).join(eb, [*b_keys, "strip"])
+    met = salted_join(pairs, ea, [*a_keys, "strip"], hot_rows=hot_rows, tasks=tasks)
+    met = salted_join(met, eb, [*b_keys, "strip"], hot_rows=hot_rows, tasks=tasks, counted=pairs)
     lo, hi = F.greatest("a_xl", "b_xl"), F.least("a_xr", "b_xr")
     met = met.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo < _hi")
 
@@ -166,9 +178,11 @@ def intersection_areas(
     crossed = (d0 * d0 + d1 * d1) / (2.0 * (F.abs(d0) + F.abs(d1)))
     gap = F.when(d0 * d1 >= 0, apart).otherwise(crossed)
     below = (F.col("_hi") - F.col("_lo")) * ((fa0 + fa1 + fb0 + fb1) / 4.0 - gap / 2.0)
-    return met.groupBy(*a_keys, *b_keys).agg(
+    parts = met.groupBy(*a_keys, *b_keys, "strip").agg(  # where they are
         F.sum(F.col("a_s") * F.col("b_s") * below).alias("area")
     )
+    parts = parts.repartition(tasks, *a_keys, *b_keys)
+    return parts.groupBy(*a_keys, *b_keys).agg(F.sum("area").alias("area"))
 
 
 def planning_coverage(
