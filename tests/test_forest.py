@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_linear import NAMES, table
 
 from urbanchange.operators import forest, linear
@@ -88,3 +89,23 @@ def test_fit_and_predict(spark):
     assert list(out.columns) == ["id", "label", *NAMES, "pred", "score", "probability"]
     assert ((out.score > 0.5) == out.pred).all() and (out.pred == out.label)[out.label == 1].mean() > 0.95
     assert made.predict(df.limit(0), NAMES).count() == 0
+
+
+def test_kinds_and_levels_give_the_same_trees(spark, monkeypatch):
+    """Rows with like bins are summed once, over many blocks; the levels are those of a level at a time."""
+    pdf, df = table(spark)
+    few = df.select("id", "label", *[F.round(c, 1).alias(c) for c in NAMES])
+    rows = linear.fold_rows(few, "id", NAMES)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 801)
+    passes = []
+    by_levels = forest._grow_by_levels
+    monkeypatch.setattr(forest, "_grow_by_levels", lambda *a: passes.append(1) or by_levels(*a))
+    one = forest.fit(rows, 3, trees=15)
+    assert not passes  # no pass over the rows for each level
+    monkeypatch.setattr(forest, "distinct_codes", lambda *a: None)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 90)
+    many = forest.fit(rows, 3, trees=15)
+    assert passes and len(one.levels) == len(many.levels)
+    for a, b in zip(one.levels, many.levels):
+        for x, y in zip(a, b):
+            np.testing.assert_array_equal(x, y)

@@ -62,7 +62,10 @@ def drawn(trees: np.ndarray, rows: np.ndarray, means: np.ndarray, seed: int) ->
     u = mixed(salt[:, None] ^ rows[None, :]) / 2.0**64
     counts, term = np.zeros(u.shape, np.int32), np.exp(-means)
     below = term.copy()
+    top = u.max(initial=0.0)
     for k in range(1, 20):
+        if (top < below).all():
+            break
         counts += u >= below
         term = term * means / k
         below = below + term
@@ -72,13 +75,49 @@ def drawn(trees: np.ndarray, rows: np.ndarray, means: np.ndarray, seed: int) ->
 # -- one level ------------------------------------------------------------------------------
 
 
-def cell_sums(node: np.ndarray, codes: np.ndarray, weight: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of weights per class of the (node, predictor, bin) that occur, keys ascending."""
+def to_try(node: np.ndarray, codes: np.ndarray, uid: np.ndarray, tried: int) -> np.ndarray:
+    """The predictors that each node will try, a line per node; constant ones fill up a line.
+
+    Only where all rows of the nodes, 0 to len(uid) - 1, are at hand.
+    """
+    d = codes.shape[1]
+    order = np.argsort(node, kind="stable")
+    laid, start = codes[order], np.searchsorted(node[order], np.arange(len(uid)))
+    constant = np.minimum.reduceat(laid, start, axis=0) == np.maximum.reduceat(laid, start, axis=0)
+    rank_key = mixed(uid[:, None] ^ mixed(np.arange(d) + 1)[None, :])
+    return np.lexsort((rank_key, constant), axis=1)[:, :tried]
+
+
+def cell_sums(
+    node: np.ndarray, codes: np.ndarray, weight: np.ndarray, label: np.ndarray, tries: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weights, which are whole, per class of the (node, predictor, bin) that occur, keys
+    ascending; of all predictors, or of those that the nodes try."""
     d = codes.shape[1]
-    keys = ((node[:, None].astype(np.int64) * d + np.arange(d)) * BINS + codes).ravel()
-    found, where = np.unique(keys, return_inverse=True)
-    sums = [np.bincount(where, np.repeat(weight * (label == c), d), len(found)) for c in (0, 1)]
-    return found, np.stack(sums, axis=1)
+    predictors = np.arange(d)[None, :]
+    if tries is not None:
+        predictors = tries[node]
+        codes = np.take_along_axis(codes, predictors, axis=1)
+    keys = ((node[:, None].astype(np.int64) * d + predictors) * BINS + codes).ravel()
+    d = codes.shape[1]  # predictors a row
+    if not len(keys):
+        return keys, np.zeros((0, 2))
+    span = int(keys.max()) + 1
+    if span <= 2 * len(keys):  # full enough to be counted in place
+        classes = np.repeat(label, d)
+        sums = np.bincount(2 * keys + classes, np.repeat(weight, d), 2 * span).reshape(span, 2)
+        found = np.flatnonzero(sums[:, 0] + sums[:, 1])
+        return found, sums[found]
+    # else key, weight and label are sorted as one number, which is far cheaper than an order
+    low = 2 * weight.astype(np.int64) + label
+    bits = int(low.max()).bit_length()
+    packed = (keys << bits) | np.repeat(low, d)
+    packed.sort()
+    keys, low = packed >> bits, packed & ((1 << bits) - 1)
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    ones = np.where(low & 1, low >> 1, 0)
+    sums = np.add.reduceat(np.stack([(low >> 1) - ones, ones], axis=1), start, axis=0)
+    return keys[start], sums.astype(float)
 
 
 def best_splits(keys: np.ndarray, sums: np.ndarray, d: int, tried: int, uid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,17 +132,17 @@ def best_splits(keys: np.ndarray, sums: np.ndarray, d: int, tried: int, uid: np.
     left = run - np.repeat(run[start] - sums[start], size, axis=0)
     total = np.add.reduceat(sums, start, axis=0)
     right = np.repeat(total, size, axis=0) - left
-    n_left, n_right = left.sum(axis=1), right.sum(axis=1)
+    n_left, n_right = left[:, 0] + left[:, 1], right[:, 0] + right[:, 1]  # two columns: sums over an axis are slow
     with np.errstate(all="ignore"):
-        score = (left**2).sum(axis=1) / n_left + (right**2).sum(axis=1) / n_right
+        score = (left[:, 0] ** 2 + left[:, 1] ** 2) / n_left + (right[:, 0] ** 2 + right[:, 1] ** 2) / n_right
     score[start + size - 1] = -np.inf  # nothing lies right of the last bin
     top = np.maximum.reduceat(score, start)
     first = np.minimum.reduceat(np.where(score == np.repeat(top, size), np.arange(len(keys)), len(keys)), start)
     node, feature = group[start] // d, group[start] % d
     whole = np.zeros((len(uid), 2))
     whole[node] = total  # the same for every predictor of a node
-    value = whole[:, 1] / np.maximum(whole.sum(axis=1), 1e-300)
-    open_ = (size > 1) & (whole[node] > 0).all(axis=1)
+    value = whole[:, 1] / np.maximum(whole[:, 0] + whole[:, 1], 1e-300)
+    open_ = (size > 1) & (whole[node, 0] > 0) & (whole[node, 1] > 0)
     rank_key = mixed(uid[node] ^ mixed(feature + 1))
     order = np.lexsort((rank_key, node))
     order = order[open_[order]]
@@ -154,7 +193,8 @@ def grown(codes: np.ndarray, label: np.ndarray, weights: np.ndarray, names: np.n
     node, uid, levels = tree, names, []
     weight = weights[tree, row].astype(float)
     while len(uid):
-        keys, sums = cell_sums(node, codes[row], weight, label[row])
+        here = codes[row]
+        keys, sums = cell_sums(node, here, weight, label[row], to_try(node, here, uid, tried))
         level, uid = as_level(*best_splits(keys, sums, codes.shape[1], tried, uid), uid)
         stay = level.child[node] >= 0
         row, weight, node = row[stay], weight[stay], node[stay]
@@ -312,15 +352,17 @@ class ForestModel(NamedTuple):
             for batch in batches:
                 n = batch.num_rows
                 x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                # rows with like bins get like votes
+                codes, where = np.unique(_codes(x, edges), axis=0, return_inverse=True)
+                n = len(codes)
                 votes = np.zeros(n)
-                codes = _codes(x, edges)
                 step = max(1, CHUNK // max(n, 1))
                 for a in range(0, trees, step):
                     tree = np.repeat(np.arange(a, min(a + step, trees)), n)
                     at = np.tile(np.arange(n), len(tree) // max(n, 1))
                     if n:
                         votes += np.bincount(at, _routed(levels, tree, at, codes)[2], n)
-                score = votes / trees
+                score = votes[where.ravel()] / trees
                 made = [pa.array((score > 0.5).astype(np.int32)), pa.array(score), pa.array(score)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *made], [*own, *names])
 
@@ -333,7 +375,95 @@ def fit(rows: DataFrame, d: int, trees: int = 500, seed: int = 42) -> ForestMode
     weights = class_weights(rows, [split])
     plan = Plan([Model(split, list(range(d)))], weights / weights.max(axis=1, keepdims=True), trees, seed)
     edges = bin_edges(rows, d)
-    return ForestModel(edges, _grow_by_levels(blocks(rows, edges)[0], plan), trees)
+    table = blocks(rows, edges)[0]
+    kinds = distinct_codes(table, d)
+    levels = _grow_by_levels(table, plan) if kinds is None else _grow_by_kinds(table, plan, kinds)
+    return ForestModel(edges, levels, trees)
+
+
+def distinct_codes(table: DataFrame, d: int) -> np.ndarray | None:
+    """The different lines of bins in order, or None if they are more than a block's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lines = np.unique(np.frombuffer(batch.column("codes")[i].as_py(), f"V{d}"))
+                yield pa.RecordBatch.from_arrays([pa.array(lines.tolist(), pa.binary())], ["line"])
+
+    found = table.mapInArrow(run, "line binary").distinct().limit(BLOCK_ROWS + 1).toArrow()["line"].to_pylist()
+    if len(found) > BLOCK_ROWS:
+        return None
+    return np.frombuffer(b"".join(sorted(found)), np.uint8).reshape(-1, d)
+
+
+def joined(chunks: Sequence[Sequence[Level]]) -> list[Level]:
+    """Levels of one forest from those of chunks of its trees, in their order."""
+    levels = []
+    for k in range(max(map(len, chunks), default=0)):
+        here = [c[k] for c in chunks if len(c) > k]
+        after = [len(c[k + 1].feature) if len(c) > k + 1 else 0 for c in chunks if len(c) > k]
+        first = np.cumsum([0, *after[:-1]])
+        child = [np.where(v.child < 0, -1, v.child + f) for v, f in zip(here, first)]
+        levels.append(Level(*map(np.concatenate, ([v.feature for v in here], [v.bin for v in here], child, [v.value for v in here]))))
+    return levels
+
+
+def _grow_by_kinds(table: DataFrame, plan: Plan, kinds: np.ndarray) -> list[Level]:
+    """All trees of the one model from draws summed per (tree, line of bins, class), in one pass.
+
+    Rows with like bins go the same way in every tree, so a tree is grown from their sums.
+    """
+    spark, d = table.sparkSession, kinds.shape[1]
+    shared = spark.sparkContext.broadcast(kinds)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = [k.tobytes() for k in shared.value]
+        place = {k: i for i, k in enumerate(lines)}
+        for block, model, trees, codes in _each(batches, plan):
+            some, where = np.unique(np.ascontiguousarray(codes).view(f"V{d}").ravel(), return_inverse=True)
+            kind = np.array([place[k.tobytes()] for k in some])
+            draws = plan.train(block, model, trees)
+            cell = 2 * where + block.label
+            sums = np.stack([np.bincount(cell, w, 2 * len(some)) for w in draws]).reshape(len(trees), -1, 2)
+            tree, at = np.nonzero(sums.any(axis=2))
+            columns = [trees[tree].astype(np.int32), kind[at].astype(np.int32), sums[tree, at, 0], sums[tree, at, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tree", "kind", "w0", "w1"])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # whole trees, each at most two rows a line of bins
+        if not held:
+            return
+        part = pa.Table.from_batches(held)
+        tree, kind, *sums = (part.column(c).to_numpy() for c in ("tree", "kind", "w0", "w1"))
+        for each in np.unique(tree):
+            mine = np.flatnonzero(tree == each)
+            codes = np.repeat(shared.value[kind[mine]], 2, axis=0)
+            weights = np.stack([w[mine] for w in sums], axis=1).reshape(1, -1)
+            label = np.tile(np.array([0, 1]), len(mine))
+            own = tree_names(0, np.array([each]), plan.seed)
+            for depth, level in enumerate(grown(codes, label, weights, own, plan.tried(0))):
+                n = len(level.feature)
+                columns = [np.full(n, each), np.full(n, depth), np.arange(n), level.feature, level.bin, level.child]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c.astype(np.int32)) for c in columns), pa.array(level.value)],
+                    ["tree", "depth", "node", "feature", "bin", "child", "value"],
+                )
+
+    sums = _units(table, plan, BLOCK_ROWS).mapInArrow(count, "tree int, kind int, w0 double, w1 double")
+    sums = sums.groupBy("tree", "kind").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
+    sums = sums.repartition(plan.trees, "tree")
+    kind = "tree int, depth int, node int, feature int, bin int, child int, value double"
+    got = sums.mapInArrow(grow, kind).toArrow().sort_by([(c, "ascending") for c in ("tree", "depth", "node")])
+    shared.unpersist()
+    tree, depth, feature, bins, child, value = (got.column(c).to_numpy() for c in ("tree", "depth", "feature", "bin", "child", "value"))
+    chunks = []
+    for each in range(plan.trees):
+        lo, hi = np.searchsorted(tree, [each, each + 1])
+        cuts = np.searchsorted(depth[lo:hi], np.arange(1, depth[lo:hi].max() + 1)) if hi > lo else []
+        parts = [np.split(c[lo:hi], cuts) for c in (feature, bins, child, value)]
+        empty = [Level(np.array([-1]), np.array([0]), np.array([-1]), np.array([0.0]))]  # a tree without rows
+        chunks.append([Level(*p) for p in zip(*parts)] if hi > lo else empty)
+    return joined(chunks)
 
 
 def _each(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[tuple[Block, int, np.ndarray, np.ndarray]]:
