@@ -107,6 +107,45 @@ def test_remove_small_and_segment(spark):
     assert np.array_equal(got, np.where(big[labels], labels, 0))
 
 
+@pytest.mark.parametrize("full", [False, True])
+def test_small_tiles_share_a_call(spark, monkeypatch, full):
+    """Python calls grow with blocks of pixels, not with tiles; tiles keep their own labels."""
+    groups = []
+
+    def spread(df, keys):
+        groups.append(df.select(*keys).distinct().count())
+        return df
+
+    monkeypatch.setattr(components, "spread", spread)
+    binary = (np.random.default_rng(8).integers(0, 100, (23, 19)) < 50).astype(int)
+    df = pixels(spark, binary, "changed")
+    ones = df.where("changed > 0")
+    want = np.full(binary.shape, np.nan)
+    for i in range(0, 23, 4):
+        for j in range(0, 19, 4):
+            part = flood(binary[i : i + 4, j : j + 4], full)
+            for label in range(1, part.max() + 1):
+                rows, cols = np.nonzero(part == label)
+                want[rows + i, cols + j] = (rows[0] + i) * 2**components.WIDTH_BITS + cols[0] + j
+    for most, calls in ((512, 1), (8, 9), (3, 30)):
+        monkeypatch.setattr(components, "TILE", most)
+        local = components._local(ones, ["band"], 4, full)
+        assert np.array_equal(image_of(local, binary.shape, "local"), want, equal_nan=True)
+        assert groups.pop() == calls
+
+
+def test_remove_small_keeps_every_row(spark):
+    """Repeated pixels stay as they are, those without a flag or a band are unchanged."""
+    rows = [(1, 0, 0, 1), (1, 0, 0, 1), (1, 0, 1, 1), (1, 5, 5, 1), (1, 5, 6, 0), (1, 7, 7, None), (None, 0, 0, 1)]
+    df = spark.createDataFrame(rows, "band int, row_ int, col_ int, changed int")
+    got = sorted(map(tuple, components.remove_small(df, 2).collect()), key=repr)
+    want = [(1, 0, 0, 1), (1, 0, 0, 1), (1, 0, 1, 1), (1, 5, 5, 0), (1, 5, 6, 0), (1, 7, 7, 0), (None, 0, 0, 0)]
+    assert got == sorted(want, key=repr)
+    none = df.where("changed = 0")
+    assert [tuple(r) for r in components.remove_small(none, 2).collect()] == [(1, 5, 6, 0)]
+    assert [tuple(r) for r in components.segment(none, 2).collect()] == [(1, 5, 6, 0)]
+
+
 def best_split(counts, classes):
     """Exhaustive between-class variance search on bins, first maximum."""
     n = len(counts)

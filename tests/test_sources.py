@@ -84,6 +84,25 @@ def test_median_of_a_hot_pixel(spark):
     assert cloudy.count() == 502 and cloudy.where("value is not null").count() == 0
 
 
+def test_median_without_empty_pixels(spark):
+    """Left out are the pixels without a clear value, nothing else."""
+    nan = float("nan")
+    rows = [(0, 5.0, 4), (0, 7.0, 9), (0, 9.0, 4), (0, nan, 4), (1, 3.0, 9), (2, nan, 4), (2, None, 4), (3, 2.0, None)]
+    df = spark.createDataFrame(rows, "col_ int, value double, scl int").selectExpr(
+        "1 period", "1 band", "0 row_", "col_", "value", "scl", "timestamp'2016-06-01' + make_interval(0, col_) ts"
+    )
+    for hot_rows in (10**6, 0):
+        for months in (None, (6, 8)):
+            every = composite.median_composite(df, hot_rows=hot_rows, months=months)
+            some = composite.median_composite(df, hot_rows=hot_rows, months=months, keep_empty=False)
+            want = {0: 7.0, 1: None, 2: None, 3: 2.0}
+            if months:
+                want.pop(3)
+            assert {r["col_"]: r["value"] for r in every.collect()} == want
+            got = {r["col_"]: r["value"] for r in some.collect()}
+            assert got == {k: v for k, v in want.items() if v is not None}
+
+
 def test_mosaic_rules_skip_missing(spark):
     df = spark.createDataFrame(
         [(1, 0, 0, 1, 2.0), (1, 0, 0, 2, 4.0), (1, 0, 0, 3, None)],

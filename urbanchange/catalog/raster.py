@@ -18,9 +18,11 @@ def observations(spark, sf):
     return fx(spark, sf, "fx_obs")
 
 
-def composites(spark, sf):
+def composites(spark, sf, keep_empty=True):
     """Median composites of both periods; only observed pixels have a row."""
-    out = composite.median_composite(observations(spark, sf), months=(6, 8))
+    out = composite.median_composite(
+        observations(spark, sf), months=(6, 8), keep_empty=keep_empty
+    )
     return out.withColumn("value", F.round("value", 4))
 
 
@@ -30,7 +32,7 @@ def full_composites(spark, sf):
     stack = cells.withColumn("band", F.explode(F.array(*[F.lit(b) for b in BANDS]))).withColumn(
         "period", F.explode(F.array(F.lit(1), F.lit(2)))
     )
-    return masks.on_grid(composites(spark, sf), stack, PIXEL)
+    return masks.on_grid(composites(spark, sf, keep_empty=False), stack, PIXEL)
 
 
 def pairs(spark, sf):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanchange.functions.ordering import running_counts
@@ -20,8 +21,10 @@ def cell_id():
     return F.shiftleft(F.col("row_").cast("long"), WIDTH_BITS) + F.col("col_")
 
 
-def _label_tile(cells: np.ndarray, rows: np.ndarray, cols: np.ndarray, full: bool) -> np.ndarray:
-    """Smallest cell id of each cell's component inside one tile."""
+def _label_tiles(
+    cells: np.ndarray, rows: np.ndarray, cols: np.ndarray, tile: int, full: bool
+) -> np.ndarray:
+    """Smallest cell id of each cell's component inside its tile, for any number of tiles."""
     order = np.argsort(cells)
     ids, r, c = cells[order], rows[order], cols[order]
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if full else [])
@@ -29,7 +32,8 @@ def _label_tile(cells: np.ndarray, rows: np.ndarray, cols: np.ndarray, full: boo
     for dr, dc in steps:
         there = ((r + dr) << WIDTH_BITS) + (c + dc)
         spot = np.minimum(np.searchsorted(ids, there), len(ids) - 1)
-        hit = (ids[spot] == there) & (c + dc >= 0)
+        same = ((r + dr) // tile == r // tile) & ((c + dc) // tile == c // tile)
+        hit = (ids[spot] == there) & same
         a.append(np.nonzero(hit)[0])
         b.append(spot[hit])
     a, b = np.concatenate(a), np.concatenate(b)
@@ -50,17 +54,19 @@ def _label_tile(cells: np.ndarray, rows: np.ndarray, cols: np.ndarray, full: boo
 
 
 def _local(ones: DataFrame, by: list[str], tile: int, full: bool) -> DataFrame:
+    """Tile-local labels. Small tiles share a Python call, in blocks of up to ``TILE`` squared pixels."""
+    block = tile * max(1, TILE // tile)
     schema = ones.select(*by, "row_", "col_").schema.add("local", "long")
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["row_"].to_numpy(np.int64), pdf["col_"].to_numpy(np.int64)
-        found = _label_tile((r << WIDTH_BITS) + c, r, c, full)
+        found = _label_tiles((r << WIDTH_BITS) + c, r, c, tile, full)
         return pdf[[*by, "row_", "col_"]].assign(local=found)
 
     tiled = ones.select(*by, "row_", "col_").withColumns(
         {
-            "_tr": F.floor(F.col("row_") / tile).cast("int"),
-            "_tc": F.floor(F.col("col_") / tile).cast("int"),
+            "_tr": F.floor(F.col("row_") / block).cast("int"),
+            "_tc": F.floor(F.col("col_") / block).cast("int"),
         }
     )
     groups = [*by, "_tr", "_tc"]
@@ -153,7 +159,8 @@ def label_components(
 ) -> DataFrame:
     """Component root (its first cell in row-major order) and size of every changed pixel.
 
-    A tile holds at most ``tile`` squared pixels and is labelled in memory. Only tile-border
+    A tile holds at most ``tile`` squared pixels and is labelled in memory, small ones with
+    their neighbours in one call. Only tile-border
     contacts enter the graph between tiles, and a pixel joins its component through its
     tile-local label, so a component that covers most of the map is no hot key.
     """
@@ -176,19 +183,23 @@ def label_components(
     return local.join(named, [*by, "local"]).select(*by, "row_", "col_", "root", "size")
 
 
+def _placed(keys: Sequence[str]) -> Column:
+    """Changed, with a full key. All other pixels go past the labelling, without a join."""
+    whole = [F.col(k).isNotNull() for k in keys]
+    return reduce(Column.__and__, whole, F.coalesce(F.col("changed") > 0, F.lit(False)))
+
+
 def remove_small(
     df: DataFrame, min_size: int, by: Sequence[str] = ("band",), tile: int = TILE
 ) -> DataFrame:
     """Clear changed pixels in 4-connected objects of fewer than ``min_size`` pixels."""
     keys = [*by, "row_", "col_"]
     base = materialize(df.select(*keys, "changed"))
-    kept = (
-        label_components(base, by, full=False, tile=tile)
-        .where(F.col("size") >= min_size)
-        .select(*keys, F.lit(1).alias("_kept"))
-    )
-    return base.join(kept, keys, "left").select(
-        *keys, F.coalesce("_kept", F.lit(0)).alias("changed")
+    found = label_components(base.where(_placed(keys)), by, full=False, tile=tile)
+    return (
+        base.where(~_placed(keys))
+        .select(*keys, F.lit(0).alias("changed"))
+        .unionByName(found.select(*keys, (F.col("size") >= min_size).cast("int").alias("changed")))
     )
 
 
@@ -202,7 +213,7 @@ def segment(
     by = list(by)
     keys = [*by, "row_", "col_"]
     base = materialize(df.select(*keys, "changed"))
-    found = materialize(label_components(base, by, full=True, tile=tile))
+    found = materialize(label_components(base.where(_placed(keys)), by, full=True, tile=tile))
     heads = (
         found.where(cell_id() == F.col("root"))
         .select(*by, F.col("root"), F.lit(1).cast("long").alias("n"))
@@ -211,6 +222,9 @@ def segment(
         *by, "root", (F.col("before") + 1).alias("label")
     )
     labelled = salted_join(found.where(F.col("size") >= min_size), numbers, [*by, "root"])
-    return base.join(labelled.select(*keys, "label"), keys, "left").select(
-        *keys, F.coalesce("label", F.lit(0)).cast("long").alias("label")
+    cleared = base.where(~_placed(keys)).select(*keys).unionByName(
+        found.where(F.col("size") < min_size).select(*keys)
+    )
+    return cleared.select(*keys, F.lit(0).cast("long").alias("label")).unionByName(
+        labelled.select(*keys, F.col("label").cast("long").alias("label"))
     )

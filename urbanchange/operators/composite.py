@@ -41,18 +41,22 @@ def median_composite(
     drop: Sequence[int] = CLOUD_CLASSES,
     hot_rows: int = HOT_ROWS,
     months: tuple[int, int] | None = None,
+    keep_empty: bool = True,
 ) -> DataFrame:
     """Cloud-masked median over time; pixels under constant cloud stay, as null.
 
-    ``months`` (first and last) keeps the observations of a season, by ``ts``.
+    ``months`` (first and last) keeps the observations of a season, by ``ts``. Without
+    ``keep_empty`` such pixels have no row and masked observations are not grouped, for
+    composites that are completed on a grid anyway.
     Crowded pixels are looked for in blocks of 16 x 16 pixels, which a scene fills at once.
     """
     if months is not None:
-        df = df.where(F.month("ts").between(*months))
+        df = df.where(F.month("ts").isin(*range(months[0], months[1] + 1)))
     coarse = [F.shiftright(k, 4) if k in ("row_", "col_") else F.col(k) for k in keys]
-    return grouped_quantiles(
-        mask_clouds(df, drop), keys, "value", {"value": 0.5}, hot_rows, coarse=coarse
-    )
+    clear = mask_clouds(df, drop)
+    if not keep_empty:
+        clear = clear.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    return grouped_quantiles(clear, keys, "value", {"value": 0.5}, hot_rows, coarse=coarse)
 
 
 def require_scenes(scenes: DataFrame, what: str) -> DataFrame:
