@@ -81,6 +81,53 @@ def test_both_ways_and_accuracy(spark, monkeypatch):
     assert np.mean(recalls) > 0.68 and min(recalls) > 0.6  # balanced
 
 
+@pytest.mark.parametrize("heaviest", [3, 1 << 30])
+def test_splits_of_rows_at_hand(heaviest):
+    """Splits from sorted rows are those from sums of cells, and so are the sums left of them."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 5, (300, 11)).astype(np.uint8)
+    codes[:, 4] = 1
+    row, node = rng.integers(0, 300, 600), np.sort(np.r_[np.arange(40), rng.integers(0, 40, 560)])
+    label, weight = rng.integers(0, 2, 300), rng.integers(1, heaviest, 600)
+    codes[row[node == 7]] = codes[row[node == 7][0]]  # nothing tells these apart
+    uid = forest.tree_names(0, np.arange(40), 5)
+    keys, sums = forest.cell_sums(node, codes[row], weight, label[row])
+    feature, bins, _ = forest.best_splits(keys, sums, 11, 3, uid)
+    sides = np.zeros((2, 40, 2))
+    np.add.at(sides, ((codes[row, feature[node]] > bins[node]).astype(int), node, label[row]), weight)
+    mine = forest.node_splits(forest.as_lines(codes), row, 2 * weight + label[row], np.bincount(node), sides.sum(axis=0), uid, 3)
+    np.testing.assert_array_equal(mine[0], feature)
+    np.testing.assert_array_equal(mine[1], bins)
+    np.testing.assert_array_equal(mine[2][feature >= 0], sides[0][feature >= 0])
+    assert mine[0][7] == -1
+
+
+def shuffled(spark):
+    context = spark.sparkContext
+    none = context._jvm.java.util.ArrayList()
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(none, False, False, context._gateway.new_array(context._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_rows_are_sent_in_the_bins_of_a_model(spark, monkeypatch):
+    """Rows go out once for each share of a model's trees, in its own bins, however small the chunks are."""
+    n, d = 1500, 60
+    df = spark.range(n).select("id", (F.xxhash64("id") % 2 == 0).cast("int").alias("label"), *[F.rand(j).alias(f"x{j}") for j in range(d)])
+    rows = linear.fold_rows(df, "id", [f"x{j}" for j in range(d)], folds=3)
+    models = [forest.Model(linear.Split(0, f), [j, j + 1]) for f in range(3) for j in range(0, d, 6)]
+    monkeypatch.setattr(forest, "CHUNK", n)  # one tree
+    before = shuffled(spark)
+    some = forest.held_out_votes(rows, models, d, trees=16).toPandas().sort_values(["model", "key"])
+    assert shuffled(spark) - before < 4_000_000  # 56 MB if every chunk is sent the whole block
+    assert len(some) == n * len(models) // 3
+    monkeypatch.setattr(forest, "UNITS", 120)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    more = forest.held_out_votes(rows, models, d, trees=16).toPandas().sort_values(["model", "key"])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    np.testing.assert_array_equal(some.score.to_numpy(), more.score.to_numpy())  # ties stay ties
+
+
 def test_fit_and_predict(spark):
     """A forest on all rows tells most of its own rows apart, and judges new ones."""
     pdf, df = table(spark)

@@ -6,10 +6,12 @@ level is grown from sums of weights per (tree, node, predictor, bin, class); a n
 first few of its predictors in a hashed order that are not constant in it, and is split until it
 is pure or nothing tells its rows apart. There is no limit of depth.
 
-A unit of work is a block of rows with a chunk of trees. Where one block holds all rows, its sums
-are complete, so a unit grows its trees to the end. Otherwise every level is one aggregation: the
-units send sums that exist, Spark adds them by (tree, node, predictor, bin), and each node's split
-is chosen where its sums meet. Both ways give the same trees. The driver holds the splits.
+Up to `WHOLE_BLOCKS` blocks of rows, a unit of work is a share of a model's trees with all rows: their
+bins of the model's own predictors, a byte each. It grows a chunk of trees at a time to the end, lets
+them vote, and sends one vote a row. Beyond, a unit is a block of rows with a chunk of trees, and every
+level is one aggregation: the units send sums that exist, Spark adds them by (tree, node, predictor,
+bin), and each node's split is chosen where its sums meet; the driver holds the splits. Both ways give
+the same trees.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from urbanchange.operators.linear import Split, class_weights
 
 BINS = 256
 BLOCK_ROWS = 1 << 16  # rows of a block
+WHOLE_BLOCKS = 8  # blocks whose rows a task may hold in the bins of one model
 CHUNK = 1 << 19  # (tree, row) pairs of a chunk, about
+UNITS = 512  # shares of trees, at most, unless there are more models
 
 
 class Model(NamedTuple):
@@ -75,31 +79,10 @@ def drawn(trees: np.ndarray, rows: np.ndarray, means: np.ndarray, seed: int) ->
 # -- one level ------------------------------------------------------------------------------
 
 
-def to_try(node: np.ndarray, codes: np.ndarray, uid: np.ndarray, tried: int) -> np.ndarray:
-    """The predictors that each node will try, a line per node; constant ones fill up a line.
-
-    Only where all rows of the nodes, 0 to len(uid) - 1, are at hand.
-    """
-    d = codes.shape[1]
-    order = np.argsort(node, kind="stable")
-    laid, start = codes[order], np.searchsorted(node[order], np.arange(len(uid)))
-    constant = np.minimum.reduceat(laid, start, axis=0) == np.maximum.reduceat(laid, start, axis=0)
-    rank_key = mixed(uid[:, None] ^ mixed(np.arange(d) + 1)[None, :])
-    return np.lexsort((rank_key, constant), axis=1)[:, :tried]
-
-
-def cell_sums(
-    node: np.ndarray, codes: np.ndarray, weight: np.ndarray, label: np.ndarray, tries: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of weights, which are whole, per class of the (node, predictor, bin) that occur, keys
-    ascending; of all predictors, or of those that the nodes try."""
+def cell_sums(node: np.ndarray, codes: np.ndarray, weight: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weights, which are whole, per class of the (node, predictor, bin) that occur, keys ascending."""
     d = codes.shape[1]
-    predictors = np.arange(d)[None, :]
-    if tries is not None:
-        predictors = tries[node]
-        codes = np.take_along_axis(codes, predictors, axis=1)
-    keys = ((node[:, None].astype(np.int64) * d + predictors) * BINS + codes).ravel()
-    d = codes.shape[1]  # predictors a row
+    keys = ((node[:, None].astype(np.int64) * d + np.arange(d)[None, :]) * BINS + codes).ravel()
     if not len(keys):
         return keys, np.zeros((0, 2))
     span = int(keys.max()) + 1
@@ -187,19 +170,117 @@ def tree_names(model: int, trees: np.ndarray, seed: int) -> np.ndarray:
     return mixed(np.uint64((model << 32) + (seed << 20)) + trees.astype(np.uint64))
 
 
+class Lines(NamedTuple):
+    """Lines of bins as bytes one after another, and as columns of whole words, eight bins each."""
+
+    d: int
+    flat: np.ndarray
+    words: list[np.ndarray]
+
+
+def as_lines(codes: np.ndarray) -> Lines:
+    n, d = codes.shape
+    padded = np.zeros((n, -(-d // 8) * 8), np.uint8)
+    padded[:, :d] = codes
+    return Lines(d, np.ascontiguousarray(codes).ravel(), list(np.ascontiguousarray(padded.view(np.uint64).T)))
+
+
+def to_try(lines: Lines, row: np.ndarray, start: np.ndarray, uid: np.ndarray, tried: int) -> tuple[np.ndarray, np.ndarray]:
+    """The predictors that each node tries, a line per node, and whether they differ in it: those that
+    do in a hashed order, then others. A node's rows lie together, from its ``start`` on."""
+    changes = []
+    for word in lines.words:
+        here = word[row]
+        here[1:] ^= here[:-1].copy()
+        here[start] = 0
+        changes.append(np.bitwise_or.reduceat(here, start))
+    differs = np.stack(changes, axis=1).view(np.uint8)[:, : lines.d] != 0
+    rank_key = mixed(uid[:, None] ^ mixed(np.arange(lines.d) + 1)[None, :])
+    rank_key[~differs] = np.iinfo(np.uint64).max
+    tries = np.argsort(rank_key, axis=1)[:, :tried]
+    return tries, np.take_along_axis(differs, tries, axis=1)
+
+
+def node_splits(
+    lines: Lines, row: np.ndarray, low: np.ndarray, size: np.ndarray, total: np.ndarray, uid: np.ndarray, tried: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `best_splits` finds, and the sums left of it, where all rows of the nodes are at hand.
+
+    The first ``size`` rows are those of the first node, and so on; ``low`` is twice the weight and
+    the class of a row, ``total`` the sums of the nodes.
+    """
+    tries, differs = to_try(lines, row, np.cumsum(size) - size, uid, tried)
+    bits = int(low.max()).bit_length()
+    kind = np.uint32 if max((len(size) * BINS) << bits, int(total.sum())) < 1 << 32 else np.uint64
+    at, low = row * lines.d, low.astype(kind)
+    feature, bins = np.full(len(size), -1), np.zeros(len(size), int)
+    left, best = np.zeros((len(size), 2)), np.full(len(size), -np.inf)
+    for k in range(tries.shape[1]):
+        # node, bin, weight and class of a row are sorted as one number; nodes with one bin have no split
+        some = differs[:, k]
+        if not some.any():
+            continue
+        held = np.where(some, size, 0)
+        take = slice(None) if some.all() else np.flatnonzero(np.repeat(some, size))
+        keys = np.repeat(np.arange(len(size), dtype=kind) * kind(BINS), held) + lines.flat[at[take] + np.repeat(tries[:, k], held)]
+        keys = (keys << kind(bits)) | low[take]
+        keys.sort()
+        weight, cell = (keys & kind((1 << bits) - 1)) >> kind(1), keys >> kind(bits)
+        sums, ones = np.cumsum(weight, dtype=kind), np.cumsum(weight * (keys & kind(1)), dtype=kind)
+        step = cell[1:] ^ cell[:-1]
+        cut = np.flatnonzero((step > 0) & (step < BINS))  # the next row is of the same node and another bin
+        of = (cell[cut] // kind(BINS)).astype(np.int64)
+        whole = np.where(some[:, None], total, 0)
+        before = np.cumsum(whole, axis=0) - whole
+        left1 = ones[cut] - before[of, 1]  # floats, of whole numbers
+        left0 = sums[cut] - before[of, 0] - ones[cut]
+        right0, right1 = total[of, 0] - left0, total[of, 1] - left1
+        score = (left0**2 + left1**2) / (left0 + left1) + (right0**2 + right1**2) / (right0 + right1)
+        start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        top = np.maximum.reduceat(score, start)
+        first = np.flatnonzero(score == np.repeat(top, np.diff(np.r_[start, len(of)])))
+        first = first[np.r_[True, of[first][1:] != of[first][:-1]]]
+        top, mine = np.round(top, 9), of[start]
+        better = top > best[mine]  # of equal ones the first tried
+        first, mine = first[better], mine[better]
+        best[mine], feature[mine], bins[mine] = top[better], tries[mine, k], cell[cut[first]] % kind(BINS)
+        left[mine, 0], left[mine, 1] = left0[first], left1[first]
+    return feature, bins, left
+
+
 def grown(codes: np.ndarray, label: np.ndarray, weights: np.ndarray, names: np.ndarray, tried: int) -> list[Level]:
-    """All trees of a chunk over one block: a line of ``weights`` per tree."""
-    tree, row = np.nonzero(weights)
-    node, uid, levels = tree, names, []
-    weight = weights[tree, row].astype(float)
+    """All trees of a chunk over all rows: a line of ``weights`` per tree, each with rows.
+
+    Only rows of nodes with both classes are carried on.
+    """
+    lines, (tree, row) = as_lines(codes), np.nonzero(weights)
+    weight, uid, levels = weights[tree, row].astype(np.int64), names, []
+    whole = np.bincount(2 * tree + label[row], weight, 2 * len(names)).reshape(-1, 2)
+    low = 2 * weight + label[row]
+    open_ = whole.all(axis=1)
+    size, place = np.bincount(tree, minlength=len(names))[open_], np.flatnonzero(open_)  # of the nodes that have rows here
+    row, low = row[open_[tree]], low[open_[tree]]
     while len(uid):
-        here = codes[row]
-        keys, sums = cell_sums(node, here, weight, label[row], to_try(node, here, uid, tried))
-        level, uid = as_level(*best_splits(keys, sums, codes.shape[1], tried, uid), uid)
-        stay = level.child[node] >= 0
-        row, weight, node = row[stay], weight[stay], node[stay]
-        node = moved(level, node, codes[row])
+        feature, bins, left = np.full(len(uid), -1), np.zeros(len(uid), int), np.zeros((len(uid), 2))
+        if len(place):
+            feature[place], bins[place], left[place] = node_splits(lines, row, low, size, whole[place], uid[place], tried)
+        value = whole[:, 1] / np.maximum(whole[:, 0] + whole[:, 1], 1e-300)
+        level, uid = as_level(feature, bins, value, uid)
         levels.append(level)
+        whole = np.stack([left, whole - left], axis=1)[feature >= 0].reshape(-1, 2)
+        open_ = np.r_[whole.all(axis=1), False]
+        child, start = level.child[place], np.cumsum(size) - size
+        beyond = lines.flat[row * lines.d + np.repeat(feature[place], size)] > np.repeat(bins[place], size)
+        right = np.add.reduceat(beyond, start, dtype=int) if len(start) else size
+        rows, lows, sizes, places = [], [], [], []
+        for side, count in enumerate((size - right, right)):  # left children, then right ones: the rows of each lie together
+            on = (child >= 0) & open_[child + side]
+            go = np.flatnonzero((beyond == side) & np.repeat(on, size))
+            rows.append(row[go])
+            lows.append(low[go])
+            sizes.append(count[on])
+            places.append(child[on] + side)
+        row, low, size, place = map(np.concatenate, (rows, lows, sizes, places))
     return levels
 
 
@@ -277,18 +358,21 @@ class Plan(NamedTuple):
     def tried(self, model: int) -> int:
         return max(1, int(len(self.models[model].columns) ** 0.5))
 
+    def draws(self, hashes: np.ndarray, label: np.ndarray, out: np.ndarray, model: int, trees: np.ndarray) -> np.ndarray:
+        """Draws of the training rows, 0 for those held out."""
+        means = self.means[model][label] * ~out
+        return drawn(tree_names(model, trees, self.seed), hashes, means, self.seed)
+
     def train(self, block: Block, model: int, trees: np.ndarray) -> np.ndarray:
-        """Draws of the training rows, 0 elsewhere."""
         repeat, fold = self.models[model].split
-        means = self.means[model][block.label] * (block.folds[:, repeat] != fold)
-        return drawn(tree_names(model, trees, self.seed), block.hashes, means, self.seed)
+        return self.draws(block.hashes, block.label, block.folds[:, repeat] == fold, model, trees)
 
     def held_out(self, block: Block, model: int) -> np.ndarray:
         repeat, fold = self.models[model].split
         return np.flatnonzero(block.folds[:, repeat] == fold)
 
 
-def _votes(block: Block, rows: np.ndarray, codes: np.ndarray, levels: Sequence[Level], trees: int) -> np.ndarray:
+def _votes(rows: np.ndarray, codes: np.ndarray, levels: Sequence[Level], trees: int) -> np.ndarray:
     """Sum over the trees of the leaf values of ``rows``."""
     tree, at = np.repeat(np.arange(trees), len(rows)), np.tile(np.arange(len(rows)), trees)
     value = _routed(levels, tree, rows[at], codes)[2]
@@ -310,9 +394,9 @@ def _scores(plan: Plan, key_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("key", key_type), *T.StructType.fromDDL("model int, label int, votes double")])
 
 
-def _scored(block: Block, rows: np.ndarray, model: int, votes: np.ndarray) -> pa.RecordBatch:
-    columns = [block.key.take(pa.array(rows)), np.full(len(rows), model, np.int32), block.label[rows].astype(np.int32), votes]
-    return pa.RecordBatch.from_arrays([columns[0], *map(pa.array, columns[1:])], ["key", "model", "label", "votes"])
+def _scored(key: pa.Array, label: np.ndarray, model: int, votes: np.ndarray) -> pa.RecordBatch:
+    columns = [np.full(len(key), model, np.int32), label.astype(np.int32), votes]
+    return pa.RecordBatch.from_arrays([key, *map(pa.array, columns)], ["key", "model", "label", "votes"])
 
 
 def held_out_votes(rows: DataFrame, models: Sequence[Model], d: int, trees: int = 500, seed: int = 42) -> DataFrame:
@@ -323,14 +407,16 @@ def held_out_votes(rows: DataFrame, models: Sequence[Model], d: int, trees: int
     weights = class_weights(rows, [m.split for m in models])
     # balanced weights are total / (2 n); a class drawn to the smaller one's size has mean least / n
     plan = Plan(list(models), weights / weights.max(axis=1, keepdims=True), trees, seed)
-    table, count = blocks(rows, bin_edges(rows, d))
-    kind = _scores(plan, rows.schema["key"].dataType)
-    if count == 1:
-        found = _units(table, plan, rows.count()).mapInArrow(_finish(plan), kind)
+    edges, kind = bin_edges(rows, d), _scores(plan, rows.schema["key"].dataType)
+    if rows.count() <= WHOLE_BLOCKS * BLOCK_ROWS:
+        units, parts = _model_rows(rows, edges, plan)
+        found = units.mapInArrow(_finish(plan, parts), kind)
     else:
+        table = blocks(rows, edges)[0]
         levels = table.sparkSession.sparkContext.broadcast(_grow_by_levels(table, plan))
         found = _units(table, plan, BLOCK_ROWS).mapInArrow(_vote(plan, levels), kind)
-    return found.groupBy("key", "model", "label").agg((F.sum("votes") / trees).alias("score"))
+    # the order of the sums is open: without rounding, like votes might not tie
+    return found.groupBy("key", "model", "label").agg(F.round(F.sum("votes") / trees, 12).alias("score"))
 
 
 class ForestModel(NamedTuple):
@@ -474,17 +560,68 @@ def _each(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[tuple[Block
             yield block, model, np.arange(first, last), block.codes[:, plan.models[model].columns]
 
 
-def _finish(plan: Plan):
-    """One block is all there is: grow the trees of a chunk to the end and let them vote."""
+def _model_rows(rows: DataFrame, edges: list[np.ndarray], plan: Plan) -> tuple[DataFrame, int]:
+    """All rows for every share of a model's trees, a task for each; and the shares of a model.
+
+    A row goes as its hash, a byte of class and fold, and a byte for each predictor of the model, so a
+    task holds some 20 bytes a row. The number of shares does not depend on the rows.
+    """
+    at_once = min(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), UNITS)
+    parts = min(plan.trees, max(1, -(-at_once // len(plan.models))))
+    kind = T.StructType(
+        [T.StructField("unit", T.IntegerType()), T.StructField("key", T.ArrayType(rows.schema["key"].dataType)),
+         *T.StructType.fromDDL("h binary, marks binary, codes binary")]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, model, trees, codes in _each(batches, plan):
-            draws = plan.train(block, model, trees)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x, folds = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("x", "folds"))
+            codes, h = _codes(x, edges), batch.column("h").to_numpy().tobytes()
+            label = batch.column("label").to_numpy()
+            for m, (split, columns) in enumerate(plan.models):
+                held = folds[:, split.repeat] == split.fold
+                keys = batch.column("key").take(pa.array(np.flatnonzero(held)))
+                keys = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+                packed = [h, (label + 2 * held).astype(np.uint8).tobytes(), codes[:, columns].tobytes()]
+                for unit in range(m * parts, (m + 1) * parts):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([unit], pa.int32()), keys, *(pa.array([b], pa.binary()) for b in packed)], kind.names
+                    )
+
+    hashed = rows.select("key", "label", "x", "folds", F.xxhash64("key", F.lit(7)).alias("h"))
+    units = len(plan.models) * parts
+    return hashed.mapInArrow(run, kind).repartitionById(units, "unit"), parts
+
+
+def _finish(plan: Plan, parts: int):
+    """Grow a model's share of trees over all rows, a chunk at a time, and let them vote."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # the rows of one unit
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        model, part = divmod(table.column("unit")[0].as_py(), parts)
+        h, marks, codes = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("h", np.uint64), ("marks", np.uint8), ("codes", np.uint8))
+        )
+        label, out, codes = (marks & 1).astype(int), marks > 1, codes.reshape(len(h), -1)
+        rows, votes = np.flatnonzero(out), np.zeros(int(out.sum()))
+        if not len(rows):
+            return
+        step = max(1, CHUNK // len(h))
+        first, last = (plan.trees * k // parts for k in (part, part + 1))
+        for a in range(first, last, step):
+            trees = np.arange(a, min(a + step, last))
+            draws = plan.draws(h, label, out, model, trees)
             some = draws.any(axis=1)  # a tree without rows has no vote but the root's, none
-            levels = grown(codes, block.label, draws[some], tree_names(model, trees[some], plan.seed), plan.tried(model))
-            rows = plan.held_out(block, model)
-            if some.any() and len(rows):
-                yield _scored(block, rows, model, _votes(block, rows, codes, levels, int(some.sum())))
+            if some.any():
+                levels = grown(codes, label, draws[some], tree_names(model, trees[some], plan.seed), plan.tried(model))
+                votes += _votes(rows, codes, levels, int(some.sum()))
+        yield _scored(table.column("key").combine_chunks().flatten(), label[rows], model, votes)
 
     return run
 
@@ -498,7 +635,7 @@ def _vote(plan: Plan, shared):
                 tree = np.repeat(model * plan.trees + trees, len(rows))
                 at = np.tile(np.arange(len(rows)), len(trees))
                 value = _routed(shared.value, tree, rows[at], codes)[2]
-                yield _scored(block, rows, model, np.bincount(at, value, len(rows)))
+                yield _scored(block.key.take(pa.array(rows)), block.label[rows], model, np.bincount(at, value, len(rows)))
 
     return run
 
