@@ -128,6 +128,19 @@ def test_rows_are_sent_in_the_bins_of_a_model(spark, monkeypatch):
     np.testing.assert_array_equal(some.score.to_numpy(), more.score.to_numpy())  # ties stay ties
 
 
+def test_units_hold_the_bins_of_their_model(spark, monkeypatch):
+    """Blocks go to chunks of trees in the bins of the chunk's model, every chunk once for each block."""
+    pdf, df = table(spark)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 90)
+    monkeypatch.setattr(forest, "CHUNK", 180)
+    rows = linear.fold_rows(df, "id", NAMES, folds=3)
+    plan = forest.Plan([forest.Model(linear.Split(0, 0), c) for c in ([0, 2], [1])], np.ones((2, 2)), 5, 42)
+    laid, count = forest.blocks(rows, forest.bin_edges(rows, 3))
+    units = forest._units(laid, plan, 90).selectExpr("model", "first", "last", "size(h) as n", "length(codes) as bins").toPandas()
+    assert len(units) == count * 2 * 3 and sorted(set(zip(units["first"], units["last"]))) == [(0, 2), (2, 4), (4, 5)]
+    assert (units.bins == units.n * np.where(units.model == 0, 2, 1)).all() and units.n.sum() == 400 * 6
+
+
 def test_fit_and_predict(spark):
     """A forest on all rows tells most of its own rows apart, and judges new ones."""
     pdf, df = table(spark)

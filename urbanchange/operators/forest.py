@@ -380,14 +380,29 @@ def _votes(rows: np.ndarray, codes: np.ndarray, levels: Sequence[Level], trees:
 
 
 def _units(table: DataFrame, plan: Plan, rows: int) -> DataFrame:
-    """The blocks, once for each chunk of trees: ``model``, ``first``, ``last``."""
+    """The blocks in the bins of each model, once for each chunk of its trees: ``model``, ``first``, ``last``.
+
+    Copies are made one at a time; a join would hold all copies of a block at once.
+    """
     step = max(1, min(plan.trees, CHUNK // max(min(rows, BLOCK_ROWS), 1)))
-    chunks = [(m, a, min(a + step, plan.trees)) for m in range(len(plan.models)) for a in range(0, plan.trees, step)]
-    spark = table.sparkSession
-    wanted = spark.createDataFrame(chunks, "model int, first int, last int")
-    laid = table.join(F.broadcast(wanted), F.lit(True), "left")  # a block goes to every chunk
-    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    return laid.repartition(min(n, max(1, len(chunks))), F.xxhash64("model", "first", F.element_at("h", 1)))
+    chunks = len(plan.models) * -(-plan.trees // step)
+    kind = T.StructType([*table.schema, *T.StructType.fromDDL("model int, first int, last int")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                codes = np.frombuffer(one.column("codes")[0].as_py(), np.uint8).reshape(len(one.column("label")[0]), -1)
+                for m, model in enumerate(plan.models):
+                    own = {"codes": pa.array([codes[:, model.columns].tobytes()], pa.binary())}
+                    for first in range(0, plan.trees, step):
+                        places = {"model": m, "first": first, "last": min(first + step, plan.trees)}
+                        own |= {name: pa.array([v], pa.int32()) for name, v in places.items()}
+                        yield pa.RecordBatch.from_arrays([own[f] if f in own else one.column(f) for f in kind.names], kind.names)
+
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    laid = table.mapInArrow(run, kind)
+    return laid.repartition(min(n, max(1, chunks)), F.xxhash64("model", "first", F.element_at("h", 1)))
 
 
 def _scores(plan: Plan, key_type: T.DataType) -> T.StructType:
@@ -505,8 +520,8 @@ def _grow_by_kinds(table: DataFrame, plan: Plan, kinds: np.ndarray) -> list[Leve
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = [k.tobytes() for k in shared.value]
         place = {k: i for i, k in enumerate(lines)}
-        for block, model, trees, codes in _each(batches, plan):
-            some, where = np.unique(np.ascontiguousarray(codes).view(f"V{d}").ravel(), return_inverse=True)
+        for block, model, trees in _each(batches):
+            some, where = np.unique(np.ascontiguousarray(block.codes).view(f"V{d}").ravel(), return_inverse=True)
             kind = np.array([place[k.tobytes()] for k in some])
             draws = plan.train(block, model, trees)
             cell = 2 * where + block.label
@@ -552,12 +567,12 @@ def _grow_by_kinds(table: DataFrame, plan: Plan, kinds: np.ndarray) -> list[Leve
     return joined(chunks)
 
 
-def _each(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[tuple[Block, int, np.ndarray, np.ndarray]]:
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, int, np.ndarray]]:
     for batch in batches:
         for i in range(batch.num_rows):
             block = _block(batch, i)
             model, first, last = (batch.column(c)[i].as_py() for c in ("model", "first", "last"))
-            yield block, model, np.arange(first, last), block.codes[:, plan.models[model].columns]
+            yield block, model, np.arange(first, last)
 
 
 def _model_rows(rows: DataFrame, edges: list[np.ndarray], plan: Plan) -> tuple[DataFrame, int]:
@@ -628,13 +643,13 @@ def _finish(plan: Plan, parts: int):
 
 def _vote(plan: Plan, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, model, trees, codes in _each(batches, plan):
+        for block, model, trees in _each(batches):
             rows = plan.held_out(block, model)
             if len(rows):
                 # the roots of all models lie one after another
                 tree = np.repeat(model * plan.trees + trees, len(rows))
                 at = np.tile(np.arange(len(rows)), len(trees))
-                value = _routed(shared.value, tree, rows[at], codes)[2]
+                value = _routed(shared.value, tree, rows[at], block.codes)[2]
                 yield _scored(block.key.take(pa.array(rows)), block.label[rows], model, np.bincount(at, value, len(rows)))
 
     return run
@@ -650,14 +665,14 @@ def _grow_by_levels(table: DataFrame, plan: Plan) -> list[Level]:
         shared = spark.sparkContext.broadcast((levels, uid, owner))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block, model, trees, codes in _each(batches, plan):
+            for block, model, trees in _each(batches):
                 draws = plan.train(block, model, trees)
                 tree, row = np.nonzero(draws)
-                at, node, _ = _routed(shared.value[0], model * plan.trees + trees[tree], row, codes)
+                at, node, _ = _routed(shared.value[0], model * plan.trees + trees[tree], row, block.codes)
                 if not len(at):
                     continue
-                keys, sums = cell_sums(node, codes[row[at]], draws[tree[at], row[at]], block.label[row[at]])
-                cells = codes.shape[1] * BINS
+                keys, sums = cell_sums(node, block.codes[row[at]], draws[tree[at], row[at]], block.label[row[at]])
+                cells = block.codes.shape[1] * BINS
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a) for a in (keys // cells, (keys % cells).astype(np.int32), sums[:, 0], sums[:, 1])],
                     ["node", "cell", "w0", "w1"],
