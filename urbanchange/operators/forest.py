@@ -289,7 +289,7 @@ def grown(codes: np.ndarray, label: np.ndarray, weights: np.ndarray, names: np.n
 
 def bin_edges(rows: DataFrame, d: int) -> list[np.ndarray]:
     """Per predictor the upper ends of its bins, from quantiles; few values get a bin each."""
-    shares = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
+    shares = F.lit(np.arange(1, BINS) / BINS)  # one literal; an array of 255 would be in every plan for every predictor
     ends = [F.array_distinct(F.percentile_approx(F.col("x")[j], shares, F.lit(100_000))).alias(f"e{j}") for j in range(d)]
     edges = []
     for start in range(0, d, 64):
